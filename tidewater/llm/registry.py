@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import table
+from tidewater.llm.common import shared_dir, table
 from tidewater.llm.simhash import simhash_components
+from tidewater.llm.token_counts import token_counts
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so that every distinct text is encoded."""
+    cache = f"{shared_dir(spark)}/tidewater/token-counts-{uuid.uuid4().hex}"
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+#: By the name that the driver calls.
+QUERIES = [op2_token_counts, op7_simhash_components]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash_components": op7_simhash_components}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
