@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import shared_dir, table
+from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.simhash import simhash_components
 from tidewater.llm.token_counts import token_counts
 
@@ -19,12 +20,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 #: By the name that the driver calls.
-QUERIES = [op2_token_counts, op7_simhash_components]
+QUERIES = [op2_token_counts, op3_quality_rules, op7_simhash_components]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
