@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import shared_dir, table
 from tidewater.llm.quality_rules import quality_rules
+from tidewater.llm.secrets import secret_digest
 from tidewater.llm.simhash import simhash_components
 from tidewater.llm.token_counts import token_counts
 
@@ -24,12 +25,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 #: By the name that the driver calls.
-QUERIES = [op2_token_counts, op3_quality_rules, op7_simhash_components]
+QUERIES = [op2_token_counts, op3_quality_rules, op5_secret_spans, op7_simhash_components]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
