@@ -9,12 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import shared_dir, table
+from tidewater.llm.html_text import main_text
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
 from tidewater.llm.simhash import simhash_components
 from tidewater.llm.token_counts import token_counts
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded."""
     cache = f"{shared_dir(spark)}/tidewater/token-counts-{uuid.uuid4().hex}"
@@ -34,7 +39,7 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By the name that the driver calls.
-QUERIES = [op2_token_counts, op3_quality_rules, op5_secret_spans, op7_simhash_components]
+QUERIES = [op1_html_text, op2_token_counts, op3_quality_rules, op5_secret_spans, op7_simhash_components]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
