@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import shared_dir, table
+from tidewater.llm.hash_forest import nearest
 from tidewater.llm.html_text import main_text
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
@@ -30,6 +31,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -39,7 +45,7 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By the name that the driver calls.
-QUERIES = [op1_html_text, op2_token_counts, op3_quality_rules, op5_secret_spans, op7_simhash_components]
+QUERIES = [op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op7_simhash_components]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
