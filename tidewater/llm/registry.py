@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.common import shared_dir, table
 from tidewater.llm.hash_forest import nearest
 from tidewater.llm.html_text import main_text
+from tidewater.llm.quality_classifier import quality_scores
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
 from tidewater.llm.simhash import simhash_components
@@ -44,8 +45,14 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: By the name that the driver calls.
-QUERIES = [op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op7_simhash_components]
+QUERIES = [
+    op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op7_simhash_components, op8_quality_scores,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
