@@ -16,6 +16,7 @@ from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
 from tidewater.llm.simhash import simhash_components
 from tidewater.llm.token_counts import token_counts
+from tidewater.llm.toxicity import toxicity_scores
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +50,14 @@ def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: By the name that the driver calls.
 QUERIES = [
     op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op7_simhash_components, op8_quality_scores,
+    op9_toxicity_scores,
 ]
 
 
