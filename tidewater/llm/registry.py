@@ -14,6 +14,7 @@ from tidewater.llm.html_text import main_text
 from tidewater.llm.quality_classifier import quality_scores
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
+from tidewater.llm.sentencepieces import encode_documents
 from tidewater.llm.simhash import simhash_components
 from tidewater.llm.token_counts import token_counts
 from tidewater.llm.toxicity import toxicity_scores
@@ -54,10 +55,14 @@ def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: By the name that the driver calls.
 QUERIES = [
     op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op7_simhash_components, op8_quality_scores,
-    op9_toxicity_scores,
+    op9_toxicity_scores, op10_sentencepieces,
 ]
 
 
