@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.common import shared_dir, table
 from tidewater.llm.hash_forest import nearest
 from tidewater.llm.html_text import main_text
+from tidewater.llm.mixing import mix_plan
+from tidewater.llm.mixing import oracle as mixing_sql
 from tidewater.llm.quality_classifier import quality_scores
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
@@ -43,6 +45,14 @@ def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+#: A source may be passed four times as often as the largest.
+REPETITION = 4.0
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"), repetition=REPETITION)
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -61,8 +71,8 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: By the name that the driver calls.
 QUERIES = [
-    op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op7_simhash_components, op8_quality_scores,
-    op9_toxicity_scores, op10_sentencepieces,
+    op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op6_source_mix,
+    op7_simhash_components, op8_quality_scores, op9_toxicity_scores, op10_sentencepieces,
 ]
 
 
@@ -71,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mix": mixing_sql(repetition=REPETITION)}
