@@ -1,11 +1,396 @@
-"""Every query over the provided tables, with the SQL that it is held against."""
+"""Every query over the provided tables, with the SQL that it is held against.
+
+Windows are a day wide where ten seconds would hold hardly a row, and bounds of interval joins are days, since the
+tables' times are days apart. Money is summed in decimal and given as double.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater import schemas
+from tidewater.functions import times, words
+from tidewater.operators import cdc, logs, stats, visits, wide
+from tidewater.plans import adapters as data
+from tidewater.plans import oracle
+from tidewater.plans.adapters import DAY_MS, SESSION_MS
+from tidewater.session import shared_folder
+from tidewater.sources.topics import read_topic, write_topic
+from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
+from tidewater.streaming.runs import finish
+
+DAY = "1 day"
+#: The day on which ages are taken.
+NOW = "2026-01-01 00:00:00"
+FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None, window_ms: int = DAY_MS):
+    """Registers a function under its name, with SQL over the records of plans.oracle."""
+
+    def keep(f):
+        FOUND[f.__name__] = (f, None if sql is None else oracle.sql(sql, window_ms))
+        return f
+
+    return keep
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """Money as double."""
+    return rows.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes])
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.pages(data.page_log(spark, sf))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "common.mid", "common.is_new", "page.page_id", "page.last_page_id", "ts")
+
+
+FLAT = "event_id, mid, is_new, page_id, last_page_id, ts"
+
+
+def _lines(spark: SparkSession, sf: str, low: int = 0, high: int = 365 * DAY_MS) -> DataFrame:
+    return wide.order_lines(data.order_info(spark, sf), data.order_detail(spark, sf), low_ms=low, high_ms=high)
+
+
+def _now():
+    return times.text_millis(F.lit(NOW))
+
+
+# logs
+
+
+@query("select event_id, mid, ts from logs where is_start")
+def log_split_start(spark, sf):
+    return logs.starts(data.page_log(spark, sf)).select("event_id", "common.mid", "ts")
+
+
+@query(f"select {FLAT} from pages")
+def log_split_page(spark, sf):
+    return _flat(_pages(spark, sf))
+
+
+@query("select item, item_type, page_id from shown")
+def log_split_display(spark, sf):
+    return logs.displays(data.page_log(spark, sf))
+
+
+@query("""select event_id, mid, case when is_new = '1' and ts // 86400000 <> arg_min(ts // 86400000, struct_pack(ts := ts, event_id := event_id)) filter (is_new = '1') over (partition by mid) then '0' else is_new end as is_new,
+    page_id, last_page_id, ts from logs""")
+def new_visitor_repair(spark, sf):
+    return _flat(logs.repair_new_visitors(data.page_log(spark, sf), order=("ts", "event_id")))
+
+
+@query(f"select {FLAT} from visits")
+def unique_visit(spark, sf):
+    return _flat(visits.unique_visits(_pages(spark, sf), tie=["event_id"]))
+
+
+@query("""select event_id, mid, is_new, page_id, last_page_id, ts from (select *, lag(ts // 86400000) over (partition by mid order by n, event_id) as before from (select *, (event_id * 7919) % 1000 as n from pages where coalesce(last_page_id, '') = ''))
+    where ts // 86400000 is distinct from before""")
+def unique_visit_by_arrival(spark, sf):
+    arrived = _pages(spark, sf).withColumn("n", F.expr("(event_id * 7919) % 1000"))
+    return _flat(visits.unique_visits(arrived, order=["n", "event_id"]))
+
+
+@query(f"select {FLAT} from bounced")
+def user_jump(spark, sf):
+    return _flat(visits.bounces(_pages(spark, sf), timeout_ms=SESSION_MS, tie=["event_id"]))
+
+
+def _visitor_facts(spark, sf):
+    pages = _pages(spark, sf)
+    return stats.visitor_facts(pages, visits.unique_visits(pages, tie=["event_id"]), visits.bounces(pages, timeout_ms=SESSION_MS, tie=["event_id"]))
+
+
+@query(oracle.visitor(DAY_MS))
+def visitor_stats(spark, sf):
+    return stats.visitor_stats(_visitor_facts(spark, sf), window=DAY)
+
+
+@query(oracle.visitor(10_000))
+def visitor_stats_10s(spark, sf):
+    return stats.visitor_stats(_visitor_facts(spark, sf))
+
+
+# changes
+
+
+def _changes(spark, sf):
+    return cdc.valid_changes(cdc.parse_changes(data.changes(spark, sf)))
+
+
+def _routed(spark, sf):
+    return cdc.routed(_changes(spark, sf), spark.createDataFrame(data.ROUTES, schemas.ROUTES))
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    return rows.select("table", "type", "sink_table", "sink_pk", F.to_json("data").alias("data"))
+
+
+@query("""select "table", case when boot then 'bootstrap-insert' else type end as type, id from valid""")
+def cdc_filter(spark, sf):
+    return _changes(spark, sf).select("table", "type", F.col("data")["id"].alias("id"))
+
+
+@query(oracle.routes("kafka"))
+def cdc_route_fact(spark, sf):
+    return _as_text(cdc.facts(_routed(spark, sf)))
+
+
+@query(oracle.routes("hbase"))
+def cdc_route_dim(spark, sf):
+    return _as_text(cdc.dimensions(_routed(spark, sf)))
+
+
+@query("""select id, '{"b":"' || b || '"}' as data from valid where "table" = 'part'""")
+def cdc_prune(spark, sf):
+    parts = _changes(spark, sf).where("table = 'part'")
+    kept = cdc.pruned(F.col("data"), F.lit("p_brand, p_name"))
+    return parts.select(F.col("data")["id"].alias("id"), F.to_json(F.create_map(F.lit("b"), kept["p_brand"])).alias("data"))
+
+
+@query("select mid, event_id, type, page_id from (select mid, event_id, 'update' as type, page_id, row_number() over (partition by mid order by ts desc, event_id desc) as nth from logs) where nth = 1")
+def dim_upsert_latest(spark, sf):
+    rows = data.page_log(spark, sf).select("common.mid", "ts", "event_id", F.lit("update").alias("type"), "page.page_id")
+    return cdc.latest(rows, ["mid"], ["ts", "event_id"]).select("mid", "event_id", "type", "page_id")
+
+
+# orders and payments
+
+
+ORDER_FIELDS = """detail_id, order_id, sku_id, order_price, sku_num, province_id, order_status, user_id, total_amount, activity_reduce_amount, coupon_reduce_amount, original_total_amount, feight_fee,
+split_activity_amount, split_coupon_amount, split_total_amount, create_time, create_date"""
+MONEY_FIELDS = {f.strip() for f in ORDER_FIELDS.split(",") if f.strip().endswith(("price", "amount", "fee"))}
+
+
+def _doubles(fields: str, prefix: str = "") -> str:
+    return ", ".join(f"cast({prefix}{f} as double) as {f}" if f in MONEY_FIELDS else f"{prefix}{f}" for f in map(str.strip, fields.split(",")))
+
+
+@query(f"select {_doubles(ORDER_FIELDS)} from near")
+def order_interval_join(spark, sf):
+    return plain(_lines(spark, sf, -5 * DAY_MS, 5 * DAY_MS).select(*map(str.strip, ORDER_FIELDS.split(","))))
+
+
+PAID = "payment_id, subject, payment_type, payment_create_time, callback_time, detail_id, order_id, sku_id, user_id, total_amount, split_total_amount, order_create_time"
+
+
+@query(f"select {_doubles(PAID)} from paid")
+def payment_interval_join(spark, sf):
+    return plain(_paid(spark, sf).select(*map(str.strip, PAID.split(","))))
+
+
+def _paid(spark, sf):
+    return wide.payment_wide(data.payment_info(spark, sf), _lines(spark, sf), low_ms=-30 * DAY_MS)
+
+
+AGE = f"cast((epoch_ms(timestamp '{NOW}') - epoch_ms(cast(u.birthday as timestamp))) // {times.YEAR_MS} as integer)"
+
+
+@query(f"select order_id, user_id, {AGE} as user_age, u.gender as user_gender from oi left join users u on cast(user_id as varchar) = u.id")
+def lookup_user(spark, sf):
+    orders = data.order_info(spark, sf).select(F.col("id").alias("order_id"), "user_id")
+    return wide.with_user(orders, data.dimensions(spark, sf)["user"], _now())
+
+
+@query("select order_id, province_id, n_name as province_name, r_name as province_area_code, iso as province_iso_code, iso2 as province_3166_2_code from oi left join provinces p on cast(province_id as varchar) = p.id")
+def lookup_province(spark, sf):
+    orders = data.order_info(spark, sf).select(F.col("id").alias("order_id"), "province_id")
+    return wide.with_province(orders, data.dimensions(spark, sf)["province"])
+
+
+def _sku_lines(spark, sf):
+    return wide.with_sku(data.order_detail(spark, sf).select(F.col("id").alias("detail_id"), "sku_id"), data.dimensions(spark, sf)["sku"], price=True)
+
+
+@query("select detail_id, sku_id, s.sku_name, spu_id, category3_id, tm_id, cast(sku_price as double) as sku_price from od left join skus s using (sku_id)")
+def lookup_sku(spark, sf):
+    return plain(_sku_lines(spark, sf))
+
+
+@query("select detail_id, spu_id, spu_name from od left join skus using (sku_id) left join spus using (spu_id)")
+def lookup_spu(spark, sf):
+    return wide.with_spu(_sku_lines(spark, sf).select("detail_id", "spu_id"), data.dimensions(spark, sf)["spu"])
+
+
+@query("select detail_id, category3_id, category3_name from od left join skus using (sku_id) left join categories using (category3_id)")
+def lookup_category3(spark, sf):
+    return wide.with_category(_sku_lines(spark, sf).select("detail_id", "category3_id"), data.dimensions(spark, sf)["category"])
+
+
+@query("select detail_id, tm_id, tm_name from od left join skus using (sku_id) left join trademarks using (tm_id)")
+def lookup_trademark(spark, sf):
+    return wide.with_trademark(_sku_lines(spark, sf).select("detail_id", "tm_id"), data.dimensions(spark, sf)["trademark"])
+
+
+@query(f"""select {_doubles(ORDER_FIELDS, "w.")}, s.sku_name, {AGE} as user_age, u.gender as user_gender, n_name as province_name, r_name as province_area_code, iso as province_iso_code, iso2 as province_3166_2_code,
+    spu_id, category3_id, tm_id, spu_name, category3_name, tm_name, cast(null as varchar) as expire_time, cast(null as varchar) as operate_time, cast(null as varchar) as create_hour, cast(null as double) as split_feight_fee
+    from wide w left join users u on cast(user_id as varchar) = u.id left join provinces p on cast(province_id as varchar) = p.id
+    left join skus s using (sku_id) left join spus using (spu_id) left join categories using (category3_id) left join trademarks using (tm_id)""")
+def order_wide(spark, sf):
+    return plain(wide.order_wide(_lines(spark, sf), data.dimensions(spark, sf), _now()).drop("order_ts", "detail_ts"))
+
+
+@query(f"select user_id, {AGE} as user_age from (select cast(id as bigint) as user_id, birthday from users) u")
+def user_age(spark, sf):
+    users = data.dimensions(spark, sf)["user"]
+    born = times.text_millis(F.concat("BIRTHDAY", F.lit(" 00:00:00")))
+    return users.select(F.col("id").cast("long").alias("user_id"), times.age(born, _now()).alias("user_age"))
+
+
+# statistics
+
+
+def _province_rows(spark, sf):
+    o = data.order_info(spark, sf).select(F.col("id").alias("order_id"), "province_id", F.timestamp_millis("create_ts").alias("at"))
+    rows = o.join(data.order_detail(spark, sf).select("order_id", "split_total_amount"), "order_id")
+    return wide.with_province(rows, data.dimensions(spark, sf)["province"])
+
+
+@query(oracle.province(DAY_MS))
+def province_stats(spark, sf):
+    return plain(stats.province_stats(_province_rows(spark, sf), window=DAY))
+
+
+@query(oracle.province(10_000))
+def province_stats_10s(spark, sf):
+    return plain(stats.province_stats(_province_rows(spark, sf)))
+
+
+def _product_facts(spark, sf):
+    return stats.product_facts(
+        _pages(spark, sf), _lines(spark, sf), data.actions(spark, sf, "signup"), data.actions(spark, sf, "purchase"), _paid(spark, sf),
+        data.refunds(spark, sf), data.actions(spark, sf, "error"),
+    )
+
+
+@query("""select p.*, s.sku_name, s.spu_id, s.category3_id, s.tm_id, cast(s.sku_price as double) as sku_price, spu_name, category3_name, tm_name
+    from product p left join skus s using (sku_id) left join spus using (spu_id) left join categories using (category3_id) left join trademarks using (tm_id)""")
+def product_stats(spark, sf):
+    return plain(stats.product_stats(_product_facts(spark, sf), data.dimensions(spark, sf), window=DAY))
+
+
+@query("select * from product", 10_000)
+def product_stats_10s(spark, sf):
+    return plain(stats.product_sums(_product_facts(spark, sf)))
+
+
+TOKENS = r"unnest(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
+
+
+@query(f"select doc_id, word, count(*) as n from (select doc_id, {TOKENS.format('text')} as word from documents) group by all")
+def keyword_tokens(spark, sf):
+    docs = data.table(spark, sf, "documents").select("doc_id", F.explode(words.tokens(F.col("text"))).alias("word"))
+    return docs.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query(f"""select keyword, count(*) as ct, 'SEARCH' as source, {oracle.bucket("ts", DAY_MS)[0]} as stt, {oracle.bucket("ts", DAY_MS)[1]} as edt
+    from (select {TOKENS.format("item")} as keyword, ts from pages where page_id = 'good_list' and item is not null) group by all""")
+def keyword_stats(spark, sf):
+    return stats.keyword_stats(stats.search_words(_pages(spark, sf)), window=DAY)
+
+
+@query(f"""select stt, edt, {TOKENS.format("spu_name")} as keyword, ct, source from (
+    select stt, edt, sku_id, click_ct as ct, 'CLICK' as source from product union all select stt, edt, sku_id, cart_ct, 'CART' from product union all select stt, edt, sku_id, order_ct, 'ORDER' from product)
+    join skus using (sku_id) join spus using (spu_id) where ct > 0""")
+def keyword_product_c2r(spark, sf):
+    return stats.product_keywords(stats.product_stats(_product_facts(spark, sf), data.dimensions(spark, sf), window=DAY))
+
+
+@query(f"""select n_nationkey, {TOKENS.format("n_name")} as word, ct, source from (select n_nationkey, n_name, n_regionkey as ct, 'CLICK' as source from nation
+    union all select n_nationkey, n_name, 1, 'CART' from nation) where ct > 0""")
+def table_functions(spark, sf):
+    words.register_functions(spark)
+    data.table(spark, sf, "nation").createOrReplaceTempView("tidewater_nation")
+    return spark.sql("""select n_nationkey, t.word, a.ct, a.source from tidewater_nation, lateral ik_analyze(replace(n_name, '_', ' ')) t,
+        lateral keywordProductC2R(cast(n_regionkey as bigint), 1L, null) a""")
+
+
+# functions
+
+
+@query("select event_id, page_id, item from pages where page_id = 'good_list' and item is not null")
+def map_access(spark, sf):
+    page = F.create_map(F.lit("page_id"), F.col("page.page_id"), F.lit("item"), F.col("page.item"))
+    rows = _pages(spark, sf).select("event_id", page.alias("page"))
+    return rows.where("page['page_id'] = 'good_list' and page['item'] is not null").selectExpr("event_id", "page['page_id'] as page_id", "page['item'] as item")
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.none') as missing from events")
+def json_extract(spark, sf):
+    return data.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
+
+
+@query("select event_id, strftime(ts, '%Y%m%d') as day, strftime(ts + interval 8 hours, '%Y%m%d') as day_east from events")
+def epoch_to_date(spark, sf):
+    ts = F.col("ts")
+    return data.events(spark, sf).select("event_id", times.epoch_date(ts).alias("day"), times.epoch_date(ts, "+08:00").alias("day_east"))
+
+
+@query("select event_id, ts // 1000 * 1000 as ms, ts // 1000 * 1000 - 28800000 as ms_east from ev")
+def str_to_millis(spark, sf):
+    text = F.col("create_time")
+    return data.events(spark, sf).select("event_id", times.text_millis(text).alias("ms"), times.text_millis(text, "+08:00").alias("ms_east"))
+
+
+# streams
+
+
+def _topic(spark, rows: DataFrame, name: str) -> str:
+    """A batch as a topic of JSON lines."""
+    path = shared_folder(spark, name)
+    write_topic(rows, path)
+    return path
+
+
+def _page_stream(spark, sf) -> DataFrame:
+    return read_topic(spark, _topic(spark, _pages(spark, sf), "page-log"), schema=f"{schemas.PAGE_LOG}, event_id bigint")
+
+
+@query(f"""select * from ({oracle.visitor(DAY_MS).replace(" group by all", " where uv = 0 and uj = 0 group by all")}) where edt <= (select strftime(make_timestamp((max(ts) - 13000) * 1000), {oracle.FORMAT}) from pages)""")
+def stream_visitor_stats(spark, sf):
+    """Page views and sessions of the windows that the watermark has closed."""
+    pages = _page_stream(spark, sf)
+    none = pages.where("false")
+    facts = stats.visitor_facts(pages, none, none).withWatermark("at", "13 seconds")
+    return finish(stats.visitor_stats(facts, window=DAY), "visitor-stats")
+
+
+@query(f"select mid, ts from bounced where ts + {SESSION_MS} <= (select max(ts) from pages)")
+def stream_user_jump(spark, sf):
+    return finish(bounce_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump").select("mid", "ts")
+
+
+@query(None)
+def stream_new_visitors(spark, sf):
+    return finish(new_visitor_stream(_page_stream(spark, sf)), "new-visitors").select("mid", "ts", F.col("flag").alias("is_new"))
+
+
+@query("select mid, ts from visits")
+def stream_unique_visit(spark, sf):
+    return finish(unique_visit_stream(_page_stream(spark, sf)), "unique-visit").select("mid", "ts")
+
+
+@query(f"select {_doubles(ORDER_FIELDS)} from near")
+def stream_order_join(spark, sf):
+    def stream(rows, schema, name):
+        read = read_topic(spark, _topic(spark, rows, name), schema=schema)
+        return read.withColumn("at", F.timestamp_millis("create_ts")).withWatermark("at", "3 seconds")
+
+    orders = stream(data.order_info(spark, sf), schemas.ORDER_INFO, "orders").withColumnRenamed("at", "order_at")
+    lines = stream(data.order_detail(spark, sf), schemas.ORDER_DETAIL, "lines").withColumnRenamed("at", "detail_at")
+    return plain(finish(wide.order_lines(orders, lines, low_ms=-5 * DAY_MS, high_ms=5 * DAY_MS).select(*map(str.strip, ORDER_FIELDS.split(","))), "order-join"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in FOUND.items() if sql is not None}
