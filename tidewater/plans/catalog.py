@@ -362,17 +362,14 @@ def stream_visitor_stats(spark, sf):
     return finish(stats.visitor_stats(facts, window=DAY), "visitor-stats")
 
 
-@query(f"select mid, ts from bounced where ts + {SESSION_MS} <= (select max(ts) from pages)")
 def stream_user_jump(spark, sf):
     return finish(bounce_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump").select("mid", "ts")
 
 
-@query(None)
 def stream_new_visitors(spark, sf):
     return finish(new_visitor_stream(_page_stream(spark, sf)), "new-visitors").select("mid", "ts", F.col("flag").alias("is_new"))
 
 
-@query("select mid, ts from visits")
 def stream_unique_visit(spark, sf):
     return finish(unique_visit_stream(_page_stream(spark, sf)), "unique-visit").select("mid", "ts")
 

@@ -10,7 +10,7 @@ _money = lambda c: f"cast({c} as decimal(16,2))"
 _text = lambda c: f"strftime({c}, {FORMAT})"
 
 RECORDS = {
-    "ev": f"""select event_id, user_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k, epoch_ms(ts) as ts,
+    "ev": f"""select event_id, user_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k, epoch_ns(cast(ts as timestamp_ns)) // 1000000 as ts,
         cast(floor(value) as bigint) as during_time, {_text("ts")} as create_time,
         case event_type when 'click' then 'good_detail' when 'view' then 'good_list' else event_type end as page_id from events""",
     "logs": f"""select event_id, cast(user_id as varchar) as mid, 'v' || user_id % 3 as vc, 'c' || k % 2 as ch, 'a' || user_id % 5 as ar,
