@@ -87,6 +87,20 @@ def test_links_of_dense_codes_in_blocks(spark):
     assert seen == codes
 
 
+def test_links_of_codes_that_differ_in_the_sign_and_a_low_bit(spark):
+    base = 0x0123456789ABCDEF
+    low = [base ^ (1 << 63) ^ (1 << b) for b in (0, 13, 40, 56)]
+    pairs = [(base, x) for x in low] + [(base, base ^ (1 << 63) ^ 0b1110)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for pair in pairs:  # buckets of two
+        df = spark.createDataFrame([(signed(c),) for c in pair], "fp long")
+        assert {frozenset(e) for e in links(df, 4, 64, 256).collect()} == {frozenset(map(signed, pair))}
+    # all three meet in a bucket, and the base differs from both of the others in the sign and a low bit
+    codes = [signed(c) for c in (base, low[0], low[1])]
+    edges = links(spark.createDataFrame([(c,) for c in codes], "fp long"), 4, 64, 256).collect()
+    assert {c for e in edges for c in e} == set(codes)
+
+
 def test_empty_table_and_long_text(spark):
     assert made(spark, []) == []
     long = "word " * 200_000

@@ -65,7 +65,10 @@ def covering_masks(radius: int) -> list[int]:
 
 
 def _tree(codes: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Edges that connect exactly what links within the radius connect, one fewer than members a component."""
+    """Edges that connect exactly what links within the radius connect, one fewer than members a component.
+
+    Codes are unsigned: of a signed number, bitwise_count counts the bits of the absolute value.
+    """
     rest = np.arange(len(codes))
     while len(rest):
         stack, rest = [rest[0]], rest[1:]
@@ -80,7 +83,7 @@ def _tree(codes: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
 def _links(radius: int):
     def of(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["tab", "code", "pair", "fp"], ignore_index=True)
-        codes = part["fp"].to_numpy()
+        codes = part["fp"].to_numpy().view(np.uint64)
         keys = part[["tab", "code", "pair"]].to_numpy()
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[starts, len(codes)])
@@ -92,7 +95,8 @@ def _links(radius: int):
                 a, b = zip(*edges, strict=True)
                 left.append(np.array(a))
                 right.append(np.array(b))
-        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+        a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     return of
 
