@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidewater.llm.toxicity import QUOTED, allowed_edits, context_weight, evidence, find, intersect, toxicity_scores
+from tidewater.llm.toxicity import QUOTED, allowed_edits, context_weight, evidence, find, intersect, intersect_groups, learn_lexicon, toxicity_scores
 
 
 def distance(a, b):
@@ -60,6 +60,36 @@ def test_automaton_accepts_what_the_distance_allows():
         assert all(text[a:b] in words for a, b in zip(start, end, strict=True))
 
 
+def test_groups_of_entries_accept_what_all_of_them_allow():
+    rng = random.Random(5)
+    syllables = "ba de fi gu ko la me ni po ru sa te vi wo zu".split()
+    terms = sorted({("".join(rng.choice(syllables) for _ in range(rng.randint(2, 5))), rng.random() < 0.3) for _ in range(150)})
+    machines = intersect_groups(terms, 16)
+    assert len(machines) == -(-len(terms) // 16)
+    words = [t for t, _ in terms]
+    for t, _ in terms * 2:
+        at = rng.randrange(len(t))
+        words.append(t[:at] + rng.choice("abeiou") + t[at + rng.randint(0, 1) :])
+    text = " ".join(words)
+    start, end, entry, edits = find(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), machines)
+    assert (np.diff(start) > 0).all()
+    got = {text[a:b]: (n, e) for a, b, n, e in zip(start.tolist(), end.tolist(), entry.tolist(), edits.tolist(), strict=True)}
+    for w in words:
+        assert (got[w][1] if w in got else None) == best(w, terms), w
+        assert w not in got or best(w, [terms[got[w][0]]]) == got[w][1]
+
+
+def test_every_entry_that_passes_is_learned(spark):
+    insults = [f"{a}{b}rk" for a in "qa we zi ku ro ti ha je mu".split() for b in "du mo lo pe na be su la vi".split()]
+    words = [f"w{i}" for i in range(12)]
+    rows = [(n, f"{words[n % 12]} {insult} w0", 1) for n, insult in enumerate(i for i in insults for _ in range(12))]
+    rows += [(2000 + n, f"{words[n % 12]} calm w0", 0) for n in range(2000)]
+    sample = spark.createDataFrame(rows, "id long, text string, y int")
+    learned = learn_lexicon(sample, least=8, ratio=30.0)
+    covered = [i for i in insults if any(i == e or stem and i.startswith(e) for e, stem in learned)]
+    assert covered == insults
+
+
 def test_context_separates_quotation_from_abuse():
     abuse, quoted, reported = "you are such an idiot today", 'the word "idiot" is old', "he wrote idiot on it"
     at = lambda t: context_weight(t, t.index("idiot"), t.index("idiot") + 5, False)

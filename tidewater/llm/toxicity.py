@@ -1,10 +1,10 @@
 """Toxicity scores: a lexicon trie met by Levenshtein automata, with context windows that tell quotation from abuse.
 
 The lexicon is learned from a bounded sample of labelled rows: words, and stems that many words share, which
-nearly only toxic texts hold. Its trie and the Levenshtein automaton of each entry are intersected into one
-deterministic table: a state is a set of (trie node, edits so far). All words of a batch walk the table together, one
-character a step, and most die after a few. A word that ends in an accepting state is an entry with at most its
-allowed number of misspellings; a stem accepts any ending.
+nearly only toxic texts hold. Its trie and the Levenshtein automaton of each entry are intersected into a
+deterministic table for every GROUP entries: a state is a set of (trie node, edits so far). All words of a text walk a
+table together, one character a step, and most die after a few. A word that ends in an accepting state is an entry
+with at most its allowed number of misspellings; a stem accepts any ending.
 
 Each match weighs by its context: in quotation marks or after a word of reporting it counts less, next to a second
 person or in a run of matches it counts in full. A logistic model of exact and misspelled evidence gives the score.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.labelled import fit_logistic, fold, labelled_sample
 
+#: Entries of one table: states grow faster than the entries of a table, but in proportion to the tables.
+GROUP = 64
 WINDOW = 8
 QUOTED = 0.35
 # fixed values: marks of quotation, words of reporting and of address in the languages of the corpus
@@ -146,9 +148,14 @@ def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return solid[a[has]], solid[b[has]] + 1
 
 
-def find(codes: np.ndarray, machine: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, entry, edits) of the words in code points that the automaton accepts, in order."""
-    start, end = _words(codes)
+def intersect_groups(terms: list[tuple[str, bool]], size: int = GROUP) -> tuple[Automaton, ...]:
+    """Automata over neighbouring entries, at most ``size`` each; together they hold all terms, numbered as in terms."""
+    made = [(at, intersect(terms[at : at + size])) for at in range(0, max(1, len(terms)), size)]
+    return tuple(replace(m, entry=np.where(m.entry >= 0, m.entry + at, -1)) for at, m in made)
+
+
+def _walk(codes: np.ndarray, start: np.ndarray, end: np.ndarray, machine: Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words the automaton accepts, and the states in which it does."""
     classes = np.zeros(0x30000, dtype=np.int32)
     for k, c in enumerate(machine.letters):
         classes[ord(c)] = k + 1
@@ -170,9 +177,24 @@ def find(codes: np.ndarray, machine: Automaton) -> tuple[np.ndarray, np.ndarray,
         live, state, at = live[keep], state[keep], at[keep]
     hit = np.concatenate(hits) if hits else np.zeros(0, dtype=np.int64)
     state = np.concatenate(states) if states else np.zeros(0, dtype=np.int32)
-    order = np.argsort(hit)
-    hit, state = hit[order], state[order]
-    return start[hit], end[hit], machine.entry[state], machine.edits[state]
+    return hit, state
+
+
+def find(codes: np.ndarray, machines: Automaton | tuple[Automaton, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, entry, edits) of the words in code points that an automaton accepts, in order.
+
+    Of several automata that accept a word, the one with the fewest edits counts.
+    """
+    start, end = _words(codes)
+    found = []
+    for machine in (machines,) if isinstance(machines, Automaton) else machines:
+        hit, state = _walk(codes, start, end, machine)
+        found.append((hit, machine.entry[state], machine.edits[state]))
+    hit, entry, edits = (np.concatenate(column) for column in zip(*found, strict=True))
+    order = np.lexsort((entry, edits, hit))
+    order = order[np.diff(hit[order], prepend=-1) > 0]
+    hit = hit[order]
+    return start[hit], end[hit], entry[order], edits[order]
 
 
 def context_weight(text: str, start: int, end: int, crowded: bool) -> float:
@@ -192,17 +214,17 @@ def context_weight(text: str, start: int, end: int, crowded: bool) -> float:
 
 @dataclass
 class Model:
-    machine: Automaton
+    machines: tuple[Automaton, ...]
     clean: frozenset[str]  # misspelled forms that clean sample texts use
     weights: np.ndarray
 
 
-def evidence(text: str, machine: Automaton, clean: frozenset[str], codes: np.ndarray | None = None) -> tuple[float, float]:
+def evidence(text: str, machines: Automaton | tuple[Automaton, ...], clean: frozenset[str], codes: np.ndarray | None = None) -> tuple[float, float]:
     """Context-weighted sums over one whole text: of exact matches, and of misspelled ones."""
     lowered = text.lower()
     if codes is None:
         codes = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    start, end, _, edits = find(codes, machine)
+    start, end, _, edits = find(codes, machines)
     exact = near = 0.0
     starts = start.tolist()
     for i, (a, b, e) in enumerate(zip(starts, end.tolist(), edits.tolist(), strict=True)):
@@ -244,8 +266,8 @@ def _counted(longest: int):
     return run
 
 
-def learn_lexicon(sample: DataFrame, *, least: int, ratio: float, size: int = 64, longest: int = 12) -> list[tuple[str, bool]]:
-    """Entries of a labelled sample: (word, False) or (stem, True), in order, at most ``size``.
+def learn_lexicon(sample: DataFrame, *, least: int, ratio: float, longest: int = 12) -> list[tuple[str, bool]]:
+    """Entries of a labelled sample: (word, False) or (stem, True), in order; all that pass, since the sample is bounded.
 
     An entry follows at least ``least`` different words in toxic texts, and their share that holds it is ``ratio``
     times that of clean texts.
@@ -270,22 +292,20 @@ def learn_lexicon(sample: DataFrame, *, least: int, ratio: float, size: int = 64
             best = longer[0]
         whole = words.get(best, 0) >= 0.9 * stems[best]
         entries.append((best, not whole))
-    entries = set(entries) | {(w, False) for w in words if not any(w.startswith(e) for e, _ in entries)}
-    counted = lambda e: stems.get(e[0], words.get(e[0], 0))
-    return sorted(sorted(entries, key=lambda e: (-counted(e), e))[:size])
+    return sorted(set(entries) | {(w, False) for w in words if not any(w.startswith(e) for e, _ in entries)})
 
 
-def _evidence_of(machine: Automaton, clean: frozenset[str], forms: bool):
+def _evidence_of(machines: tuple[Automaton, ...], clean: frozenset[str], forms: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text, y in zip(batch["id"], batch["text"], batch["y"], strict=True):
                 if forms:
                     lowered = text.lower()
-                    start, end, _, edits = find(np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), machine)
+                    start, end, _, edits = find(np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), machines)
                     rows += [(doc, f, 0.0, 0.0, y) for f in {lowered[a:b] for a, b, e in zip(start, end, edits, strict=True) if e}]
                 else:
-                    rows.append((doc, "", *evidence(text, machine, clean), y))
+                    rows.append((doc, "", *evidence(text, machines, clean), y))
             yield pd.DataFrame(rows, columns=["id", "form", "exact", "near", "y"])
 
     return run
@@ -298,17 +318,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, parts: int, held_out: in
     sample = labelled_sample(docs, labels, "toxic", parts, held_out, train_rows).cache()
     try:
         learned = learn_lexicon(sample, least=least, ratio=ratio)
-        machine = intersect(sorted({*learned, *((w, False) for w in lexicon)}))
-        forms = sample.where("y = 0").mapInPandas(_evidence_of(machine, frozenset(), True), EVIDENCE)
+        machines = intersect_groups(sorted({*learned, *((w, False) for w in lexicon)}))
+        forms = sample.where("y = 0").mapInPandas(_evidence_of(machines, frozenset(), True), EVIDENCE)
         clean = frozenset(r["form"] for r in forms.groupBy("form").count().where("count >= 2").collect())
-        got = sample.mapInPandas(_evidence_of(machine, clean, False), EVIDENCE).toPandas().sort_values(["id", "exact", "near"])
+        got = sample.mapInPandas(_evidence_of(machines, clean, False), EVIDENCE).toPandas().sort_values(["id", "exact", "near"])
     finally:
         sample.unpersist()
     x, y = np.log1p(got[["exact", "near"]].to_numpy(dtype=float)), got["y"].to_numpy(dtype=float)
     weights = fit_logistic(x, y, ridge=0.2)
     # a misspelling is rarer in the sample than its word; it weighs half as much where the sample shows no more
     weights[1] = max(weights[1], 0.5 * weights[0])
-    return Model(machine, clean, weights)
+    return Model(machines, clean, weights)
 
 
 def toxicity_scores(
@@ -335,7 +355,7 @@ def toxicity_scores(
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         m = model.value
-        x = np.log1p(np.array([evidence(t or "", m.machine, m.clean) for t in texts]).reshape(-1, 2))
+        x = np.log1p(np.array([evidence(t or "", m.machines, m.clean) for t in texts]).reshape(-1, 2))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ m.weights[:2] + m.weights[2], -35, 35))))
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(F.col("text").cast("string")).alias("score"))
