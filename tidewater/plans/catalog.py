@@ -355,7 +355,7 @@ def _page_stream(spark, sf) -> DataFrame:
 
 @query(f"""select * from ({oracle.visitor(DAY_MS).replace(" group by all", " where uv = 0 and uj = 0 group by all")}) where edt <= (select strftime(make_timestamp((max(ts) - 13000) * 1000), {oracle.FORMAT}) from pages)""")
 def stream_visitor_stats(spark, sf):
-    """Page views and sessions of the windows that the watermark has closed."""
+    """Page views and sessions of the windows that the watermark has closed; uv_ct and uj_ct are 0, their streams are not fed."""
     pages = _page_stream(spark, sf)
     none = pages.where("false")
     facts = stats.visitor_facts(pages, none, none).withWatermark("at", "13 seconds")
