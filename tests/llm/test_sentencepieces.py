@@ -45,7 +45,7 @@ def test_rows_of_every_kind(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, None), (3, "a"), (3, "a")]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, ids string, n_ids int")
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    encoded = encode_documents(docs, PATH, batch=4)
+    encoded = encode_documents(docs, PATH, memo_bytes=2000)
     got = encoded.collect()
     for (d, t), r in zip(rows, got, strict=True):
         assert (r.doc_id, r.ids, r.n_ids) == (d, library.encode(t or ""), len(r.ids)) and r.round_trip

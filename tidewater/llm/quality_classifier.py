@@ -8,14 +8,14 @@ labelled rows, and a part of that sample calibrates margins to probabilities. Te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import map_texts, materialise
 from tidewater.llm.labelled import fit_logistic, fold, labelled_sample
 
 SPACE = 17  # bits of each of the two hashed spaces
@@ -126,36 +126,44 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, cost: float = 1.0, epochs: int
     return Model(w * ratio, ratio**2, b, float(slope), float(shift))
 
 
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "found": [indicators(t) for t in batch["text"]], "y": batch["y"]})
+def _found(texts: list[str]) -> list[pa.Array]:
+    found = [indicators(t) for t in texts]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, parts: int, held_out: int, train_rows: int, label: str = "quality") -> Model:
-    """The model of at most train_rows labelled rows; their n-grams are made on the executors."""
+def fit_quality(docs: DataFrame, labels: DataFrame, *, parts: int, held_out: int, train_rows: int, train_ngrams: int, label: str = "quality") -> Model:
+    """The model of at most train_rows labelled rows with at most train_ngrams n-grams between them.
+
+    Their n-grams are made on the executors. The driver first sees how many each row has, and takes rows in order of a
+    hash of their ids up to the bound.
+    """
     sample = labelled_sample(docs, labels, label, parts, held_out, train_rows)
-    got = sample.mapInPandas(_sampled, "id long, found array<int>, y int").toPandas()
+    made = materialise(map_texts(sample, "text", "found array<int>", _found).withColumn("h", F.xxhash64("id", F.lit(1))), "quality-sample")
+    sizes = made.groupBy("h").agg(F.sum(F.size("found")).alias("n")).toPandas().sort_values("h")
+    within = sizes["h"][sizes["n"].cumsum() <= train_ngrams]
+    got = made.where(F.col("h") <= int(within.max())).toPandas() if len(within) else made.limit(0).toPandas()
     got["head"] = [tuple(x[:50]) for x in got["found"]]
     got = got.sort_values(["id", "y", "head"], ignore_index=True)
     return fit([np.asarray(x, dtype=np.int64) for x in got["found"]], got["y"].to_numpy(dtype=float))
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, *, parts: int = 4, held_out: int = 2, train_rows: int = 6000, threshold: float = 0.7
+    docs: DataFrame, labels: DataFrame, *, parts: int = 4, held_out: int = 2, train_rows: int = 6000, train_ngrams: int = 16_000_000, threshold: float = 0.7
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Labels of rows in the held-out fold are never read into the model. Null and empty texts get a score like any
+    Labels of rows in the held-out fold are never read into the model, which fits on a sample of the others (bounded by
+    train_rows and train_ngrams, 4 bytes each). Null and empty texts get a score like any
     other; rows without id keep a null id and held_out false. Repeated rows stay, an empty table gives no rows.
     Without labels every score is one half. Of docs only doc_id and text are read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, parts=parts, held_out=held_out, train_rows=train_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, parts=parts, held_out=held_out, train_rows=train_rows, train_ngrams=train_ngrams))
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.value.score(indicators(t or "")) for t in texts], dtype="float64")
+    def scored(texts: list[str]) -> list[list[float]]:
+        return [[model.value.score(indicators(t)) for t in texts]]
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(F.col("text").cast("string")).alias("score"))
+    out = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("body")), "body", "score double", scored)
     return out.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),

@@ -8,7 +8,8 @@ The concentration steps are Spark aggregations over all documents. One step deal
 logarithm of its squared distance and sums counts, vectors and products by group and bin; adding up bins from the
 smallest until they hold ``coverage`` of a group gives the next estimate. Partial sums keep a group with a third of
 all rows cheap, and only a bounded number of bins of a group meets in one task. Two deterministic starts run side
-by side (coordinate-wise medians with their absolute deviations, and plain moments); the smaller determinant wins.
+by side (coordinate-wise medians with the quartiles' distance, and plain moments); the smaller determinant wins.
+Groups whose determinant has settled take no part in further steps.
 Groups under ``least_rows`` documents pool by language, and those under it again pool together.
 """
 
@@ -19,10 +20,10 @@ import operator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, materialise
+from tidewater.llm.common import discard, map_texts, materialise
 
 SYMBOLS = b"#*$%&|<>"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
@@ -80,12 +81,8 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(hit)[:-1] > 0).sum())
 
 
-def _statistics(text: Column) -> Column:
-    @F.pandas_udf(STATS)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics(t) for t in texts], columns=[c.split()[0] for c in STATS.split(", ")], dtype="int64")
-
-    return of(text)
+def _statistics(texts: list[str]) -> list[np.ndarray]:
+    return list(np.array([statistics(t) for t in texts], dtype=np.int64).reshape(-1, len(STATS.split(","))).T)
 
 
 def _features() -> dict[str, Column]:
@@ -132,7 +129,11 @@ def _consistency(coverage: float) -> float:
 P = len(DIMS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 SUMS = [*DIMS, *(f"{DIMS[i]}_{DIMS[j]}" for i, j in PAIRS)]
-ESTIMATE = f"grp string, start int, mean array<double>, inverse array<double>, log_det double, edge long"
+ESTIMATE = "grp string, start int, mean array<double>, inverse array<double>, log_det double, edge long, moved double"
+#: A group has settled when a step changes the logarithm of its determinant by no more than this.
+SETTLED = 1e-4
+#: Distance of the quartiles of a normal sample, in standard deviations.
+QUARTILES = 1.349
 
 
 def _estimate(coverage: float):
@@ -151,7 +152,7 @@ def _estimate(coverage: float):
         cov = cov * scale + floor
         return pd.DataFrame([{
             "grp": key[0], "start": int(key[1]), "mean": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist(),
-            "log_det": float(np.linalg.slogdet(cov)[1]), "edge": int(bins["bin"].iloc[last]),
+            "log_det": (log_det := float(np.linalg.slogdet(cov)[1])), "edge": int(bins["bin"].iloc[last]), "moved": abs(log_det - float(bins["was"].iloc[0])),
         }])
 
     return of
@@ -166,35 +167,38 @@ def _binned(rows: DataFrame) -> DataFrame:
     """Counts and sums by group, start and bin of the squared distance."""
     dealt = rows.withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-9))) * BINS_PER_LOG))
     return dealt.groupBy("grp", "start", "bin").agg(
-        F.count("*").alias("n"),
+        F.count("*").alias("n"), F.max("log_det").alias("was"),
         *[F.sum(d).alias(d) for d in DIMS],
         *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"{DIMS[i]}_{DIMS[j]}") for i, j in PAIRS],
     )
 
 
 def mcd(vectors: DataFrame, coverage: float, steps: int) -> DataFrame:
-    """The estimate of each group in vectors (grp and DIMS): ESTIMATE columns, one row a group."""
+    """The estimate of each group in vectors (grp and DIMS): ESTIMATE columns, one row a group.
+
+    A step is one job: it reads the vectors of the groups that have not settled, and its own output says whether any
+    has moved. Estimates are written, so that their size decides how they meet the vectors.
+    """
     next_of = lambda bins, share: bins.groupBy("grp", "start").applyInPandas(_estimate(share), ESTIMATE)
-    # start 0: medians and their absolute deviations; start 1: plain moments of all rows
-    medians = vectors.groupBy("grp").agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"m_{d}") for d in DIMS])
-    medians = materialise(medians, "medians")
-    gaps = vectors.join(medians, "grp").select("grp", *[F.abs(F.col(d) - F.col(f"m_{d}")).alias(d) for d in DIMS])
-    spreads = materialise(gaps.groupBy("grp").agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"s_{d}") for d in DIMS]), "spreads")
-    square = lambda d: F.pow(1.4826 * F.col(f"s_{d}"), 2) + FLOORS[d] ** 2
-    first = medians.join(spreads, "grp").select(
-        "grp", F.lit(0).alias("start"), F.array(*[f"m_{d}" for d in DIMS]).alias("mean"),
+    middle = vectors.groupBy("grp").agg(*[F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"q_{d}") for d in DIMS])
+    square = lambda d: F.pow((F.col(f"q_{d}")[2] - F.col(f"q_{d}")[0]) / QUARTILES, 2) + FLOORS[d] ** 2
+    unset = float("inf")  # whatever comes next has moved
+    first = middle.select(
+        "grp", F.lit(0).alias("start"), F.array(*[F.col(f"q_{d}")[1] for d in DIMS]).alias("mean"),
         F.array(*[1.0 / square(d) if i == j else F.lit(0.0) for i, d in enumerate(DIMS) for j in range(P)]).alias("inverse"),
-        F.lit(0.0).alias("log_det"), F.lit(None).cast("long").alias("edge"),
+        F.lit(unset).alias("log_det"), F.lit(None).cast("long").alias("edge"), F.lit(unset).alias("moved"),
     )
-    moments = next_of(_binned(vectors.withColumn("start", F.lit(1)).withColumn("d2", F.lit(1.0))), 1.0)
+    moments = next_of(_binned(vectors.withColumns({"start": F.lit(1), "d2": F.lit(1.0), "log_det": F.lit(unset)})), 1.0)
     now = materialise(first.unionByName(moments), "mcd")
     for _ in range(steps):
-        bins = _binned(vectors.join(now, "grp").withColumn("d2", _squared_distance()))
-        new = materialise(next_of(bins, coverage), "mcd")
-        moving = new.alias("b").join(now.alias("a"), ["grp", "start"]).where("abs(a.log_det - b.log_det) > 1e-9 or a.edge is null").limit(1).count()
+        moving = now.where(F.col("moved") > SETTLED)
+        bins = _binned(vectors.join(moving.drop("moved"), "grp").withColumn("d2", _squared_distance()))
+        seen = Observation()
+        new = next_of(bins, coverage).unionByName(now.where(F.col("moved") <= SETTLED))
+        new = materialise(new.observe(seen, F.coalesce(F.max("moved"), F.lit(0.0)).alias("most")), "mcd")
         discard(now)
         now = new
-        if not moving:
+        if seen.get["most"] <= SETTLED:
             break
     best = now.groupBy("grp").agg(F.min(F.struct("log_det", "start", "mean", "inverse", "edge")).alias("e"))
     return best.select("grp", "e.*")
@@ -229,11 +233,12 @@ def quality_rules(
     rows each count; an empty table gives no rows. Groups too small for an estimate (see module) are pooled.
     distance2 is null for rows that failed the base rules.
     """
+    # the text comes along once, as what is counted
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-        _statistics(F.col("text").cast("string")).alias("s"), *[F.col(c).alias(f"carried_{c}") for c in carry],
+        F.col("text").cast("string").alias("carried_text"), *[F.col(c).alias(f"carried_{c}") for c in carry if c != "text"],
     )
-    rows = named.select("doc_id", "lang", "source", "s.*", *[f"carried_{c}" for c in carry])
+    rows = map_texts(named, "carried_text", STATS, _statistics, keep_text="text" in carry)
     rows = materialise(
         rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "statistics"
     )

@@ -24,18 +24,23 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import map_texts
+
 BLANK = "▁"
-RESULT = "doc_id long, n_ids int, ids array<int>, decoded_sha256 string, round_trip boolean"
+#: What an entry of a memo takes besides its characters and ids; a pair of pieces with its answer.
+WORD_BYTES, APART_BYTES = 220, 200
+MADE = "n_ids int, ids array<int>, decoded_sha256 string, round_trip boolean"
 
 
 class Pieces:
     """A model file's pieces with encode() and decode()."""
 
-    def __init__(self, path: str, memo_words: int):
+    def __init__(self, path: str, memo_bytes: int):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -46,7 +51,7 @@ class Pieces:
         if norm.name != "identity" or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not proto.trainer_spec.byte_fallback:
             raise ValueError(f"{path}: only models with identity normalisation, a dummy prefix and byte pieces are supported")
         self.merging = proto.trainer_spec.model_type == 2
-        self.memo_words, self.memo = memo_words, {}
+        self.memo_bytes, self.memo, self.held = memo_bytes, {}, 0
         self.shown = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(len(self.shown))]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.shown) if model.is_byte(i)}
@@ -127,7 +132,7 @@ class Pieces:
                 after, tie, right = scores[right], True, r_halves[0]
             else:
                 apart = True
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) * APART_BYTES > self.memo_bytes:
             self.apart.clear()
         self.apart[a, b] = apart
         return apart
@@ -182,9 +187,14 @@ class Pieces:
                     known = self._blanks(lead) + known[1:]
                 elif lead > 1 or not word:
                     known = self._blanks(lead - bool(word)) + known
-                if len(memo) >= self.memo_words:
+                # a number of 8 bytes a piece, and what strings, lists and the table take
+                size = 4 * len(chunk) + 8 * len(known) + WORD_BYTES
+                if self.held + size > self.memo_bytes:
                     memo.clear()
-                memo[chunk] = known
+                    self.held = 0
+                if size <= self.memo_bytes:
+                    memo[chunk] = known
+                    self.held += size
             out += known
         return out
 
@@ -200,37 +210,33 @@ class Pieces:
 
 
 @functools.cache
-def _pieces(path: str, memo_words: int) -> Pieces:
-    return Pieces(path, memo_words)
+def _pieces(path: str, memo_bytes: int) -> Pieces:
+    return Pieces(path, memo_bytes)
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, memo_words: int = 300_000, batch: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, *, memo_bytes: int = 48_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_ids, ids, decoded_sha256, round_trip.
 
     decoded_sha256 is that of the text which the ids decode to; round_trip says whether it equals the input, the
     mark for blanks (U+2581) read as a blank. Null texts count as empty and have no ids. Repeated rows and null ids
-    stay, an empty table gives no rows, other columns are not read. Row by row; nothing is shuffled.
+    stay, an empty table gives no rows, other columns are not read. Row by row; nothing is shuffled. A worker remembers
+    words in at most memo_bytes, and as much again of pairs of pieces.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(model_path, memo_words)
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                flat, offsets, digests, same = array("i"), array("i", [0]), [], []
-                for source in part.column(1).to_pylist():
-                    source = source or ""
-                    ids = pieces.encode(source)
-                    decoded = pieces.decode(ids)
-                    flat.extend(ids)
-                    offsets.append(len(flat))
-                    digests.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                    same.append(decoded == source.replace(BLANK, " "))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                sizes = pa.array([offsets[i + 1] - offsets[i] for i in range(len(same))], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, lists, pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids", "decoded_sha256", "round_trip"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, RESULT)
+    def of(texts: list[str]) -> list:
+        pieces = _pieces(model_path, memo_bytes)
+        flat, offsets, digests, same = array("i"), array("i", [0]), [], []
+        for source in texts:
+            ids = pieces.encode(source)
+            decoded = pieces.decode(ids)
+            flat.extend(ids)
+            offsets.append(len(flat))
+            digests.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+            same.append(decoded == source.replace(BLANK, " "))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+        return [pc.list_value_length(lists), lists, digests, same]
+
+    return map_texts(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body")), "body", MADE, of)
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:

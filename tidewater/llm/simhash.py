@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise
+from tidewater.llm.common import map_texts, materialise
 from tidewater.llm.components import connected_components
 
 BITS = 64
@@ -48,12 +48,10 @@ def fingerprint(text: str | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp): the fingerprint as a signed long, for every row; null texts count as empty."""
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
-        return pd.Series(found.view(np.int64))
+    def of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), of(F.col(text).cast("string")).alias("fp"))
+    return map_texts(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body")), "body", "fp long", of)
 
 
 def covering_masks(radius: int) -> list[int]:

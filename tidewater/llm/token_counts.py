@@ -13,12 +13,11 @@ import importlib.metadata
 import json
 import os
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANKS, materialise, text_or_empty
+from tidewater.llm.common import BLANKS, map_texts, materialise, text_or_empty
 
 CACHE_SCHEMA = "content string, n_tokens long, tokenizer string"
 
@@ -66,10 +65,18 @@ def _words_seen(path: str) -> dict[bytes, int]:
     return {}
 
 
-def count_tokens(texts: list[str], path: str, memo_words: int) -> list[int]:
+_held: dict[str, int] = {}  # bytes of _words_seen
+
+
+#: What a remembered word takes besides its own bytes: an object, its number and its place in the table.
+WORD_BYTES = 150
+
+
+def count_tokens(texts: list[str], path: str, memo_bytes: int) -> list[int]:
     """The library's counts of whole texts.
 
-    Where a tokenizer drops blanks, words are encoded once and remembered, up to memo_words of them a worker.
+    Where a tokenizer drops blanks, words are encoded once and remembered, in about memo_bytes of memory a worker; a
+    text with more words than that has them all in memory while it is counted.
     """
     encode = _encoder(path)
     if not _drops_blanks_cached(path):
@@ -78,9 +85,11 @@ def count_tokens(texts: list[str], path: str, memo_words: int) -> list[int]:
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").split()
         if new := list(set(words) - seen.keys()):
-            if len(seen) + len(new) > memo_words:
+            held = _held[path] = _held.get(path, 0) + sum(map(len, new)) + WORD_BYTES * len(new)
+            if held > memo_bytes and seen:
                 seen.clear()
                 new = list(set(words))
+                _held[path] = sum(map(len, new)) + WORD_BYTES * len(new)
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 seen.update(zip(part, encode([w.decode("utf-8", "surrogatepass") for w in part]), strict=True))
@@ -107,7 +116,7 @@ def token_counts(
     cache: str,
     *,
     limit: int = 2048,
-    memo_words: int = 400_000,
+    memo_bytes: int = 64_000_000,
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
@@ -125,12 +134,12 @@ def token_counts(
     digested = docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), content.alias("body"))
     digested = digested.withColumn("content", F.sha2(F.col("body"), 256))
 
-    @F.pandas_udf("long")
-    def counted(bodies: pd.Series) -> pd.Series:
-        return pd.Series(count_tokens(bodies.tolist(), tokenizer_path, memo_words), dtype="int64")
+    def counted(bodies: list[str]) -> list[list[int]]:
+        return [count_tokens(bodies, tokenizer_path, memo_bytes)]
 
     misses = digested.groupBy("content").agg(F.first("body").alias("body")).join(_stored(spark, cache, tokenizer), "content", "left_anti")
-    misses.select("content", counted("body").alias("n_tokens"), F.lit(tokenizer).alias("tokenizer")).write.partitionBy("tokenizer").mode("append").parquet(cache)
+    made = map_texts(misses.select("content", "body"), "body", "n_tokens long", counted)
+    made.withColumn("tokenizer", F.lit(tokenizer)).write.partitionBy("tokenizer").mode("append").parquet(cache)
     # written, so that the join can split the rows of one text with very many copies
     counts = materialise(_stored(spark, cache, tokenizer).groupBy("content").agg(F.first("n_tokens").alias("n_tokens")), "counts")
     return digested.select("doc_id", "n_bytes", "content").join(counts, "content").select(
