@@ -19,9 +19,11 @@ import math
 import operator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewater.llm.common import discard, map_texts, materialise
 
@@ -129,8 +131,8 @@ def _consistency(coverage: float) -> float:
 P = len(DIMS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 SUMS = [*DIMS, *(f"{DIMS[i]}_{DIMS[j]}" for i, j in PAIRS)]
-ESTIMATE = "grp string, start int, mean array<double>, inverse array<double>, log_det double, edge long, moved double"
-#: A group has settled when a step changes the logarithm of its determinant by no more than this.
+ESTIMATE = "grp string, start int, mean array<double>, inverse array<double>, log_det double, edge long, gained double"
+#: A group has settled when a step lowers the logarithm of its determinant by no more than this.
 SETTLED = 1e-4
 #: Distance of the quartiles of a normal sample, in standard deviations.
 QUARTILES = 1.349
@@ -138,22 +140,26 @@ QUARTILES = 1.349
 
 def _estimate(coverage: float):
     """From one group's bins, the next estimate. One row a bin; the bins are bounded, whatever the group holds."""
+    schema = to_arrow_schema(StructType.fromDDL(ESTIMATE))
     scale, floor = _consistency(coverage), np.diag([f * f for f in FLOORS.values()])
 
-    def of(key, bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("bin")
-        counts = bins["n"].to_numpy()
+    def of(key: tuple, bins: pa.Table) -> pa.Table:
+        number = bins.column("bin").to_numpy()
+        order = np.argsort(number)
+        counts = bins.column("n").to_numpy()[order]
         last = int(np.searchsorted(np.cumsum(counts), math.ceil(coverage * counts.sum())))
-        n = counts[: last + 1].sum()
-        sums = bins[SUMS].to_numpy()[: last + 1].sum(axis=0) / n
+        held = order[: last + 1]
+        sums = np.array([bins.column(c).to_numpy()[held].sum() for c in SUMS]) / counts[: last + 1].sum()
         mean, cov = sums[:P], np.zeros((P, P))
         for (i, j), s in zip(PAIRS, sums[P:], strict=True):
             cov[i, j] = cov[j, i] = s - mean[i] * mean[j]
         cov = cov * scale + floor
-        return pd.DataFrame([{
-            "grp": key[0], "start": int(key[1]), "mean": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist(),
-            "log_det": (log_det := float(np.linalg.slogdet(cov)[1])), "edge": int(bins["bin"].iloc[last]), "moved": abs(log_det - float(bins["was"].iloc[0])),
-        }])
+        log_det, was = float(np.linalg.slogdet(cov)[1]), bins.column("was")[0].as_py()
+        row = {
+            "grp": key[0].as_py(), "start": key[1].as_py(), "mean": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist(),
+            "log_det": log_det, "edge": int(number[order[last]]), "gained": max(0.0, was - log_det),
+        }
+        return pa.Table.from_pylist([row], schema=schema)
 
     return of
 
@@ -177,25 +183,25 @@ def mcd(vectors: DataFrame, coverage: float, steps: int) -> DataFrame:
     """The estimate of each group in vectors (grp and DIMS): ESTIMATE columns, one row a group.
 
     A step is one job: it reads the vectors of the groups that have not settled, and its own output says whether any
-    has moved. Estimates are written, so that their size decides how they meet the vectors.
+    has gained. Estimates are written, so that their size decides how they meet the vectors.
     """
-    next_of = lambda bins, share: bins.groupBy("grp", "start").applyInPandas(_estimate(share), ESTIMATE)
+    next_of = lambda bins, share: bins.groupBy("grp", "start").applyInArrow(_estimate(share), ESTIMATE)
     middle = vectors.groupBy("grp").agg(*[F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"q_{d}") for d in DIMS])
     square = lambda d: F.pow((F.col(f"q_{d}")[2] - F.col(f"q_{d}")[0]) / QUARTILES, 2) + FLOORS[d] ** 2
-    unset = float("inf")  # whatever comes next has moved
+    unset = float("inf")  # whatever comes next has gained
     first = middle.select(
         "grp", F.lit(0).alias("start"), F.array(*[F.col(f"q_{d}")[1] for d in DIMS]).alias("mean"),
         F.array(*[1.0 / square(d) if i == j else F.lit(0.0) for i, d in enumerate(DIMS) for j in range(P)]).alias("inverse"),
-        F.lit(unset).alias("log_det"), F.lit(None).cast("long").alias("edge"), F.lit(unset).alias("moved"),
+        F.lit(unset).alias("log_det"), F.lit(None).cast("long").alias("edge"), F.lit(unset).alias("gained"),
     )
     moments = next_of(_binned(vectors.withColumns({"start": F.lit(1), "d2": F.lit(1.0), "log_det": F.lit(unset)})), 1.0)
     now = materialise(first.unionByName(moments), "mcd")
     for _ in range(steps):
-        moving = now.where(F.col("moved") > SETTLED)
-        bins = _binned(vectors.join(moving.drop("moved"), "grp").withColumn("d2", _squared_distance()))
+        moving = now.where(F.col("gained") > SETTLED)
+        bins = _binned(vectors.join(moving.drop("gained"), "grp").withColumn("d2", _squared_distance()))
         seen = Observation()
-        new = next_of(bins, coverage).unionByName(now.where(F.col("moved") <= SETTLED))
-        new = materialise(new.observe(seen, F.coalesce(F.max("moved"), F.lit(0.0)).alias("most")), "mcd")
+        new = next_of(bins, coverage).unionByName(now.where(F.col("gained") <= SETTLED))
+        new = materialise(new.observe(seen, F.coalesce(F.max("gained"), F.lit(0.0)).alias("most")), "mcd")
         discard(now)
         now = new
         if seen.get["most"] <= SETTLED:
