@@ -2,7 +2,16 @@ import random
 
 import numpy as np
 
-from tidewater.llm.toxicity import QUOTED, allowed_edits, context_weight, evidence, find, intersect, intersect_groups, learn_lexicon, toxicity_scores
+from tidewater.llm.toxicity import (
+    FEATURES, PERSONS, QUOTED, REPORTS, Model, _codes, _words, allowed_edits, context_weights, evidence, find, intersect_groups, learn_lexicon, misspelled, toxicity_scores,
+)
+
+
+def found(text, machines):
+    """(start, end, entry, edits) of every match in a text."""
+    start, end = _words(_codes(text))
+    word, entry, edits = find(_codes(text), machines)
+    return start[word], end[word], entry, edits
 
 
 def distance(a, b):
@@ -33,7 +42,7 @@ def best(word, terms):
 def test_automaton_accepts_what_the_distance_allows():
     rng = random.Random(3)
     terms = [("idiot", False), ("disgusting", False), ("scum", False), ("lowei", True), ("chlla", True), ("idle", False), ("idiots", True)]
-    machine = intersect(terms)
+    machine = intersect_groups(terms)
     words = [t for t, _ in terms]
     for _ in range(3000):
         w = list(rng.choice(words))
@@ -52,7 +61,7 @@ def test_automaton_accepts_what_the_distance_allows():
     for w in words:
         starts.append(at)
         at += len(w) + 3
-    start, end, _, edits = find(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), machine)
+    start, end, _, edits = found(text, machine)
     got = dict(zip(start.tolist(), edits.tolist(), strict=True))
     for s, w in zip(starts, words, strict=True):
         want = best(w, terms)
@@ -71,7 +80,7 @@ def test_groups_of_entries_accept_what_all_of_them_allow():
         at = rng.randrange(len(t))
         words.append(t[:at] + rng.choice("abeiou") + t[at + rng.randint(0, 1) :])
     text = " ".join(words)
-    start, end, entry, edits = find(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), machines)
+    start, end, entry, edits = found(text, machines)
     assert (np.diff(start) > 0).all()
     got = {text[a:b]: (n, e) for a, b, n, e in zip(start.tolist(), end.tolist(), entry.tolist(), edits.tolist(), strict=True)}
     for w in words:
@@ -85,19 +94,58 @@ def test_every_entry_that_passes_is_learned(spark):
     rows = [(n, f"{words[n % 12]} {insult} w0", 1) for n, insult in enumerate(i for i in insults for _ in range(12))]
     rows += [(2000 + n, f"{words[n % 12]} calm w0", 0) for n in range(2000)]
     sample = spark.createDataFrame(rows, "id long, text string, y int")
-    learned = learn_lexicon(sample, least=8, ratio=30.0)
+    learned = learn_lexicon(sample, least=8, ratio=30.0, longest=12)
     covered = [i for i in insults if any(i == e or stem and i.startswith(e) for e, stem in learned)]
     assert covered == insults
 
 
+def weighed(text, term="idiot"):
+    lowered = text.lower()
+    start, end = _words(_codes(lowered))
+    hits = np.array([i for i, (a, b) in enumerate(zip(start, end)) if lowered[a:b] == term], dtype=int)
+    return context_weights(lowered, _codes(lowered), start, end, hits, PERSONS, REPORTS).tolist()
+
+
+def by_hand(text, term="idiot"):
+    """The weights word by word: marks of the line counted, neighbours compared."""
+    lines, out = text.lower().split("\n"), []
+    words = [(n, w) for n, line in enumerate(lines) for w in line.split() if any(map(str.isalnum, w))]
+    hits = [k for k, (_, w) in enumerate(words) if w.strip("\"“”.,") == term]
+    seen = {}
+    for k in hits:
+        n, _ = words[k]
+        nth = seen[n] = seen.get(n, 0) + 1
+        cut = -1
+        for _ in range(nth):
+            cut = lines[n].index(term, cut + 1)
+        marks = lambda t: sum(t.count(q) for q in "\"“”„«»‹›")
+        quoted = marks(lines[n][:cut]) % 2 == 1 and marks(lines[n][cut:]) > 0
+        bare = lambda a, b: {w.strip("\"“”.,") for _, w in words[max(0, a) : b]}
+        abuse = any(0 < abs(k - j) <= 8 for j in hits) or PERSONS & (bare(k - 3, k) | bare(k + 1, k + 3))
+        out.append(QUOTED if quoted or (not abuse and REPORTS & bare(k - 4, k)) else 1.0)
+    return out
+
+
 def test_context_separates_quotation_from_abuse():
-    abuse, quoted, reported = "you are such an idiot today", 'the word "idiot" is old', "he wrote idiot on it"
-    at = lambda t: context_weight(t, t.index("idiot"), t.index("idiot") + 5, False)
-    assert at(abuse) == 1 and at(quoted) == QUOTED and at(reported) == QUOTED
-    machine = intersect([("idiot", False)])
-    assert evidence(quoted, machine, frozenset())[0] < evidence(abuse, machine, frozenset())[0]
-    assert evidence("an idi0t", machine, frozenset()) == (0.0, 1.0) and evidence("an idi0t", machine, frozenset({"idi0t"})) == (0.0, 0.0)
-    assert evidence("", machine, frozenset()) == (0.0, 0.0) and evidence(" \n", intersect([]), frozenset()) == (0.0, 0.0)
+    assert weighed("you are such an idiot today") == [1] and weighed('the word "idiot" is old') == [QUOTED] and weighed("he wrote idiot on it") == [QUOTED]
+    assert weighed("l'ami d'hier, c'est un idiot qu'il n'aime") == [1] and weighed("“" + "far " * 500 + "idiot " + "off " * 500 + "”") == [QUOTED]
+    assert weighed('"an old quotation' + " ends" * 40 + '" and then idiot "x"') == [1] and weighed('"open\nidiot closed"') == [1]
+    rng = random.Random(9)
+    bits = ["idiot", '"', "you", "said", "\n", "far", "off", "“idiot”", "idiot.", "“", "”", "du", "wort"]
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))
+        assert weighed(text) == by_hand(text), text
+
+
+def test_evidence_and_misspelling():
+    terms = [("idiot", False), ("oaf", False), ("\U00030001\U00030002\U00030003", False)]
+    model = Model(intersect_groups(terms), np.array([5.0, 4.0, 3.0]), np.array([2.0, 0.0, 0.0]), frozenset({"idyot"}), PERSONS, REPORTS, np.zeros(FEATURES + 1))
+    assert evidence("", model) == evidence(" \n", model) == (0.0,) * FEATURES
+    assert evidence("an idi0t", model) == (0.0, 0.0, 0.4, 0.0, float(np.log(3))) and evidence("an idyot", model)[:4] == (0.0,) * 4
+    assert evidence("oaf idiot", model)[:4] == (2.5, float(np.log(5)), 0.0, 0.0)
+    assert evidence("\U00030001\U00030002\U00030003", model)[0] == 0.9 and evidence("\U00030001\U00030002\U00030004", model)[0] == 0
+    assert misspelled("Idiot, oaf idiot.", model.machines, terms) == "idxot, oaf idxot."
+    assert evidence("x", Model(intersect_groups([]), np.zeros(0), np.zeros(0), frozenset(), PERSONS, REPORTS, np.zeros(6)))[0] == 0
 
 
 def test_held_out_accuracy_and_rows(spark):
@@ -107,9 +155,9 @@ def test_held_out_accuracy_and_rows(spark):
     for i in range(900):
         words, toxic = prose(rng.randint(20, 80)), int(rng.random() < 0.3)
         for _ in range(3 * toxic):
-            words[rng.randrange(len(words))] = rng.choice(["idiot", "moron.", "worthless", "Idiot!", "lowei" + rng.choice(["ä", "x", "st", "mu"])])
+            words[rng.randrange(len(words))] = rng.choice(["oaf", "idiot", "moron.", "worthless", "Idiot!", "lowei" + rng.choice(["ä", "x", "st", "mu"])])
         rows.append((i, " ".join(words), toxic))
-    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t, _ in rows] + [(None, "idiot", "", 0), (2000, None, "", 0), (2001, "", "", 0), (2002, "idi0t wortless idiot " + "x " * 60_000, "", 0), (3, rows[3][1], "", 0)], "doc_id long, text string, toxic string, predicted int")
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t, _ in rows] + [(None, "idiot", "", 0), (2000, None, "", 0), (2001, "", "", 0), (2002, "idi0t wortless idiot " + "x " * 60_000, "", 0), (3, rows[3][1], "", 0), (3000, "er tion the idiit an ou", "", 0), (3001, "er worthlezs the an", "", 0), (3002, "er tion the an ou in es", "", 0)], "doc_id long, text string, toxic string, predicted int")
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (8, 1, None)], "doc_id long, quality int, toxic int")
     got = toxicity_scores(docs, labels).collect()
     truth = {i: y for i, _, y in rows}
@@ -117,6 +165,7 @@ def test_held_out_accuracy_and_rows(spark):
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert len(held) > 120 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
     assert [r.predicted for r in got if r.doc_id == 2002] == [1]
+    assert [r.predicted for r in sorted(got, key=lambda r: r.doc_id or 0) if (r.doc_id or 0) >= 3000] == [1, 1, 0]
     assert [r.held_out for r in got if r.doc_id is None] == [False]
     flipped = labels.selectExpr("doc_id", "quality", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - toxic, toxic) toxic")
     assert sorted(map(str, toxicity_scores(docs, flipped).collect())) == sorted(map(str, got))

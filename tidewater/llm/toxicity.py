@@ -6,8 +6,10 @@ deterministic table for every GROUP entries: a state is a set of (trie node, edi
 table together, one character a step, and most die after a few. A word that ends in an accepting state is an entry
 with at most its allowed number of misspellings; a stem accepts any ending.
 
-Each match weighs by its context: in quotation marks or after a word of reporting it counts less, next to a second
-person or in a run of matches it counts in full. A logistic model of exact and misspelled evidence gives the score.
+A match is worth the logarithm of how much likelier toxic texts hold its entry than clean ones. Exact and misspelled
+matches are valued apart; what a misspelling is worth is seen on copies of the toxic sample texts whose entries are
+misspelled. A match weighs by its context: in quotation marks of its line, or after a word of reporting, it counts less,
+next to a second person or near another match it counts in full. A logistic model of sums and maxima gives the score.
 """
 
 from __future__ import annotations
@@ -22,14 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import discard, map_texts, materialise
 from tidewater.llm.labelled import fit_logistic, fold, labelled_sample
 
 #: Entries of one table: states grow faster than the entries of a table, but in proportion to the tables.
 GROUP = 64
-WINDOW = 8
+#: Words around a match: another match makes a run, a word of reporting stands before, a person before or after.
+WINDOW, REPORT_BEFORE, PERSON_BEFORE, PERSON_AFTER = 8, 4, 3, 2
 QUOTED = 0.35
-# fixed values: marks of quotation, words of reporting and of address in the languages of the corpus
-QUOTES = "\"“”„«»‹›‘‚"
+#: What an entry that a caller adds is worth.
+GIVEN = 6.0
+# fixed values: marks of quotation, words of reporting and of address in the languages of the corpus. Single marks are
+# none of them, since they are apostrophes as well
+QUOTES = "\"“”„«»‹›"
 REPORTS = frozenset("said says wrote writes quoted quote called term word insult sagte schrieb zitat wort dit écrit cité mot dijo escribió cita palabra".split())
 PERSONS = frozenset("you your yours u ya du dich dir dein ihr euch tu toi te ton vous votre tú ti usted ustedes vosotros".split())
 
@@ -127,17 +134,16 @@ def intersect(terms: list[tuple[str, bool]]) -> Automaton:
 
 @functools.cache
 def _alphanumeric() -> np.ndarray:
-    return np.array([chr(c).isalnum() if not 0xD800 <= c < 0xE000 else False for c in range(0x30000)])
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
 
 
-_BLANK = np.zeros(0x30000, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of blank-separated words, without marks around them."""
-    codes = np.minimum(codes, 0x2FFFF)
-    open_ = ~_BLANK[codes]
+    open_ = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
     start = np.flatnonzero(open_ & ~np.r_[False, open_[:-1]])
     end = np.flatnonzero(open_ & ~np.r_[open_[1:], False]) + 1
     solid = np.flatnonzero(_alphanumeric()[codes])
@@ -156,10 +162,9 @@ def intersect_groups(terms: list[tuple[str, bool]], size: int = GROUP) -> tuple[
 
 def _walk(codes: np.ndarray, start: np.ndarray, end: np.ndarray, machine: Automaton) -> tuple[np.ndarray, np.ndarray]:
     """Which of the words the automaton accepts, and the states in which it does."""
-    classes = np.zeros(0x30000, dtype=np.int32)
-    for k, c in enumerate(machine.letters):
-        classes[ord(c)] = k + 1
-    coded = classes[np.minimum(codes, 0x2FFFF)]
+    letters = np.r_[_codes(machine.letters), np.uint32(0x110000)]  # sorted; the last stands for none
+    coded = np.searchsorted(letters, codes)
+    coded = np.where(letters[coded] == codes, coded + 1, 0)
     live, state, at = np.arange(len(start)), np.ones(len(start), dtype=np.int32), start.copy()
     hits, states = [], []
     while len(live):
@@ -180,60 +185,103 @@ def _walk(codes: np.ndarray, start: np.ndarray, end: np.ndarray, machine: Automa
     return hit, state
 
 
-def find(codes: np.ndarray, machines: Automaton | tuple[Automaton, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, entry, edits) of the words in code points that an automaton accepts, in order.
+def find(codes: np.ndarray, machines: tuple[Automaton, ...], words: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, entry, edits) of the words that an automaton accepts, by their number in the text, in order.
 
     Of several automata that accept a word, the one with the fewest edits counts.
     """
-    start, end = _words(codes)
+    start, end = words or _words(codes)
     found = []
-    for machine in (machines,) if isinstance(machines, Automaton) else machines:
+    for machine in machines:
         hit, state = _walk(codes, start, end, machine)
         found.append((hit, machine.entry[state], machine.edits[state]))
     hit, entry, edits = (np.concatenate(column) for column in zip(*found, strict=True))
     order = np.lexsort((entry, edits, hit))
     order = order[np.diff(hit[order], prepend=-1) > 0]
-    hit = hit[order]
-    return start[hit], end[hit], entry[order], edits[order]
+    return hit[order], entry[order], edits[order]
+
 
+def context_weights(text: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray, hits: np.ndarray, persons: frozenset[str], reports: frozenset[str]) -> np.ndarray:
+    """For each of the words ``hits`` of a lower-cased text, 1 for abuse, QUOTED for quotation or report.
 
-def context_weight(text: str, start: int, end: int, crowded: bool) -> float:
-    """1 for abuse, QUOTED for a term in quotation marks or after a word of reporting, from the words around it."""
-    before = text[max(0, start - 80) : start]
-    line = before.rsplit("\n", 1)[-1]
-    behind = text[end : end + 80].split("\n", 1)[0]
-    near = [w.strip(".,;:!?()" + QUOTES).lower() for w in before.split()[-WINDOW:]]
-    after = [w.strip(".,;:!?()" + QUOTES).lower() for w in behind.split()[:WINDOW]]
-    quoted = sum(line.count(q) for q in QUOTES) % 2 == 1 and any(q in behind for q in QUOTES)
-    addressed = bool(PERSONS & {*near[-3:], *after[:2]})
-    reported = bool(REPORTS & set(near[-4:]))
-    if (quoted or reported) and not (addressed and not quoted) and not (crowded and not quoted):
-        return QUOTED
-    return 1.0
+    A word is quoted between marks of its line: an odd number before it and one behind it, wherever in the line they are.
+    """
+    marks = np.flatnonzero(np.isin(codes, _codes(QUOTES)))
+    breaks = np.flatnonzero(codes == 10)
+    at = start[hits]
+    line = np.searchsorted(breaks, at)
+    line_start = np.r_[0, breaks + 1][line]
+    line_end = np.r_[breaks, len(codes)][line]
+    before = np.searchsorted(marks, at) - np.searchsorted(marks, line_start)
+    behind = np.searchsorted(marks, line_end) - np.searchsorted(marks, end[hits])
+    quoted = (before % 2 == 1) & (behind > 0)
+    crowded = np.zeros(len(hits), dtype=bool)
+    close = np.diff(hits) <= WINDOW
+    crowded[1:] |= close
+    crowded[:-1] |= close
+    word = lambda k: text[start[k] : end[k]]
+    around = lambda i, a, b: {word(k) for k in range(max(0, i - a), min(len(start), i + b + 1)) if k != i}
+    out = np.ones(len(hits))
+    for n, i in enumerate(hits.tolist()):
+        abuse = crowded[n] or bool(persons & around(i, PERSON_BEFORE, PERSON_AFTER))
+        if quoted[n] or (not abuse and reports & around(i, REPORT_BEFORE, 0)):
+            out[n] = QUOTED
+    return out
 
 
 @dataclass
 class Model:
     machines: tuple[Automaton, ...]
+    exact: np.ndarray  # per entry, what an exact match is worth
+    near: np.ndarray  # and a misspelled one
     clean: frozenset[str]  # misspelled forms that clean sample texts use
+    persons: frozenset[str]
+    reports: frozenset[str]
     weights: np.ndarray
 
 
-def evidence(text: str, machines: Automaton | tuple[Automaton, ...], clean: frozenset[str], codes: np.ndarray | None = None) -> tuple[float, float]:
-    """Context-weighted sums over one whole text: of exact matches, and of misspelled ones."""
+FEATURES = 5
+
+
+def evidence(text: str, model: Model) -> tuple[float, ...]:
+    """Of one whole text, for exact and for misspelled matches: the square of the largest worth, and the logarithm of what
+    the others are worth together. Last, the logarithm of the number of words: in long texts more words match by chance.
+    """
     lowered = text.lower()
-    if codes is None:
-        codes = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    start, end, _, edits = find(codes, machines)
-    exact = near = 0.0
-    starts = start.tolist()
-    for i, (a, b, e) in enumerate(zip(starts, end.tolist(), edits.tolist(), strict=True)):
-        if e and lowered[a:b] in clean:
-            continue
-        crowded = (i > 0 and a - starts[i - 1] < 60) or (i + 1 < len(starts) and starts[i + 1] - a < 60)
-        weight = context_weight(lowered, a, b, crowded)
-        exact, near = exact + weight * (e == 0), near + weight * (e > 0)
-    return exact, near
+    codes = _codes(lowered)
+    start, end = _words(codes)
+    hits, entry, edits = find(codes, model.machines, (start, end))
+    if len(hits) and edits.any():
+        used = np.array([not e or lowered[start[k] : end[k]] not in model.clean for k, e in zip(hits.tolist(), edits.tolist(), strict=True)])
+        hits, entry, edits = hits[used], entry[used], edits[used]
+    length = float(np.log1p(len(start)))
+    if not len(hits):
+        return (*(0.0,) * (FEATURES - 1), length)
+    worth = context_weights(lowered, codes, start, end, hits, model.persons, model.reports) * np.where(edits == 0, model.exact[entry], model.near[entry])
+    out: list[float] = []
+    for kind in (worth[edits == 0], worth[edits > 0]):
+        most = kind.max(initial=0.0)
+        out += [float(most**2 / 10), float(np.log1p(max(0.0, kind.sum() - most)))]
+    return *out, length
+
+
+def misspelled(text: str, machines: tuple[Automaton, ...], terms: list[tuple[str, bool]]) -> str:
+    """A lower-cased text in which every exact match of an entry that allows edits has another letter in its middle."""
+    lowered = text.lower()
+    codes = _codes(lowered)
+    start, end = _words(codes)
+    out, at = [], 0
+    for word, entry, edits in zip(*(x.tolist() for x in find(codes, machines, (start, end))), strict=True):
+        term = terms[entry][0]
+        if edits == 0 and allowed_edits(term):
+            middle = int(start[word]) + len(term) // 2
+            out += [lowered[at:middle], "x" if lowered[middle] != "x" else "y"]
+            at = middle + 1
+    return "".join(out) + lowered[at:]
+
+
+#: Letters that a stem has at least; shorter entries are whole words.
+STEM = 4
 
 
 def _counted(longest: int):
@@ -249,13 +297,11 @@ def _counted(longest: int):
             toxic: set[tuple[str, bool, str]] = set()
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 lowered = text.lower()
-                start, end = _words(np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+                start, end = _words(_codes(lowered))
                 words = [lowered[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 own = set()
                 for before, word in {*zip(["", *words], words, strict=False)}:
-                    if len(word) < 4:
-                        continue
-                    keys = [(word[:n], False) for n in range(4, min(len(word), longest) + 1)] + [(word[:64], True)]
+                    keys = [(word[:n], False) for n in range(STEM, min(len(word), longest) + 1)] + [(word, True)]
                     if y:
                         toxic.update((*k, before) for k in keys)
                     own.update(keys)
@@ -266,69 +312,110 @@ def _counted(longest: int):
     return run
 
 
-def learn_lexicon(sample: DataFrame, *, least: int, ratio: float, longest: int = 12) -> list[tuple[str, bool]]:
-    """Entries of a labelled sample: (word, False) or (stem, True), in order; all that pass, since the sample is bounded.
+def learn_lexicon(sample: DataFrame, *, least: int, ratio: float, longest: int) -> dict[tuple[str, bool], float]:
+    """Entries of a labelled sample, (word, False) or (stem, True), with what an exact match is worth.
 
-    An entry follows at least ``least`` different words in toxic texts, and their share that holds it is ``ratio``
-    times that of clean texts.
-    Of a chain of ever longer prefixes that the same texts hold, the longest is the entry.
+    All that pass, since the sample is bounded: an entry follows at least ``least`` different words in toxic texts, and
+    their share that holds it is ``ratio`` times that of clean texts. Stems have STEM to ``longest`` letters; words have
+    any number. Of a chain of ever longer prefixes that the same texts hold, the longest is the entry.
     """
     totals = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not totals.get(1) or not totals.get(0):
-        return []
+        return {}
     seen = sample.mapInPandas(_counted(longest), "term string, whole boolean, before string, clean long, toxic long")
     counts = seen.groupBy("term", "whole", "before").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = counts.groupBy("term", "whole").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("before").alias("places"))
     odds = (F.col("toxic") + 0.5) / (totals[1] + 1) / ((F.col("clean") + 0.5) / (totals[0] + 1))
-    found = counts.where((F.col("places") >= least) & (F.col("toxic") >= least) & (odds >= ratio)).orderBy("term", "whole").collect()
+    counts = counts.withColumn("worth", F.log(odds)).where((F.col("places") >= least) & (F.col("toxic") >= least))
+    found = counts.where(F.col("worth") >= float(np.log(ratio))).orderBy("term", "whole").collect()
+    worth = {(r["term"], not r["whole"]): r["worth"] for r in found}
     stems = {r["term"]: r["toxic"] for r in found if not r["whole"]}
     words = {r["term"]: r["toxic"] for r in found if r["whole"]}
-    entries = []
+    entries = set()
     for term in stems:
-        if any(term[:n] in stems for n in range(4, len(term))):
+        if any(term[:n] in stems for n in range(STEM, len(term))):
             continue  # a shorter prefix is as telling; it decides below
         best = term
         while longer := [s for s in stems if len(s) == len(best) + 1 and s.startswith(best) and stems[s] >= 0.9 * stems[term]]:
             best = longer[0]
-        whole = words.get(best, 0) >= 0.9 * stems[best]
-        entries.append((best, not whole))
-    return sorted(set(entries) | {(w, False) for w in words if not any(w.startswith(e) for e, _ in entries)})
+        entries.add((best, words.get(best, 0) < 0.9 * stems[best]))
+    entries |= {(w, False) for w in words if not any(w.startswith(e) for e, _ in entries)}
+    return {e: worth[e] for e in sorted(entries)}
+
 
+NEAR = "form string, entry int, clean long, toxic long"
+
+
+def _near_forms(machines: tuple[Automaton, ...], terms: list[tuple[str, bool]]):
+    """Misspelled forms of clean texts, and of toxic ones after misspelled(): one row a text, form and entry."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, y in zip(batch["text"], batch["y"], strict=True):
+                lowered = misspelled(text, machines, terms) if y else text.lower()
+                codes = _codes(lowered)
+                start, end = _words(codes)
+                hits, entry, edits = find(codes, machines, (start, end))
+                rows += [(f, n, 1 - y, y) for f, n in {(lowered[start[k] : end[k]], n) for k, n, e in zip(hits.tolist(), entry.tolist(), edits.tolist(), strict=True) if e}]
+            yield pd.DataFrame(rows, columns=["form", "entry", "clean", "toxic"])
+
+    return run
+
+
+def _features_of(model: Model, terms: list[tuple[str, bool]]):
+    """Per sample row, its features as it is, and once more: toxic texts misspelled, clean ones again as they are."""
 
-def _evidence_of(machines: tuple[Automaton, ...], clean: frozenset[str], forms: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text, y in zip(batch["id"], batch["text"], batch["y"], strict=True):
-                if forms:
-                    lowered = text.lower()
-                    start, end, _, edits = find(np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), machines)
-                    rows += [(doc, f, 0.0, 0.0, y) for f in {lowered[a:b] for a, b, e in zip(start, end, edits, strict=True) if e}]
-                else:
-                    rows.append((doc, "", *evidence(text, machines, clean), y))
-            yield pd.DataFrame(rows, columns=["id", "form", "exact", "near", "y"])
+                own = evidence(text, model)
+                rows += [(doc, list(own), y), (doc, list(evidence(misspelled(text, model.machines, terms), model) if y else own), y)]
+            yield pd.DataFrame(rows, columns=["id", "x", "y"])
 
     return run
 
 
-EVIDENCE = "id long, form string, exact double, near double, y int"
+def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of the features and the intercept; no match speaks against toxicity, so no weight of one is negative."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = fit_logistic(x[:, used], y, ridge=0.2)
+        if len(used) == 1 or w[:-2].min() >= 0:
+            break
+        used.pop(int(w[:-2].argmin()))
+    out = np.zeros(x.shape[1] + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, parts: int, held_out: int, train_rows: int, least: int, ratio: float, lexicon: tuple[str, ...]) -> Model:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, *, parts: int, held_out: int, train_rows: int, least: int, ratio: float, longest: int, lexicon: tuple[str, ...],
+    persons: frozenset[str], reports: frozenset[str],
+) -> Model:
     sample = labelled_sample(docs, labels, "toxic", parts, held_out, train_rows).cache()
     try:
-        learned = learn_lexicon(sample, least=least, ratio=ratio)
-        machines = intersect_groups(sorted({*learned, *((w, False) for w in lexicon)}))
-        forms = sample.where("y = 0").mapInPandas(_evidence_of(machines, frozenset(), True), EVIDENCE)
-        clean = frozenset(r["form"] for r in forms.groupBy("form").count().where("count >= 2").collect())
-        got = sample.mapInPandas(_evidence_of(machines, clean, False), EVIDENCE).toPandas().sort_values(["id", "exact", "near"])
+        learned = learn_lexicon(sample, least=least, ratio=ratio, longest=longest)
+        learned = {(w.lower(), False): GIVEN for w in lexicon} | learned
+        terms = sorted(learned)
+        machines = intersect_groups(terms)
+        forms = sample.mapInPandas(_near_forms(machines, terms), NEAR).groupBy("form", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        forms = materialise(forms, "near-forms")
+        clean = frozenset(r["form"] for r in forms.where("clean >= 2").select("form").collect())
+        totals = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+        near = np.zeros(len(terms))
+        for r in forms.where("clean < 2").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():
+            near[r["entry"]] = max(0.0, np.log((r["toxic"] + 0.5) / (totals.get(1, 0) + 1) / ((r["clean"] + 0.5) / (totals.get(0, 0) + 1))))
+        discard(forms)
+        model = Model(machines, np.array([learned[t] for t in terms]), near, clean, persons, reports, np.zeros(FEATURES + 1))
+        got = sample.mapInPandas(_features_of(model, terms), "id long, x array<double>, y int").toPandas()
     finally:
         sample.unpersist()
-    x, y = np.log1p(got[["exact", "near"]].to_numpy(dtype=float)), got["y"].to_numpy(dtype=float)
-    weights = fit_logistic(x, y, ridge=0.2)
-    # a misspelling is rarer in the sample than its word; it weighs half as much where the sample shows no more
-    weights[1] = max(weights[1], 0.5 * weights[0])
-    return Model(machines, clean, weights)
+    got["order"] = [tuple(x) for x in got["x"]]
+    got = got.sort_values(["id", "y", "order"])
+    model.weights = fit_weights(np.array(got["order"].tolist(), dtype=float).reshape(-1, FEATURES), got["y"].to_numpy(dtype=float))
+    return model
 
 
 def toxicity_scores(
@@ -341,24 +428,29 @@ def toxicity_scores(
     threshold: float = 0.5,
     least: int = 8,
     ratio: float = 30.0,
+    longest: int = 12,
     lexicon: tuple[str, ...] = (),
+    persons: frozenset[str] = PERSONS,
+    reports: frozenset[str] = REPORTS,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     The model reads labels of the other folds only, from at most train_rows rows; ``lexicon`` adds entries to the
-    learned ones. Null and empty texts get the score of no evidence. Rows without id keep a null id and held_out
-    false. Repeated rows stay, an empty table gives no rows. Of docs only doc_id and text are read.
+    learned ones, ``persons`` and ``reports`` are the words of address and of reporting. Null and empty texts get the
+    score of no evidence. Rows without id keep a null id and held_out false. Repeated rows stay, an empty table gives no
+    rows. Of docs only doc_id and text are read, and texts of any length whole.
     """
-    fitted = fit_toxicity(docs, labels, parts=parts, held_out=held_out, train_rows=train_rows, least=least, ratio=ratio, lexicon=lexicon)
+    fitted = fit_toxicity(
+        docs, labels, parts=parts, held_out=held_out, train_rows=train_rows, least=least, ratio=ratio, longest=longest, lexicon=lexicon, persons=persons, reports=reports
+    )
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(texts: list[str]) -> list[np.ndarray]:
         m = model.value
-        x = np.log1p(np.array([evidence(t or "", m.machines, m.clean) for t in texts]).reshape(-1, 2))
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ m.weights[:2] + m.weights[2], -35, 35))))
+        x = np.array([evidence(t, m) for t in texts]).reshape(-1, FEATURES)
+        return [1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -35, 35)))]
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(F.col("text").cast("string")).alias("score"))
+    out = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("body")), "body", "score double", scored)
     return out.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
