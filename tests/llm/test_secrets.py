@@ -18,9 +18,15 @@ def base(text):
 
 def entropy(text):
     found = set()
+    masked = text
+    for word in secrets.ALLOW_WORDS:
+        masked = masked.replace(word, " " * len(word))
+    inside = [(m.start(), m.end()) for p in secrets.ALLOW_INSIDE for m in re.finditer(p, text)]
     for _, run, w, least in secrets.CLASSES:
-        for m in re.finditer(run, text):
-            if any(re.search(p, m[0]) for p in secrets.ALLOW) or any(re.search(p, text[max(0, m.start() - 100) : m.start()]) for p in secrets.ALLOW_BEFORE):
+        for m in re.finditer(run, masked):
+            if any(re.search(p, m[0]) for p in secrets.ALLOW) or any(re.search(p, text[: m.start()]) for p, _ in secrets.ALLOW_BEFORE):
+                continue
+            if any(a <= m.start() <= b for a, b in inside):
                 continue
             spans = []
             for i in range(len(m[0]) - w + 1):
@@ -52,6 +58,8 @@ def texts():
         None, "", "password=token:abcdefgh", "API_KEY: 'abc'", "apikey=\"abcdef\"tail", "Paſſword=abcdefg toKen=abcdefg", "AKIA" + "Z9" * 8, "AKIAAKIA" + "X" * 11,
         "é\U0001F600 " + "0123456789abcdef" * 3, "deadbeef" * 3, "sha256:" + hashlib.sha256(b"x").hexdigest().upper(), hashlib.sha256(b"y").hexdigest().upper(),
         "id 123e4567-e89b-12d3-a456-426614174000 end", "https://x.example/" + "".join(rng.choices(b64, k=40)), "x" * 60_000, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+        "https://x.example/" + "a/" * 2500 + "".join(rng.choices(b64, k=40)).replace("+", "Q"), "https://x.org/?sig=" + "".join(rng.choices(b64, k=40)), "sk_example_" + "".join(rng.choices(b64, k=40)),
+        " ".join("".join(rng.choices("0123456789abcdef", k=30)) for _ in range(700)), " ".join("".join(rng.choices(b64, k=40)) for _ in range(300)),
         "secret = " + "".join(rng.choices(b64, k=40)) + " and " + "".join(rng.choices(b64, k=500)), "".join(rng.choices(b64, k=2000)),
     ]
     bits = ["password", "Token", "secret=", ":", "=", " ", "\n", "'", "AKIA", "ABCD1234", "0123abcd", "é", "api_key", "wordly-words", "/", "\U0001F600"]

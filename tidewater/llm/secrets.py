@@ -3,7 +3,8 @@
 Base kinds are regular expressions. The method adds spans by entropy: in candidate strings, long runs of one
 character class, a window slides by one character at a time; the counts of its characters and the sum of n log2 n
 over them are carried from window to window in one fold, so that each step changes two counts. Windows at or above
-the class's entropy merge into spans, unless an allow-list pattern matches the candidate or what stands before it.
+the class's entropy merge into spans. Allow-lists suppress them: words that no window may hold, candidates of a known
+form, candidates behind the name of a digest, and candidates that begin inside an address.
 
 Regular expression functions give no positions. A text split by the same pattern gives the gaps between the
 matches, and the running total of gap and match lengths is each match's position.
@@ -38,16 +39,19 @@ CLASSES = [
     ("base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 4.05),
     ("hex", r"[0-9A-Fa-f]{24,}", 24, 3.05),
 ]
-#: Candidates that look random but are no secrets: identifiers, alphabets, placeholders.
+#: Words of placeholders and alphabets: no window that overlaps one is a secret, while the rest of its candidate may be.
+ALLOW_WORDS = ("ABCDEFGHIJKLMNOP", "abcdefghijklmnop", "0123456789", "EXAMPLE", "example", "xxxxxx", "XXXXXX", "your_", "your-", "YOUR_", "YOUR-")
+#: Forms of whole candidates that look random but are no secrets: identifiers, joined words.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"ABCDEFGHIJKLMNOP|abcdefghijklmnop|0123456789",
-    r"EXAMPLE|example|xxxxxx|XXXXXX|your[_-]|YOUR[_-]",
     r"^[A-Za-z]+([_/-][A-Za-z]+)+$",
 )
-#: The same for the characters before a candidate: digests by name, and addresses.
-ALLOW_BEFORE = (r"([Mm][Dd]5|[Ss][Hh][Aa](1|256|384|512)?)[:=-]$", r"://[A-Za-z0-9.:%~/?&_#-]*$")
-BEFORE_CHARS = 100
+#: What stands right before a candidate that is no secret, with the most characters that it can match: names of digests.
+ALLOW_BEFORE = ((r"([Mm][Dd]5|[Ss][Hh][Aa](1|256|384|512)?)[:=-]$", 7),)
+#: Stretches of text in which no secret begins: hosts and paths of addresses, but not what follows their question mark.
+ALLOW_INSIDE = (r"://[A-Za-z0-9.:%~/_-]*",)
+#: Items that a fold appends to one array before it starts another: appending copies the array.
+FOLD_BLOCK = 256
 
 
 def _q(s: str) -> str:
@@ -55,21 +59,33 @@ def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _located(pattern: str, group: int | None = None) -> Column:
+def _folded(items: str, state: str, advance: str, emit: str, kind: str) -> str:
+    """SQL for array<kind>: of every item x of an array, ``emit`` of x and the state s before it; ``advance`` is the next s.
+
+    Outputs gather in blocks that are put together at the end, so that the work grows as the number of items.
+    """
+    none = f"cast(array() as array<{kind}>)"
+    inner = f"""aggregate(block, named_struct('s', o.s, 'out', {none}),
+      (t, x) -> transform(array(t.s), s -> named_struct('s', {advance}, 'out', concat(t.out, array({emit}))))[0])"""
+    return f"""flatten(aggregate(
+      transform(sequence(0, greatest(size({items}) - 1, 0) div {FOLD_BLOCK}), i -> slice({items}, i * {FOLD_BLOCK} + 1, {FOLD_BLOCK})),
+      named_struct('s', {state}, 'out', array({none})),
+      (o, block) -> transform(array({inner}), r -> named_struct('s', r.s, 'out', concat(o.out, array(r.out))))[0],
+      o -> o.out))"""
+
+
+def _located(pattern: str, group: int | None = None, body: str = "body") -> Column:
     """Matches in order as (a, b, hit[, part]): start, end (exclusive) in code points, the match, and a group of it."""
-    hits = f"regexp_extract_all(body, {_q(pattern)}, 0)"
-    parts = f"regexp_extract_all(body, {_q(pattern)}, {group})" if group else hits
+    hits = f"regexp_extract_all({body}, {_q(pattern)}, 0)"
+    parts = f"regexp_extract_all({body}, {_q(pattern)}, {group})" if group else hits
+    items = f"""zip_with(zip_with({hits}, slice(split({body}, {_q(pattern)}, -1), 1, size({hits})), (h, g) -> named_struct('hit', h, 'gap', g)),
+      {parts}, (x, p) -> named_struct('hit', x.hit, 'gap', x.gap, 'part', p))"""
+    found = _folded(
+        "ms", "0", "s + length(x.gap) + length(x.hit)", "named_struct('a', s + length(x.gap), 'b', s + length(x.gap) + length(x.hit), 'hit', x.hit, 'part', x.part)",
+        "struct<a:int,b:int,hit:string,part:string>",
+    )
     return F.expr(f"""
-        if(body rlike {_q(pattern)},
-           aggregate(
-             zip_with(zip_with({hits}, slice(split(body, {_q(pattern)}, -1), 1, size({hits})), (h, g) -> named_struct('hit', h, 'gap', g)),
-                      {parts}, (x, p) -> named_struct('hit', x.hit, 'gap', x.gap, 'part', p)),
-             named_struct('at', 0, 'out', cast(array() as array<struct<a:int,b:int,hit:string,part:string>>)),
-             (s, m) -> named_struct(
-               'at', s.at + length(m.gap) + length(m.hit),
-               'out', concat(s.out, array(named_struct('a', s.at + length(m.gap), 'b', s.at + length(m.gap) + length(m.hit), 'hit', m.hit, 'part', m.part)))),
-             s -> s.out),
-           cast(array() as array<struct<a:int,b:int,hit:string,part:string>>))""")
+        if({body} rlike {_q(pattern)}, flatten(transform(array({items}), ms -> {found})), cast(array() as array<struct<a:int,b:int,hit:string,part:string>>))""")
 
 
 def _n_log_n(window: int) -> str:
@@ -99,30 +115,50 @@ def _hot_windows(chars: str, window: int, least: float) -> str:
         t -> if(t.a < 0, t.out, concat(t.out, array(named_struct('a', t.a, 'b', t.b)))))"""
 
 
-def _entropy_spans(window: int, least: float, allow: tuple[str, ...], before: tuple[str, ...]) -> Column:
+def _entropy_spans(window: int, least: float, allow: tuple[str, ...], before: tuple[tuple[str, int], ...]) -> Column:
     """Spans (a, b) of a column ``runs`` of candidates, in code points of the text."""
-    listed = " or ".join([f"c.hit rlike {_q(p)}" for p in allow] or ["false"])
-    behind = f"substring(body, greatest(c.a - {BEFORE_CHARS}, 0) + 1, least(c.a, {BEFORE_CHARS}))"
-    named = " or ".join([f"{behind} rlike {_q(p)}" for p in before] or ["false"])
+    listed = [f"c.hit rlike {_q(p)}" for p in allow]
+    listed += [f"substring(body, greatest(c.a - {n}, 0) + 1, least(c.a, {n})) rlike {_q(p)}" for p, n in before]
     return F.expr(f"""
-        flatten(transform(filter(runs, c -> not ({listed} or {named})),
+        flatten(transform(filter(runs, c -> not ({" or ".join(listed or ["false"])})),
           c -> transform(
             flatten(transform(array(regexp_extract_all(c.hit, '.', 0)), cs -> {_hot_windows("cs", window, least)})),
             w -> named_struct('a', c.a + w.a, 'b', c.a + w.b))))""")
 
 
+def _outside(spans: str, others: str) -> Column:
+    """Spans that don't begin inside one of the others, both in order of their starts; an end is still inside.
+
+    One fold over both, others first where they start alike, carries how far the others have reached.
+    """
+    both = f"""array_sort(concat(transform({others}, x -> named_struct('a', x.a, 'k', 0, 'b', x.b, 'hit', '')), transform({spans}, x -> named_struct('a', x.a, 'k', 1, 'b', x.b, 'hit', x.hit))))"""
+    seen = _folded("both", "-1", "if(x.k = 0, greatest(s, x.b), s)", "named_struct('a', x.a, 'b', x.b, 'hit', x.hit, 'keep', x.k = 1 and x.a > s)", "struct<a:int,b:int,hit:string,keep:boolean>")
+    return F.expr(f"if(size({others}) = 0, transform({spans}, x -> named_struct('a', x.a, 'b', x.b, 'hit', x.hit, 'keep', true)), filter(flatten(transform(array({both}), both -> {seen})), x -> x.keep))")
+
+
+def _not_held(base: str, more: str) -> Column:
+    """Entropy spans that no base span and no other entropy span holds; longest first where they start alike."""
+    both = f"""array_sort(concat(transform({base}, x -> named_struct('a', x.a, 'back', -x.b, 'kind', x.kind)), transform({more}, x -> named_struct('a', x.a, 'back', -x.b, 'kind', x.kind))))"""
+    entropy = KINDS.index("entropy")
+    seen = _folded("both", "-1", "greatest(s, -x.back)", f"named_struct('a', x.a, 'kind', x.kind, 'b', -x.back, 'keep', x.kind = {entropy} and -x.back > s)", "struct<a:int,kind:int,b:int,keep:boolean>")
+    kept = f"transform(filter(flatten(transform(array({both}), both -> {seen})), x -> x.keep), x -> named_struct('a', x.a, 'kind', x.kind, 'b', x.b))"
+    return F.expr(f"if(size({more}) = 0, {more}, {kept})")
+
+
 def secret_spans(
     docs: DataFrame,
     *,
     classes: list[tuple[str, str, int, float]] = CLASSES,
     allow: tuple[str, ...] = ALLOW,
-    allow_before: tuple[str, ...] = ALLOW_BEFORE,
+    allow_words: tuple[str, ...] = ALLOW_WORDS,
+    allow_before: tuple[tuple[str, int], ...] = ALLOW_BEFORE,
+    allow_inside: tuple[str, ...] = ALLOW_INSIDE,
 ) -> DataFrame:
     """Per row of docs: row (a struct of all its columns), body (its text, null as empty) and secrets.
 
     secrets is array<struct<a, b, kind>> by start, then kind as listed in KINDS. Positions count code points, ends
-    are exclusive. Entropy spans inside a base span, or found by both classes, are not repeated. Allow-lists hold
-    for entropy spans only. Null and empty texts have none. Columns of docs may have any names.
+    are exclusive. Entropy spans inside a base span or another entropy span are not repeated. Allow-lists hold for
+    entropy spans only and see the whole text. Null and empty texts have none. Columns of docs may have any names.
     """
     tagged = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["a"].alias("a"), F.lit(KINDS.index(kind)).alias("kind"), s["b"].alias("b")))
     base = F.concat(
@@ -132,20 +168,22 @@ def secret_spans(
     )
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("body"))
     found = found.withColumn("base", F.array_sort(base))
+    # blanked out in their own length, so that positions stay
+    masked = F.col("body")
+    for word in allow_words:
+        masked = F.replace(masked, F.lit(word), F.lit(" " * len(word)))
+    found = found.withColumn("masked", masked).withColumn("addresses", F.concat(*[_located(p) for p in allow_inside]) if allow_inside else F.expr("cast(array() as array<struct<a:int,b:int>>)"))
     more = []
     for name, run, window, least in classes:
-        found = found.withColumn("runs", _located(run)).withColumn(f"more_{name}", _entropy_spans(window, least, allow, allow_before))
+        found = found.withColumn("runs", _located(run, body="masked")).withColumn("runs", _outside("runs", "addresses"))
+        found = found.withColumn(f"more_{name}", _entropy_spans(window, least, allow, allow_before))
         more.append(f"more_{name}")
-    inside = lambda m, spans: F.exists(spans, lambda b: (b["a"] <= m["a"]) & (m["b"] <= b["b"]))
-    found = found.withColumn("more", F.array_distinct(tagged(F.concat(*more), "entropy")))
-    found = found.withColumn("more", F.filter("more", lambda m: ~inside(m, F.col("base"))))
-    # a span that another entropy span holds
-    found = found.withColumn("more", F.filter("more", lambda m: ~F.exists("more", lambda b: (b["a"] <= m["a"]) & (m["b"] <= b["b"]) & (b != m))))
+    found = found.withColumn("more", F.array_distinct(tagged(F.concat(*more), "entropy"))).withColumn("more", _not_held("base", "more"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return found.withColumn(
         "secrets",
         F.transform(F.array_sort(F.concat("base", "more")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), kinds[s["kind"]].alias("kind"))),
-    ).drop("runs", "base", "more", *more)
+    ).drop("runs", "base", "more", "masked", "addresses", *more)
 
 
 def _joined(spans: Column) -> Column:
