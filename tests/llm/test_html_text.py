@@ -1,9 +1,10 @@
 import random
+import time
 
 import numpy as np
 
 from tidewater.llm.boosting import fit_trees
-from tidewater.llm.html_text import Page, extract, fit_model, main_text, training_page
+from tidewater.llm.html_text import Page, extract, fit_model, main_text, tags, training_page
 
 PAGE = (
     "<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style><script>var t=\"</p>\";</script></head><body><nav><ul><li><a href='/a'>a</a></li>"
@@ -54,8 +55,36 @@ def test_rows_of_every_kind(spark):
     deep = "<div>" * 3000 + "x"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", PAGE), (4, "x", PAGE.replace("</footer></body></html>", "")), (5, "y", deep), (6, "z", "<script>" + "a<b " * 50_000), (7, "q", "<a href='" + "<" * 20_000)]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
-    got = main_text(df, chunk=3).collect()
+    got = main_text(df).collect()
     assert [(r.page_id, r.url) for r in got] == [(r[0], r[1]) for r in rows]
     assert [r.text for r in got][:6] == [want, want, "", "", want, want]
     assert all(r.n_chars == len(r.text) for r in got)
     assert main_text(df.limit(0)).collect() == []
+
+
+def test_pages_laid_by_hand():
+    model = fit_model()
+    body = "The first paragraph tells at some length what happened, where, and to whom. It has several sentences."
+    more = "A second paragraph, no shorter than the first, goes on with the story and brings it to its end, as stories do."
+    menu = "<ul class=menu><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About us</a></ul>"
+    pages = {
+        f"<body>{menu}<div id=content><h2>Headline of it</h2><p>{body}<p>{more}</div><div class=footer>Copyright, all rights.</div></body>": f"Headline of it {body} {more}",
+        f"<nav>{menu}</nav><main><p>{body}</p><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds, as was said at length before, and so on.</p></main>": f"{body} where x=1 holds, as was said at length before, and so on.",
+        f"<div class='wrapper'><header><h1>Site</h1></header><article><p>{body}</p><ul><li>{more}</li><li>{body}</li></ul></article><aside class=related><h3>More</h3>{menu}</aside></div>": f"{body} {more} {body}",
+        f"<article><p>{body}</p><p>a < b and 3 > 2 &amp;&#233; hold in the text, whatever comes, and stay as they are.</p></article><section class=comments><p>I agree with all of it.</p></section>": f"{body} a < b and 3 > 2 &é hold in the text, whatever comes, and stay as they are.",
+    }
+    assert extract(list(pages), model) == list(pages.values())
+
+
+def test_malformed_pages_take_time_in_proportion():
+    for source in ("<a " * 340_000, '<a href="x ' * 90_000, '<a ">"' * 60_000, "<i>" * 30_000 + "<div></div>" * 20_000, "<div>" * 20_000 + "</p>" * 50_000, "<b><div>" + "<i>" * 30_000 + "</b>" * 30_000, "<h1>" * 20_000 + "<td>" * 20_000):
+        began = time.process_time()
+        Page(source)
+        assert time.process_time() - began < 6, source[:20]
+
+
+def test_tags_end_outside_quotes():
+    read = lambda t: [x[2:] for x in tags(t)]
+    assert read('<a title="1>2" b=\'>\'>x</A ><br/>') == [("a", False, ' title="1>2" b=\'>\''), ("a", True, " "), ("br", False, "/")]
+    assert read('<p class="x>y') == [("p", False, ' class="x')] and read("1 < 2 <") == [] and read("<p") == [] and read("<!-- <p> <!x>") == [("", False, "")]
+    assert read("<!doctype x><?y?></ z>") == [("", False, "")] * 3

@@ -15,26 +15,28 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.boosting import Trees, fit_trees
+from tidewater.llm.common import map_texts
 
-TOKEN = re.compile(
-    r"<!--(?:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What stands between a tag's name and its end, with quoted values that may hold the sign of the end.
+INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # fixed values: how HTML defines its elements
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "title", "select", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "canvas", "object", "textarea", "title", "select", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "button",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover",
 }
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -64,8 +66,68 @@ WHOLE = {"ad": {"ad", "ads", "adv"}, "side": {"more"}}
 MARKS = re.compile(r"[.!?;,](?:\s|$)")
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of the tags of a page, and of comments and declarations, which
+    have no name. The caller may send() the place from which to read on.
+
+    A tag ends at the first > outside quotes or, if the rest of the page has none, at the first > at all; where no > is
+    left, < is text. One pass: a place outside quotes from which no end was found is remembered, so that a start that
+    can't be closed doesn't make the next one read the same rest again.
+    """
+    last = {c: source.rfind(c) for c in ">\"'"}
+    endless: set[int] = set()
+
+    def end_of(at: int) -> int:
+        if not endless and (m := INSIDE.match(source, at)):
+            return m.end()
+        seen, place = [], at
+        while place <= last[">"] and place not in endless:
+            seen.append(place)
+            m = STOP.search(source, place)
+            if m[0] == ">":
+                return m.end()
+            if m.end() > last[m[0]]:
+                break
+            place = source.index(m[0], m.end()) + 1
+        endless.update(seen)
+        endless.add(place)
+        return source.index(">", at) + 1
+
+    at = 0
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if start > last[">"]:
+            return
+        closes = source.startswith("/", start + 1)
+        name = NAME.match(source, start + 1 + closes)
+        if name:
+            at = end_of(name.end())
+            jump = yield start, at, name[0].lower(), closes, source[name.end() : at - 1]
+            if jump is not None:
+                at = jump
+                yield at, at, "", False, ""
+        elif source[start + 1 : start + 2] in ("!", "?", "/"):
+            at = source.index(">", start) + 1
+            yield start, at, "", False, ""
+        else:
+            at = start + 1
+
+
+@functools.cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}", re.I)
+
+
 class Page:
-    """The tree of one page, in page order: parents come before their children."""
+    """The tree of one page, in page order: parents come before their children.
+
+    Reading takes time in proportion to the page, however it is nested: open elements are counted by tag within every
+    block and within every scope, so that no search runs over elements that it doesn't close.
+    """
 
     def __init__(self, source: str):
         self.tag, self.names, self.parent, self.depth, self.inline = ["body"], [""], [-1], [0], [False]
@@ -73,6 +135,10 @@ class Page:
         self.links: list[int] = [0]
         self._run: list[tuple[int, str]] = []
         self._stack: list[tuple[str, int]] = [("body", 0)]  # open elements with their nodes
+        self._blocks = [0]  # places of block elements in the stack
+        self._open_tags = Counter()  # all open elements
+        self._inline = [Counter()]  # inline elements, by the innermost block around them
+        self._scopes = [Counter()]  # block elements, by the innermost scope around them
         self._in_link = 0
         self._read(source)
         self._end_block()
@@ -108,51 +174,79 @@ class Page:
             self.inline.append(inline)
             self.links.append(0)
             node = len(self.tag) - 1
-        self._stack.append((tag, node))
+        self._push(tag, node)
         self._in_link += tag == "a"
 
+    def _push(self, tag: str, node: int) -> None:
+        self._open_tags[tag] += 1
+        if tag in INLINE:
+            self._inline[-1][tag] += 1
+        else:
+            self._blocks.append(len(self._stack))
+            self._inline.append(Counter())
+            self._scopes[-1][tag] += 1
+            if tag in SCOPE:
+                self._scopes.append(Counter())
+        self._stack.append((tag, node))
+
+    def _pop_to(self, at: int) -> bool:
+        """Closes the elements from a place in the stack on; whether a link was one of them."""
+        link = False
+        while len(self._stack) > at:
+            tag, _ = self._stack.pop()
+            self._open_tags[tag] -= 1
+            link |= tag == "a"
+            if tag in INLINE:
+                self._inline[-1][tag] -= 1
+            else:
+                self._blocks.pop()
+                self._inline.pop()
+                if tag in SCOPE:
+                    self._scopes.pop()
+                self._scopes[-1][tag] -= 1
+        return link
+
     def _close_implied(self, tag: str) -> None:
+        """Closes an open paragraph, and what else a block element ends, up to the scope around it."""
         implied = CLOSES.get(tag, set())
-        for at in range(len(self._stack) - 1, 0, -1):
+        level = len(self._blocks) - 1
+        while level > 0 and (self._scopes[-1]["p"] > 0 or any(self._scopes[-1][t] > 0 for t in implied)):
+            at = self._blocks[level]
             open_tag = self._stack[at][0]
             if open_tag == "p" or open_tag in implied:
-                del self._stack[at:]
-                if open_tag == "p":
-                    return self._close_implied(tag)
-            elif open_tag in SCOPE or (open_tag not in INLINE and not implied):
-                return None
-        return None
+                self._pop_to(at)
+            elif open_tag in SCOPE or not implied:
+                return
+            level -= 1
 
     def _close(self, tag: str) -> None:
-        for at in range(len(self._stack) - 1, 0, -1):
-            if self._stack[at][0] == tag:
-                if tag not in INLINE:
-                    self._end_block()
-                self._in_link -= self._in_link > 0 and any(t == "a" for t, _ in self._stack[at:])
-                del self._stack[at:]
-                return
-            if tag in INLINE and self._stack[at][0] not in INLINE:
-                return
+        held = self._inline[-1] if tag in INLINE else self._open_tags
+        if not held[tag]:
+            return
+        at = len(self._stack) - 1
+        while self._stack[at][0] != tag:
+            at -= 1
+        if tag not in INLINE:
+            self._end_block()
+        if self._pop_to(at) and self._in_link:
+            self._in_link -= 1
 
     def _read(self, source: str) -> None:
-        at, lower = 0, None
-        while m := TOKEN.search(source, at):
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            tag = m[2] or m[5]
-            if tag is None:
+        at, found = 0, tags(source)
+        for start, end, tag, closes, attributes in found:
+            if start > at:
+                self._text(source[at:start])
+            at = end
+            if not tag:
                 continue
-            tag = tag.lower()
-            if m[1] or m[4]:
+            if closes:
                 self._close(tag)
             elif tag in RAW:
-                if (m[3] or m[6] or "").endswith("/"):
+                if attributes.endswith("/"):
                     continue
-                if lower is None:
-                    lower = source.lower() if len(source.lower()) == len(source) else source
-                end = lower.find(f"</{tag}", at)
-                at = len(source) if end < 0 else end
+                m = _closing(tag).search(source, at)
+                at = m.start() if m else len(source)
+                found.send(at)
                 if tag != "textarea" and tag != "select":
                     self._run.append((self._stack[-1][1], ""))
             elif tag == "br" or tag == "hr":
@@ -160,8 +254,8 @@ class Page:
             elif tag in ("html", "body", "head"):
                 continue
             elif tag not in VOID:
-                self._open(tag, m[3] or m[6] or "")
-                if (m[3] or m[6] or "").endswith("/") and tag not in ("p", "div", "li"):
+                self._open(tag, attributes)
+                if attributes.endswith("/") and tag not in ("p", "div", "li"):
                     self._close(tag)
         if at < len(source):
             self._text(source[at:])
@@ -356,20 +450,17 @@ def extract(sources: list[str | None], model: Trees) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, *, training_pages: int = 800, seed: int = 11, chunk: int = 128) -> DataFrame:
+def main_text(pages: DataFrame, *, training_pages: int = 800, seed: int = 11) -> DataFrame:
     """One row per input row: page_id, url, text (empty if the page has no article text or is null), n_chars.
 
-    Pages are read whole, one Arrow batch at a time; nothing is shuffled. Repeated rows and null ids stay, an
-    empty table gives no rows, other columns are not read.
+    Pages are read whole, a slice of a batch at a time; nothing is shuffled. Markup that is never closed is read in one
+    pass like any other. Repeated rows and null ids stay, an empty table gives no rows, other columns are not read.
     """
     model = fit_model(training_pages, seed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), chunk):
-                part = batch.iloc[at : at + chunk]
-                texts = extract(part["html"].tolist(), model)
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def of(sources: list[str]) -> list[list]:
+        texts = extract(sources, model)
+        return [texts, [len(t) for t in texts]]
 
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return narrow.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_texts(narrow, "html", "text string, n_chars long", of)
