@@ -12,13 +12,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node passes the smallest of its neighbours and itself to its larger neighbours."""
+def _large_star(edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Every node passes the smallest of its neighbours and itself to its larger neighbours.
+
+    spent gets the tables that may go once the result is written.
+    """
     both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).unionByName(
         edges.select(F.col("lo").alias("node"), F.col("hi").alias("other"))
     )
     # written first, so that the join deals both sides itself and can split the rows of a hub
     smallest = materialise(both.groupBy("node").agg(F.least("node", F.min("other")).alias("least")), "large-star")
+    spent.append(smallest)
     return (
         both.where("other > node")
         .join(smallest, "node")
@@ -28,9 +32,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """Every node points at its smallest neighbour, and so do its other smaller neighbours."""
     smallest = materialise(edges.groupBy("hi").agg(F.min("lo").alias("least")), "small-star")
+    spent.append(smallest)
     moved = edges.join(smallest, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
     return moved.unionByName(smallest.select("hi", F.col("least").alias("lo"))).distinct()
 
@@ -49,9 +54,13 @@ def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     )
     before = _state(edges)
     while before[0]:
-        stars = materialise(_small_star(materialise(_large_star(edges), "large")), "edges")
+        spent = [edges]
+        large = materialise(_large_star(edges, spent), "large")
+        spent.append(large)
+        stars = materialise(_small_star(large, spent), "edges")
         after = _state(stars)
-        discard(edges)
+        for table in spent:
+            discard(table)
         edges = stars
         if after == before:
             break

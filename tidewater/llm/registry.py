@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import shared_dir, table
+from tidewater.llm.common import discard, shared_dir, table
 from tidewater.llm.hash_forest import nearest
 from tidewater.llm.html_text import main_text
 from tidewater.llm.mixing import mix_plan
@@ -18,7 +18,7 @@ from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
 from tidewater.llm.sentencepieces import encode_documents
 from tidewater.llm.simhash import simhash_components
-from tidewater.llm.token_counts import token_counts
+from tidewater.llm.token_counts import CACHE_SCHEMA, token_counts
 from tidewater.llm.toxicity import toxicity_scores
 
 
@@ -27,9 +27,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty cache, so that every distinct text is encoded."""
+    """Starts from an empty cache, so that every distinct text is encoded; the cache goes when its counts are read."""
     cache = f"{shared_dir(spark)}/tidewater/token-counts-{uuid.uuid4().hex}"
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+    discard(spark.read.schema(CACHE_SCHEMA).parquet(cache))
+    return counts
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
