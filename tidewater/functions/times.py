@@ -34,8 +34,8 @@ def whole_second(ms: Column) -> Column:
 
 
 def age(birthday_ms: Column, now_ms: Column) -> Column:
-    """Whole years of 365 days between two times."""
-    return F.floor((now_ms - birthday_ms) / YEAR_MS).cast("int")
+    """Whole years of 365 days between two times, cut towards zero: a birthday to come gives 0 up to a year ahead."""
+    return F.call_function("div", now_ms - birthday_ms, F.lit(YEAR_MS)).cast("int")
 
 
 def bounds(window: str = "window") -> list[Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.times import bounds, text_millis, timestamp, whole_second
 from tidewater.functions.words import action_rows, tokens
 from tidewater.operators.logs import entry_page
+from tidewater.operators.visits import BOUNCE_MS, unique_visits, with_bounces
 from tidewater.operators.wide import with_category, with_sku, with_spu, with_trademark
 
 WINDOW = "10 seconds"
@@ -26,15 +27,23 @@ PRODUCT_SUMS = {
 PRODUCT_IDS = {"order_id": "order_ct", "paid_order_id": "paid_order_ct", "refund_order_id": "refund_order_ct"}
 
 
+def _page_measures() -> dict[str, Column]:
+    return {"pv_ct": F.lit(1), "dur_sum": F.coalesce("page.during_time", F.lit(0)), "sv_ct": entry_page().cast("long")}
+
+
+def _visitor_fact(rows: DataFrame, **measures: Column) -> DataFrame:
+    return rows.select(*[F.col(f"common.{k}").alias(k) for k in VISITOR_KEYS], *[measures.get(m, F.lit(0)).cast("long").alias(m) for m in VISITOR_SUMS], timestamp(F.col("ts")).alias("at"))
+
+
 def visitor_facts(pages: DataFrame, uniques: DataFrame, jumps: DataFrame) -> DataFrame:
-    """One row per page view, unique visit, session start and bounce, with one measure each; null durations count 0."""
+    """One row per page view, with its session start, and per unique visit and bounce; null durations count 0."""
+    return reduce(DataFrame.unionByName, [_visitor_fact(pages, **_page_measures()), _visitor_fact(uniques, uv_ct=F.lit(1)), _visitor_fact(jumps, uj_ct=F.lit(1))])
 
-    def fact(rows: DataFrame, **measures: Column) -> DataFrame:
-        return rows.select(*[F.col(f"common.{k}").alias(k) for k in VISITOR_KEYS], *[measures.get(m, F.lit(0)).cast("long").alias(m) for m in VISITOR_SUMS], timestamp(F.col("ts")).alias("at"))
 
-    views = fact(pages, pv_ct=F.lit(1), dur_sum=F.coalesce("page.during_time", F.lit(0)), sv_ct=F.lit(0))
-    sessions = fact(pages.where(entry_page()), sv_ct=F.lit(1))
-    return reduce(DataFrame.unionByName, [views, fact(uniques, uv_ct=F.lit(1)), sessions, fact(jumps, uj_ct=F.lit(1))])
+def visitor_facts_of(pages: DataFrame, *, timeout_ms: int = BOUNCE_MS, tie: list[str] = ()) -> DataFrame:
+    """visitor_facts() of a batch, unique visits and bounces found here: a page's view, session start and bounce are one row."""
+    marked = with_bounces(pages, timeout_ms=timeout_ms, tie=tie)
+    return _visitor_fact(marked, uj_ct=F.col("bounced").cast("long"), **_page_measures()).unionByName(_visitor_fact(unique_visits(pages, tie=tie), uv_ct=F.lit(1)))
 
 
 def visitor_stats(facts: DataFrame, *, window: str = WINDOW) -> DataFrame:
@@ -44,9 +53,13 @@ def visitor_stats(facts: DataFrame, *, window: str = WINDOW) -> DataFrame:
 
 
 def product_facts(
-    pages: DataFrame, orders: DataFrame, favors: DataFrame, carts: DataFrame, payments: DataFrame, refunds: DataFrame, comments: DataFrame, *, zone: str | None = None
+    clicks: DataFrame | None = None, displays: DataFrame | None = None, orders: DataFrame | None = None, favors: DataFrame | None = None, carts: DataFrame | None = None,
+    payments: DataFrame | None = None, refunds: DataFrame | None = None, comments: DataFrame | None = None, *, zone: str | None = None,
 ) -> DataFrame:
-    """One row per click, display, order line, favourite, cart, paid line, refund and comment of a product."""
+    """One row per click, display, order line, favourite, cart, paid line, refund and comment of a product.
+
+    clicks and displays are pages. What is left out is not read: its measures are zero.
+    """
 
     def fact(rows: DataFrame, at: Column, **measures: Column) -> DataFrame:
         return rows.select(
@@ -56,18 +69,26 @@ def product_facts(
         )
 
     one, created = F.lit(1), text_millis(F.col("create_time"), zone)
-    clicks = pages.where("page.page_id = 'good_detail'").select(F.col("page.item").try_cast("long").alias("sku_id"), "ts")
-    shown = pages.select(F.explode("displays").alias("d"), "ts").where("d.item_type = 'sku_id'").select(F.col("d.item").try_cast("long").alias("sku_id"), "ts")
-    return reduce(DataFrame.unionByName, [
-        fact(clicks, F.col("ts"), click_ct=one),
-        fact(shown, F.col("ts"), display_ct=one),
-        fact(orders, created, order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"), order_id=F.col("order_id")),
-        fact(favors, created, favor_ct=one),
-        fact(carts, created, cart_ct=one),
-        fact(payments, text_millis(F.col("payment_create_time"), zone), payment_amount=F.col("split_total_amount"), paid_order_id=F.col("order_id")),
-        fact(refunds, created, refund_amount=F.col("refund_amount"), refund_order_id=F.col("order_id")),
-        fact(comments, created, comment_ct=one, good_comment_ct=(F.col("appraise") == GOOD).cast("long")),
-    ])
+    facts = []
+    if clicks is not None:
+        clicked = clicks.where("page.page_id = 'good_detail'").select(F.col("page.item").try_cast("long").alias("sku_id"), "ts")
+        facts.append(fact(clicked, F.col("ts"), click_ct=one))
+    if displays is not None:
+        shown = displays.select(F.explode("displays").alias("d"), "ts").where("d.item_type = 'sku_id'").select(F.col("d.item").try_cast("long").alias("sku_id"), "ts")
+        facts.append(fact(shown, F.col("ts"), display_ct=one))
+    if orders is not None:
+        facts.append(fact(orders, created, order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"), order_id=F.col("order_id")))
+    if favors is not None:
+        facts.append(fact(favors, created, favor_ct=one))
+    if carts is not None:
+        facts.append(fact(carts, created, cart_ct=one))
+    if payments is not None:
+        facts.append(fact(payments, text_millis(F.col("payment_create_time"), zone), payment_amount=F.col("split_total_amount"), paid_order_id=F.col("order_id")))
+    if refunds is not None:
+        facts.append(fact(refunds, created, refund_amount=F.col("refund_amount"), refund_order_id=F.col("order_id")))
+    if comments is not None:
+        facts.append(fact(comments, created, comment_ct=one, good_comment_ct=(F.col("appraise") == GOOD).cast("long")))
+    return reduce(DataFrame.unionByName, facts)
 
 
 def product_sums(facts: DataFrame, *, window: str = WINDOW) -> DataFrame:

@@ -25,8 +25,30 @@ def unique_visits(pages: DataFrame, *, order: list[str] | None = None, tie: list
         row = F.struct(*[F.col(c) for c in pages.columns])
         first = entries.groupBy(F.col("common.mid").alias("_mid"), "_day").agg(F.min_by(row, F.struct("ts", *tie)).alias("_row"))
         return first.select("_row.*")
-    before = F.lag("_day").over(Window.partitionBy("common.mid").orderBy(*order))
-    return entries.withColumn("_before", before).where(~F.col("_day").eqNullSafe(F.col("_before"))).select(*pages.columns)
+    return _changes_of_day(entries, order).select(*pages.columns)
+
+
+def _changes_of_day(entries: DataFrame, order: list[str]) -> DataFrame:
+    """Entries whose _day differs from that of the visitor's entry before, in any order; a first entry differs.
+
+    Rows of all visitors are dealt into ranges of the order, so that one with a third of all rows is spread over
+    them. Inside a range the row before is a neighbour; the first row of a visitor in a range looks up the visitor's
+    last day in an earlier range, from a table of one row per visitor and range.
+    """
+    ranged = entries.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("common.mid", "_range").orderBy(*order)
+    dealt = ranged.withColumn("_before", F.lag("_day").over(inside)).withColumn("_nth", F.row_number().over(inside))
+    lasts = ranged.groupBy(F.col("common.mid").alias("_mid"), F.col("_range").alias("_end")).agg(F.max_by("_day", F.struct(*order)).alias("_last"))
+    earlier = lasts.select("_mid", F.col("_end").alias("_in"), F.lag("_last").over(Window.partitionBy("_mid").orderBy("_end")).alias("_carried"))
+    met = dealt.join(earlier, F.col("common.mid").eqNullSafe(F.col("_mid")) & (F.col("_range") == F.col("_in")), "left")
+    before = F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col("_before"))
+    return met.where(~F.col("_day").eqNullSafe(before))
+
+
+def with_bounces(pages: DataFrame, *, timeout_ms: int = BOUNCE_MS, tie: list[str] = ()) -> DataFrame:
+    """pages with ``bounced``: an entry page that no other page of the visitor follows in under ``timeout_ms``."""
+    rows = with_neighbour(pages.withColumn("_mid", F.col("common.mid")), "_mid", "ts", timeout_ms, tie=list(tie))
+    return rows.select(*pages.columns, (entry_page() & F.col("near").isNull()).alias("bounced"))
 
 
 def bounces(pages: DataFrame, *, timeout_ms: int = BOUNCE_MS, tie: list[str] = ()) -> DataFrame:
@@ -34,5 +56,4 @@ def bounces(pages: DataFrame, *, timeout_ms: int = BOUNCE_MS, tie: list[str] = (
 
     Any page that follows in time prevents a bounce, also one without page_id.
     """
-    rows = with_neighbour(pages.withColumn("_mid", F.col("common.mid")), "_mid", "ts", timeout_ms, tie=list(tie))
-    return rows.where(entry_page() & F.col("near").isNull()).select(*pages.columns)
+    return with_bounces(pages, timeout_ms=timeout_ms, tie=tie).where("bounced").select(*pages.columns)

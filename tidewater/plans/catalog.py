@@ -104,8 +104,7 @@ def user_jump(spark, sf):
 
 
 def _visitor_facts(spark, sf):
-    pages = _pages(spark, sf)
-    return stats.visitor_facts(pages, visits.unique_visits(pages, tie=["event_id"]), visits.bounces(pages, timeout_ms=SESSION_MS, tie=["event_id"]))
+    return stats.visitor_facts_of(_pages(spark, sf), timeout_ms=SESSION_MS, tie=["event_id"])
 
 
 @query(oracle.visitor(DAY_MS))
@@ -135,7 +134,7 @@ def _as_text(rows: DataFrame) -> DataFrame:
 
 @query("""select "table", case when boot then 'bootstrap-insert' else type end as type, id from valid""")
 def cdc_filter(spark, sf):
-    return _changes(spark, sf).select("table", "type", F.col("data")["id"].alias("id"))
+    return cdc.with_data(_changes(spark, sf)).select("table", "type", F.col("data")["id"].alias("id"))
 
 
 @query(oracle.routes("kafka"))
@@ -150,7 +149,7 @@ def cdc_route_dim(spark, sf):
 
 @query("""select id, '{"b":"' || b || '"}' as data from valid where "table" = 'part'""")
 def cdc_prune(spark, sf):
-    parts = _changes(spark, sf).where("table = 'part'")
+    parts = cdc.with_data(_changes(spark, sf).where("table = 'part'"))
     kept = cdc.pruned(F.col("data"), F.lit("p_brand, p_name"))
     return parts.select(F.col("data")["id"].alias("id"), F.to_json(F.create_map(F.lit("b"), kept["p_brand"])).alias("data"))
 
@@ -264,12 +263,22 @@ def province_stats_10s(spark, sf):
 
 
 def _product_facts(spark, sf):
+    pages = _pages(spark, sf)
+    # order lines are written once, as the topic that both statistics and payments read
+    lines = _written(_lines(spark, sf), "order-lines")
     return stats.product_facts(
-        _pages(spark, sf), _lines(spark, sf), data.actions(spark, sf, "signup"), data.actions(spark, sf, "purchase"), _paid(spark, sf),
-        data.refunds(spark, sf), data.actions(spark, sf, "error"),
+        clicks=pages, displays=pages, orders=lines, favors=data.actions(spark, sf, "signup"), carts=data.actions(spark, sf, "purchase"),
+        payments=wide.payment_wide(data.payment_info(spark, sf), lines, low_ms=-30 * DAY_MS), refunds=data.refunds(spark, sf), comments=data.actions(spark, sf, "error"),
     )
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows by way of a table in the shared folder."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @query("""select p.*, s.sku_name, s.spu_id, s.category3_id, s.tm_id, cast(s.sku_price as double) as sku_price, spu_name, category3_name, tm_name
     from product p left join skus s using (sku_id) left join spus using (spu_id) left join categories using (category3_id) left join trademarks using (tm_id)""")
 def product_stats(spark, sf):
@@ -300,7 +309,11 @@ def keyword_stats(spark, sf):
     select stt, edt, sku_id, click_ct as ct, 'CLICK' as source from product union all select stt, edt, sku_id, cart_ct, 'CART' from product union all select stt, edt, sku_id, order_ct, 'ORDER' from product)
     join skus using (sku_id) join spus using (spu_id) where ct > 0""")
 def keyword_product_c2r(spark, sf):
-    return stats.product_keywords(stats.product_stats(_product_facts(spark, sf), data.dimensions(spark, sf), window=DAY))
+    """Reads the three counts that it turns into rows, and the names of products and standard products."""
+    dims = data.dimensions(spark, sf)
+    facts = stats.product_facts(clicks=_pages(spark, sf), orders=_lines(spark, sf), carts=data.actions(spark, sf, "purchase"))
+    named = wide.with_spu(wide.with_sku(stats.product_sums(facts, window=DAY), dims["sku"]), dims["spu"])
+    return stats.product_keywords(named)
 
 
 @query(f"""select n_nationkey, {TOKENS.format("n_name")} as word, ct, source from (select n_nationkey, n_name, n_regionkey as ct, 'CLICK' as source from nation

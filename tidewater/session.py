@@ -21,9 +21,11 @@ def session(name: str = "tidewater", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in spark.checkpoint.dir, which is set to a temporary folder only where it is unset."""
+    """A new folder's path in spark.checkpoint.dir; where that is unset, on a local master only, in a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/tidewater/{name}-{uuid.uuid4().hex}"
