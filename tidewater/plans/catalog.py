@@ -18,7 +18,7 @@ from tidewater.plans import adapters as data
 from tidewater.plans import oracle
 from tidewater.plans.adapters import DAY_MS, SESSION_MS
 from tidewater.session import shared_folder
-from tidewater.sources.topics import read_topic, write_topic
+from tidewater.sources.topics import read_topic, topic_table, write_topic
 from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
 from tidewater.streaming.runs import finish
 
@@ -366,27 +366,86 @@ def _page_stream(spark, sf) -> DataFrame:
     return read_topic(spark, _topic(spark, _pages(spark, sf), "page-log"), schema=f"{schemas.PAGE_LOG}, event_id bigint")
 
 
-@query(f"""select * from ({oracle.visitor(DAY_MS).replace(" group by all", " where uv = 0 and uj = 0 group by all")}) where edt <= (select strftime(make_timestamp((max(ts) - 13000) * 1000), {oracle.FORMAT}) from pages)""")
-def stream_visitor_stats(spark, sf):
-    """Page views and sessions of the windows that the watermark has closed; uv_ct and uj_ct are 0, their streams are not fed."""
-    pages = _page_stream(spark, sf)
-    none = pages.where("false")
-    facts = stats.visitor_facts(pages, none, none).withWatermark("at", "13 seconds")
-    return finish(stats.visitor_stats(facts, window=DAY), "visitor-stats")
+#: Bounces that the end of the stream leaves open are none yet.
+SETTLED = f"select * from bounced where ts + {SESSION_MS} < (select max(ts) from pages)"
+
+
+def _unlogged(rows: DataFrame) -> DataFrame:
+    """The page logs that a keyed stream passed on as text."""
+    return rows.select(F.from_json("log", f"{schemas.PAGE_LOG}, event_id bigint").alias("l")).select("l.*")
+
+
+def _unique_topic(spark, sf) -> str:
+    return _topic(spark, _unlogged(finish(unique_visit_stream(_page_stream(spark, sf)), "unique-visit")), "unique-visits")
 
 
+def _bounce_topic(spark, sf) -> str:
+    return _topic(spark, _unlogged(finish(bounce_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump")), "user-jumps")
+
+
+@query(f"select mid, ts from ({SETTLED})")
 def stream_user_jump(spark, sf):
     return finish(bounce_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump").select("mid", "ts")
 
 
+@query("""select mid, ts, case when is_new = '1' and ts // 86400000 <> min(ts // 86400000) filter (is_new = '1') over (partition by mid) then '0' else is_new end as is_new from pages""")
 def stream_new_visitors(spark, sf):
     return finish(new_visitor_stream(_page_stream(spark, sf)), "new-visitors").select("mid", "ts", F.col("flag").alias("is_new"))
 
 
+@query("select mid, ts from visits")
 def stream_unique_visit(spark, sf):
     return finish(unique_visit_stream(_page_stream(spark, sf)), "unique-visit").select("mid", "ts")
 
 
+#: Windows that the watermark, 13 seconds behind the latest of ``rows``, has closed.
+def _closed(query: str, at: str, rows: str) -> str:
+    return f"select * from ({query}) where edt <= (select strftime(make_timestamp((max({at}) - 13000) * 1000), {oracle.FORMAT}) from {rows})"
+
+
+@query(_closed(oracle.visitor(DAY_MS).replace("from bounced", f"from ({SETTLED})"), "ts", "pages"))
+def stream_visitor_stats(spark, sf):
+    """The whole job: pages, and the topics of unique visits and bounces that two other streams have written."""
+    log = f"{schemas.PAGE_LOG}, event_id bigint"
+    topics = (_topic(spark, _pages(spark, sf), "page-log"), _unique_topic(spark, sf), _bounce_topic(spark, sf))
+    facts = stats.visitor_facts(*[read_topic(spark, t, schema=log) for t in topics]).withWatermark("at", "13 seconds")
+    return finish(stats.visitor_stats(facts, window=DAY), "visitor-stats")
+
+
+def _stream_of(spark, rows: DataFrame, name: str) -> DataFrame:
+    """A batch as a stream of its own schema, by way of a topic."""
+    return read_topic(spark, _topic(spark, rows, name), schema=", ".join(f"{c} {t}" for c, t in rows.dtypes))
+
+
+@query(_closed("select * from product", "tms", "facts"))
+def stream_product_stats(spark, sf):
+    """Facts of seven topics; distinct orders are counted as sets in the state of each window."""
+    pages = _page_stream(spark, sf)
+    facts = stats.product_facts(
+        clicks=pages, displays=pages, orders=_stream_of(spark, _lines(spark, sf), "order-wide"), favors=_stream_of(spark, data.actions(spark, sf, "signup"), "favors"),
+        carts=_stream_of(spark, data.actions(spark, sf, "purchase"), "carts"), payments=_stream_of(spark, _paid(spark, sf), "payment-wide"),
+        refunds=_stream_of(spark, data.refunds(spark, sf), "refunds"), comments=_stream_of(spark, data.actions(spark, sf, "error"), "comments"),
+    ).withWatermark("at", "13 seconds")
+    return plain(finish(stats.product_sums(facts, window=DAY), "product-stats"))
+
+
+@query(_closed(oracle.province(DAY_MS), "order_ts", "oi join od using (order_id)"))
+def stream_province_stats(spark, sf):
+    """A table over the topic of wide orders, with its event time and watermark, asked in SQL."""
+    rows = _province_rows(spark, sf).withColumn("create_ts", F.unix_millis("at")).drop("at")
+    path = _topic(spark, rows, "province-orders")
+    wides = topic_table(spark, "tidewater_order_wide", path, ", ".join(f"{c} {t}" for c, t in rows.dtypes), "timestamp_millis(create_ts)", "13 seconds")
+    assert wides.isStreaming
+    return plain(finish(stats.province_stats(spark.sql("select *, rowtime as at from tidewater_order_wide").drop("rowtime"), window=DAY), "province-stats"))
+
+
+@query(f"select {_doubles(PAID)} from paid")
+def stream_payment_join(spark, sf):
+    wides = _stream_of(spark, _lines(spark, sf), "order-wide").withColumn("wide_at", F.timestamp_millis("order_ts")).withWatermark("wide_at", "3 seconds")
+    paid = _stream_of(spark, data.payment_info(spark, sf), "payments").withColumn("paid_at", F.timestamp_millis("create_ts")).withWatermark("paid_at", "3 seconds")
+    return plain(finish(wide.payment_wide(paid, wides, low_ms=-30 * DAY_MS).select(*map(str.strip, PAID.split(","))), "payment-join"))
+
+
 @query(f"select {_doubles(ORDER_FIELDS)} from near")
 def stream_order_join(spark, sf):
     def stream(rows, schema, name):

@@ -1,13 +1,14 @@
-"""Keyed state of visitors on streams, for transformWithState. Groups are visitors; rows carry their log as text."""
+"""Keyed state of visitors on streams, one small state a visitor. Rows carry their log as text."""
 
 from __future__ import annotations
 
 import datetime
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.operators.logs import entry_page
 from tidewater.operators.visits import BOUNCE_MS
@@ -20,90 +21,91 @@ def _day(ms: int) -> str:
     return datetime.datetime.fromtimestamp(ms // 1000, datetime.timezone.utc).strftime("%Y%m%d")
 
 
-class NewVisitors(StatefulProcessor):
-    """flag is is_new; the day of a visitor's first claim stays, and claims of another day become 0."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "day string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda r: r.ts):
-            flag = row.flag
-            if flag == "1":
-                if not self.first.exists():
-                    self.first.update((_day(row.ts),))
-                elif self.first.get()[0] != _day(row.ts):
-                    flag = "0"
-            yield Row(mid=key[0], ts=row.ts, flag=flag, log=row.log)
-
-    def close(self) -> None:
-        pass
-
-
-class UniqueVisits(StatefulProcessor):
-    """Entry pages of another day than the visitor's last one; the day is forgotten after a day."""
+def _in_order(batches: Iterator[pd.DataFrame]) -> list[tuple[int, str, str]]:
+    """(ts, flag, log) of a visitor's new rows, in order of time and then of the log."""
+    return sorted((int(ts), flag, log) for b in batches for ts, flag, log in zip(b["ts"], b["flag"], b["log"], strict=True))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "day string", ttlDurationMs=DAY_MS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda r: r.ts):
-            if not self.last.exists() or self.last.get()[0] != _day(row.ts):
-                self.last.update((_day(row.ts),))
-                yield Row(mid=key[0], ts=row.ts, flag=row.flag, log=row.log)
+def _rows(mid: str, rows: list[tuple[int, str, str]]) -> pd.DataFrame:
+    return pd.DataFrame([(mid, *r) for r in rows], columns=["mid", "ts", "flag", "log"])
 
-    def close(self) -> None:
-        pass
 
-
-class Bounces(StatefulProcessor):
-    """flag is 1 for entry pages. Rows wait until the watermark is a timeout past them; only then are they judged."""
-
-    def __init__(self, timeout_ms: int = BOUNCE_MS):
-        self.timeout = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "ts long, flag string, log string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r.ts, r.flag, r.log) for r in rows]
-        self.rows.appendList(new)
-        for ts in {r[0] for r in new}:
-            self.handle.registerTimer(ts + self.timeout)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ripe = expiredTimerInfo.getExpiryTimeInMs() - self.timeout
-        held = sorted(tuple(r) for r in self.rows.get())
-        for at, (ts, flag, log) in enumerate(held):
-            if ts <= ripe and flag == "1" and (at + 1 == len(held) or held[at + 1][0] - ts >= self.timeout):
-                yield Row(mid=key[0], ts=ts, flag=flag, log=log)
-        rest = [r for r in held if r[0] > ripe]
+def new_visitors(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """flag is is_new; the day of a visitor's first claim stays, and claims of another day become 0."""
+    first, out = state.get[0] if state.exists else None, []
+    for ts, flag, log in _in_order(batches):
+        if flag == "1":
+            first = first or _day(ts)
+            flag = "1" if _day(ts) == first else "0"
+        out.append((ts, flag, log))
+    if first:
+        state.update((first,))
+    yield _rows(key[0], out)
+
+
+def unique_visits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Entry pages of another day than the visitor's last one.
+
+    The day is forgotten when the watermark is a day past it: whatever comes then is of another day. (In time of the
+    clock, as a stream that never ends might forget, one that ends with its input would wait for ever.)
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last, out = state.get[0] if state.exists else None, []
+    newest = 0
+    for ts, flag, log in _in_order(batches):
+        newest = ts
+        if _day(ts) != last:
+            last = _day(ts)
+            out.append((ts, flag, log))
+    if last:
+        state.update((last,))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + DAY_MS)
+    yield _rows(key[0], out)
+
+
+def bounces(timeout_ms: int):
+    """flag is 1 for entry pages. Rows wait until the watermark is more than a timeout past them, and are judged then."""
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            held += _in_order(batches)
+        held.sort()
+        ripe = state.getCurrentWatermarkMs() - timeout_ms
+        out = [
+            row for at, row in enumerate(held)
+            if row[0] < ripe and row[1] == "1" and (at + 1 == len(held) or held[at + 1][0] - row[0] >= timeout_ms)
+        ]
+        rest = [row for row in held if row[0] >= ripe]
         if rest:
-            self.rows.put(rest)
-        else:
-            self.rows.clear()
+            state.update(tuple(map(list, zip(*rest, strict=True))))
+            state.setTimeoutTimestamp(rest[0][0] + timeout_ms)
+        elif state.exists:
+            state.remove()
+        yield _rows(key[0], out)
 
-    def close(self) -> None:
-        pass
+    return judge
 
 
-def _keyed(logs: DataFrame, flag) -> DataFrame:
+def _keyed(logs: DataFrame, flag: Column) -> DataFrame:
     return logs.where("common.mid is not null and ts is not null").select(
         F.col("common.mid").alias("mid"), "ts", flag.alias("flag"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in logs.columns])).alias("log"), F.timestamp_millis("ts").alias("at")
     )
 
 
 def new_visitor_stream(logs: DataFrame) -> DataFrame:
-    return _keyed(logs, F.col("common.is_new")).groupBy("mid").transformWithState(NewVisitors(), ROW, "Append", "None")
+    """mid, ts, flag (the repaired is_new) and log of every log."""
+    return _keyed(logs, F.col("common.is_new")).groupBy("mid").applyInPandasWithState(new_visitors, ROW, "day string", "append", GroupStateTimeout.NoTimeout)
 
 
-def unique_visit_stream(pages: DataFrame) -> DataFrame:
-    return _keyed(pages.where(entry_page()), F.lit("1")).groupBy("mid").transformWithState(UniqueVisits(), ROW, "Append", "ProcessingTime")
+def unique_visit_stream(pages: DataFrame, *, delay: str = "0 seconds") -> DataFrame:
+    rows = _keyed(pages.where(entry_page()), F.lit("1")).withWatermark("at", delay)
+    return rows.groupBy("mid").applyInPandasWithState(unique_visits, ROW, "day string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bounce_stream(pages: DataFrame, *, timeout_ms: int = BOUNCE_MS, delay: str = "0 seconds") -> DataFrame:
-    """Bounces as the watermark passes them; those within a timeout of the stream's end are still open."""
+    """Bounces as the watermark passes them; those within a timeout of the stream's end are still open. Late rows are dropped."""
     rows = _keyed(pages, F.when(entry_page(), F.lit("1")).otherwise(F.lit("0"))).withWatermark("at", delay)
-    return rows.groupBy("mid").transformWithState(Bounces(timeout_ms), ROW, "Append", "EventTime")
+    return rows.groupBy("mid").applyInPandasWithState(bounces(timeout_ms), ROW, "ts array<long>, flag array<string>, log array<string>", "append", GroupStateTimeout.EventTimeTimeout)
