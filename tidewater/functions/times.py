@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Milliseconds of a year of 365 days, in which ages are counted.
@@ -41,3 +41,8 @@ def age(birthday_ms: Column, now_ms: Column) -> Column:
 def bounds(window: str = "window") -> list[Column]:
     """Start and end of a window as text."""
     return [F.date_format(f"{window}.start", SECONDS).alias("stt"), F.date_format(f"{window}.end", SECONDS).alias("edt")]
+
+
+def stamped(rows: DataFrame, now_ms: Column | None = None) -> DataFrame:
+    """rows with ``ts``, when they were made: the clock of the run in milliseconds, or a time that the caller gives."""
+    return rows.withColumn("ts", F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
 
 
+def dictionary_tokens(text: Column, dictionary: Iterable[str]) -> Column:
+    """As tokens(), with runs of Chinese characters cut by a dictionary. Batches go to Python; without one, use tokens()."""
+    known = frozenset(dictionary)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: tokenize(t, known))
+
+    return cut(text)
+
+
 def segment(run: str, dictionary: frozenset[str], longest: int) -> Iterator[str]:
     """Forward maximum matching: at every place the longest word of the dictionary, or else one character."""
     at = 0

@@ -54,6 +54,11 @@ def routed(changes: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
+def table_name(sink_table: Column) -> Column:
+    """The name under which a store that knows upper case only keeps a dimension."""
+    return F.upper(sink_table)
+
+
 def facts(routes: DataFrame) -> DataFrame:
     return routes.where(F.col("sink_type") == TOPIC)
 

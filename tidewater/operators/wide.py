@@ -48,13 +48,17 @@ def order_lines(orders: DataFrame, lines: DataFrame, *, low_ms: int = -ORDER_MS,
     return joined.drop("_order_id").withColumns({c: F.lit(None).cast(t) for c, t in UNSET.items()})
 
 
-def lookup(rows: DataFrame, dimension: DataFrame, key: str, mapping: dict[str, str], *, on: str = "id") -> DataFrame:
+def lookup(rows: DataFrame, dimension: DataFrame, key: str | list[str], mapping: dict[str, str], *, on: str | list[str] = "id") -> DataFrame:
     """rows with columns of a dimension under the names in mapping; rows that it lacks, or without key, keep nulls.
 
-    Dimensions hold texts, so keys meet as texts. How it joins is left to the optimizer, which knows the sizes.
+    ``key`` and ``on`` name one column each, or as many. Dimensions hold texts, so keys meet as texts. How it joins is
+    left to the optimizer, which knows the sizes.
     """
-    named = dimension.select(F.col(on).cast("string").alias("_dim_key"), *[F.col(c).alias(name) for c, name in mapping.items()])
-    return rows.join(named, F.col(key).cast("string") == F.col("_dim_key"), "left").drop("_dim_key")
+    keys, ons = ([x] if isinstance(x, str) else x for x in (key, on))
+    names = [f"_dim_key_{n}" for n in range(len(ons))]
+    named = dimension.select(*[F.col(c).cast("string").alias(n) for c, n in zip(ons, names, strict=True)], *[F.col(c).alias(name) for c, name in mapping.items()])
+    same = [F.col(k).cast("string") == F.col(n) for k, n in zip(keys, names, strict=True)]
+    return rows.join(named, same, "left").drop(*names)
 
 
 def with_user(rows: DataFrame, users: DataFrame, now_ms: Column) -> DataFrame:

@@ -18,9 +18,10 @@ from tidewater.plans import adapters as data
 from tidewater.plans import oracle
 from tidewater.plans.adapters import DAY_MS, SESSION_MS
 from tidewater.session import shared_folder
-from tidewater.sources.topics import read_topic, topic_table, write_topic
+from tidewater.sources.tables import read_routes, read_snapshot, snapshot_sink, split_sink, table_sink
+from tidewater.sources.topics import read_topic, topic_table, write_topic, write_topics
 from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
-from tidewater.streaming.runs import finish
+from tidewater.streaming.runs import finish, finish_batches
 
 DAY = "1 day"
 #: The day on which ages are taken.
@@ -192,6 +193,23 @@ def _paid(spark, sf):
 AGE = f"cast((epoch_ms(timestamp '{NOW}') - epoch_ms(cast(u.birthday as timestamp))) // {times.YEAR_MS} as integer)"
 
 
+PAYMENT_FIELDS = ", ".join(f.strip() for f in ORDER_FIELDS.split(",") if f.strip() not in ("create_time", "create_date"))
+
+
+@query(f"""select payment_id, subject, payment_type, payment_create_time, callback_time, order_create_time, {_doubles(PAYMENT_FIELDS, "w.")}, s.sku_name,
+    {AGE} as user_age, u.gender as user_gender, n_name as province_name, r_name as province_area_code, iso as province_iso_code, iso2 as province_3166_2_code,
+    spu_id, category3_id, tm_id, spu_name, category3_name, tm_name, cast(null as double) as split_feight_fee
+    from paid w left join users u on cast(user_id as varchar) = u.id left join provinces p on cast(province_id as varchar) = p.id
+    left join skus s using (sku_id) left join spus using (spu_id) left join categories using (category3_id) left join trademarks using (tm_id)""")
+def payment_wide(spark, sf):
+    """Payments with every column of the wide order, its six lookups included."""
+    wides = wide.order_wide(_lines(spark, sf), data.dimensions(spark, sf), _now())
+    paid = wide.payment_wide(data.payment_info(spark, sf), wides, low_ms=-30 * DAY_MS)
+    return plain(paid.drop("payment_ts", "wide_ts", "order_ts", "detail_ts"))
+
+
+
+
 @query(f"select order_id, user_id, {AGE} as user_age, u.gender as user_gender from oi left join users u on cast(user_id as varchar) = u.id")
 def lookup_user(spark, sf):
     orders = data.order_info(spark, sf).select(F.col("id").alias("order_id"), "user_id")
@@ -243,6 +261,13 @@ def user_age(spark, sf):
     return users.select(F.col("id").cast("long").alias("user_id"), times.age(born, _now()).alias("user_age"))
 
 
+@query("select n_nationkey, n_regionkey, n_name as name from nation where n_nationkey % 5 <> 3 union all select n_nationkey, n_regionkey, null from nation where n_nationkey % 5 = 3")
+def lookup_two_columns(spark, sf):
+    nation = data.table(spark, sf, "nation")
+    dimension = nation.where("n_nationkey % 5 <> 3").selectExpr("cast(n_nationkey as string) as id", "cast(n_regionkey as string) as region", "n_name as NAME")
+    return wide.lookup(nation.select("n_nationkey", "n_regionkey"), dimension, ["n_nationkey", "n_regionkey"], {"NAME": "name"}, on=["id", "region"])
+
+
 # statistics
 
 
@@ -262,6 +287,14 @@ def province_stats_10s(spark, sf):
     return plain(stats.province_stats(_province_rows(spark, sf)))
 
 
+STAMP = 1_767_225_600_000
+
+
+@query(f"select *, {STAMP} as ts from ({oracle.province(DAY_MS)})")
+def province_stats_stamped(spark, sf):
+    return times.stamped(province_stats(spark, sf), F.lit(STAMP))
+
+
 def _product_facts(spark, sf):
     pages = _pages(spark, sf)
     # order lines are written once, as the topic that both statistics and payments read
@@ -457,6 +490,68 @@ def stream_order_join(spark, sf):
     return plain(finish(wide.order_lines(orders, lines, low_ms=-5 * DAY_MS, high_ms=5 * DAY_MS).select(*map(str.strip, ORDER_FIELDS.split(","))), "order-join"))
 
 
+# sinks
+
+
+@query(oracle.routes("hbase"))
+def sink_dimensions(spark, sf):
+    """A stream of changes, split by routes that every batch reads anew, into the last version of a snapshot."""
+    routes, root = shared_folder(spark, "routes"), shared_folder(spark, "dimensions")
+    spark.createDataFrame(data.ROUTES, schemas.ROUTES).write.parquet(routes)
+    upsert = snapshot_sink(root, ["sink_table", "id"], ["type"])
+    last = [0]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = cdc.dimensions(cdc.routed(cdc.valid_changes(cdc.parse_changes(batch)), read_routes(batch.sparkSession, routes)))
+        upsert(known.select("sink_table", F.col("data")["id"].alias("id"), "type", "table", "sink_pk", "data"), batch_id)
+        last[0] = batch_id
+
+    finish_batches(_change_stream(spark, sf), write, "dimensions")
+    return _as_text(read_snapshot(spark, root, last[0]))
+
+
+def _change_stream(spark, sf) -> DataFrame:
+    path = shared_folder(spark, "changes")
+    data.changes(spark, sf).write.text(path)
+    return read_topic(spark, path)
+
+
+@query(f"""select sink_table as topic, data as value from ({oracle.routes("kafka")})""")
+def sink_topics(spark, sf):
+    """Every fact in the topic that its route names."""
+    routes, root = spark.createDataFrame(data.ROUTES, schemas.ROUTES), shared_folder(spark, "topics")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_topics(cdc.facts(cdc.routed(cdc.valid_changes(cdc.parse_changes(batch)), routes)), root)
+
+    finish_batches(_change_stream(spark, sf), write, "topics")
+    return spark.read.text(root).select(F.col("topic").cast("string").alias("topic"), "value")
+
+
+@query(oracle.province(DAY_MS))
+def sink_table(spark, sf):
+    """Statistics by way of a table that takes its columns in order."""
+    root = shared_folder(spark, "province-table")
+    rows = province_stats(spark, sf)
+    table_sink(root, rows.columns)(rows, 0)
+    return spark.read.parquet(root).select(*rows.columns)
+
+
+@query("""select 'start' as part, count(*) as n from logs where is_start union all select 'page', count(*) from pages union all select 'display', count(*) from shown""")
+def sink_split(spark, sf):
+    """One stream of logs in three outputs."""
+    root = shared_folder(spark, "split")
+    stream = read_topic(spark, _topic(spark, data.page_log(spark, sf), "logs"), schema=f"{schemas.PAGE_LOG}, event_id bigint")
+    parts = {"start": logs.starts, "page": logs.pages, "display": logs.displays}
+    finish_batches(stream, split_sink({n: (f, lambda rows, batch_id, n=n: write_topic(rows, f"{root}/part={n}")) for n, f in parts.items()}), "split")
+    return spark.read.text(root).groupBy(F.col("part").cast("string").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("""select distinct upper(sink_table) as sink_table from (values ('DIM_USER'), ('dwd_order'), ('stats'), ('dwd_part')) t(sink_table)""")
+def upper_table_names(spark, sf):
+    return spark.createDataFrame(data.ROUTES, schemas.ROUTES).select(cdc.table_name(F.col("sink_table")).alias("sink_table")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in FOUND.items()}
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -27,23 +26,21 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    """A dimension as a batch left it, or None if there is no such version."""
-    try:
-        return spark.read.parquet(f"{root}/version={version}")
-    except AnalysisException:
-        return None
+def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """A dimension as a batch left it; a version that there isn't is an error."""
+    return spark.read.parquet(f"{root}/version={version}")
 
 
 def snapshot_sink(root: str, keys: list[str], order: list[str], *, apply_deletes: bool = False) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: writes the dimension with a batch's last changes as version batch_id of the snapshot.
 
-    A batch that is repeated after a failure writes the same version again. Empty changes should be filtered before.
+    A batch that is repeated after a failure writes the same version again. The first batch creates the dimension; at
+    any other, the version before has to be there, or else the batch fails and leaves what there is.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = latest(batch, keys, order, apply_deletes=apply_deletes)
-        before = read_snapshot(batch.sparkSession, root, batch_id - 1)
+        before = read_snapshot(batch.sparkSession, root, batch_id - 1) if batch_id else None
         upserted(before, rows, keys).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return write
