@@ -93,28 +93,33 @@ def actions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return events(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("k").alias("sku_id"), "create_time", appraise.alias("appraise"))
 
 
-def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All columns are texts. Some standard products and users are missing, as in life."""
-    part = table(spark, sf_dir, "part")
+def dimension(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """user, province, sku, spu, category or trademark; all columns are texts. Some standard products and users are missing, as in life."""
     text = lambda e, name: F.expr(f"cast({e} as string)").alias(name)
-    group = lambda key, column, name: part.groupBy(text(key, "id")).agg(F.min(column).alias(name))
-    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return {
-        "user": table(spark, sf_dir, "customer").where("c_custkey % 50 <> 7").select(
+    if name == "user":
+        return table(spark, sf_dir, "customer").where("c_custkey % 50 <> 7").select(
             text("c_custkey", "id"), F.expr("cast(date_add(date'1950-01-01', cast(c_custkey % 18000 as int)) as string)").alias("BIRTHDAY"), F.expr("if(c_custkey % 2 = 0, 'F', 'M')").alias("GENDER")
-        ),
-        "province": nation.select(
+        )
+    if name == "province":
+        nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return nation.select(
             text("n_nationkey", "id"), F.col("n_name").alias("NAME"), F.col("r_name").alias("AREA_CODE"), F.concat(F.lit("CN-"), "n_nationkey").alias("ISO_CODE"),
             F.concat(F.lit("R"), "n_regionkey").alias("ISO_3166_2"),
-        ),
-        "sku": part.select(
+        )
+    part = table(spark, sf_dir, "part")
+    if name == "sku":
+        return part.select(
             text("p_partkey", "id"), F.col("p_name").alias("SKU_NAME"), text("p_partkey % 64", "SPU_ID"), text("p_size % 6", "CATEGORY3_ID"), text("p_partkey % 25", "TM_ID"),
             F.col("p_retailprice").cast(MONEY).cast("string").alias("PRICE"),
-        ),
-        "spu": group("p_partkey % 64", "p_name", "SPU_NAME").where("cast(id as int) < 60"),
-        "category": group("p_size % 6", "p_type", "NAME"),
-        "trademark": group("p_partkey % 25", "p_brand", "TM_NAME"),
-    }
+        )
+    key, column, named = {"spu": ("p_partkey % 64", "p_name", "SPU_NAME"), "category": ("p_size % 6", "p_type", "NAME"), "trademark": ("p_partkey % 25", "p_brand", "TM_NAME")}[name]
+    groups = part.groupBy(text(key, "id")).agg(F.min(column).alias(named))
+    return groups.where("cast(id as int) < 60") if name == "spu" else groups
+
+
+def dimensions(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named dimensions, or all six; what isn't named isn't opened."""
+    return {n: dimension(spark, sf_dir, n) for n in names or ("user", "province", "sku", "spu", "category", "trademark")}
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

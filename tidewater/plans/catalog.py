@@ -213,17 +213,17 @@ def payment_wide(spark, sf):
 @query(f"select order_id, user_id, {AGE} as user_age, u.gender as user_gender from oi left join users u on cast(user_id as varchar) = u.id")
 def lookup_user(spark, sf):
     orders = data.order_info(spark, sf).select(F.col("id").alias("order_id"), "user_id")
-    return wide.with_user(orders, data.dimensions(spark, sf)["user"], _now())
+    return wide.with_user(orders, data.dimension(spark, sf, "user"), _now())
 
 
 @query("select order_id, province_id, n_name as province_name, r_name as province_area_code, iso as province_iso_code, iso2 as province_3166_2_code from oi left join provinces p on cast(province_id as varchar) = p.id")
 def lookup_province(spark, sf):
     orders = data.order_info(spark, sf).select(F.col("id").alias("order_id"), "province_id")
-    return wide.with_province(orders, data.dimensions(spark, sf)["province"])
+    return wide.with_province(orders, data.dimension(spark, sf, "province"))
 
 
 def _sku_lines(spark, sf):
-    return wide.with_sku(data.order_detail(spark, sf).select(F.col("id").alias("detail_id"), "sku_id"), data.dimensions(spark, sf)["sku"], price=True)
+    return wide.with_sku(data.order_detail(spark, sf).select(F.col("id").alias("detail_id"), "sku_id"), data.dimension(spark, sf, "sku"), price=True)
 
 
 @query("select detail_id, sku_id, s.sku_name, spu_id, category3_id, tm_id, cast(sku_price as double) as sku_price from od left join skus s using (sku_id)")
@@ -233,17 +233,17 @@ def lookup_sku(spark, sf):
 
 @query("select detail_id, spu_id, spu_name from od left join skus using (sku_id) left join spus using (spu_id)")
 def lookup_spu(spark, sf):
-    return wide.with_spu(_sku_lines(spark, sf).select("detail_id", "spu_id"), data.dimensions(spark, sf)["spu"])
+    return wide.with_spu(_sku_lines(spark, sf).select("detail_id", "spu_id"), data.dimension(spark, sf, "spu"))
 
 
 @query("select detail_id, category3_id, category3_name from od left join skus using (sku_id) left join categories using (category3_id)")
 def lookup_category3(spark, sf):
-    return wide.with_category(_sku_lines(spark, sf).select("detail_id", "category3_id"), data.dimensions(spark, sf)["category"])
+    return wide.with_category(_sku_lines(spark, sf).select("detail_id", "category3_id"), data.dimension(spark, sf, "category"))
 
 
 @query("select detail_id, tm_id, tm_name from od left join skus using (sku_id) left join trademarks using (tm_id)")
 def lookup_trademark(spark, sf):
-    return wide.with_trademark(_sku_lines(spark, sf).select("detail_id", "tm_id"), data.dimensions(spark, sf)["trademark"])
+    return wide.with_trademark(_sku_lines(spark, sf).select("detail_id", "tm_id"), data.dimension(spark, sf, "trademark"))
 
 
 @query(f"""select {_doubles(ORDER_FIELDS, "w.")}, s.sku_name, {AGE} as user_age, u.gender as user_gender, n_name as province_name, r_name as province_area_code, iso as province_iso_code, iso2 as province_3166_2_code,
@@ -256,7 +256,7 @@ def order_wide(spark, sf):
 
 @query(f"select user_id, {AGE} as user_age from (select cast(id as bigint) as user_id, birthday from users) u")
 def user_age(spark, sf):
-    users = data.dimensions(spark, sf)["user"]
+    users = data.dimension(spark, sf, "user")
     born = times.text_millis(F.concat("BIRTHDAY", F.lit(" 00:00:00")))
     return users.select(F.col("id").cast("long").alias("user_id"), times.age(born, _now()).alias("user_age"))
 
@@ -274,7 +274,7 @@ def lookup_two_columns(spark, sf):
 def _province_rows(spark, sf):
     o = data.order_info(spark, sf).select(F.col("id").alias("order_id"), "province_id", F.timestamp_millis("create_ts").alias("at"))
     rows = o.join(data.order_detail(spark, sf).select("order_id", "split_total_amount"), "order_id")
-    return wide.with_province(rows, data.dimensions(spark, sf)["province"])
+    return wide.with_province(rows, data.dimension(spark, sf, "province"))
 
 
 @query(oracle.province(DAY_MS))
@@ -297,8 +297,8 @@ def province_stats_stamped(spark, sf):
 
 def _product_facts(spark, sf):
     pages = _pages(spark, sf)
-    # order lines are written once, as the topic that both statistics and payments read
-    lines = _written(_lines(spark, sf), "order-lines")
+    # order lines are written once, with what both statistics and payments read of them
+    lines = _written(_lines(spark, sf).select("order_id", "create_time", "order_ts", "sku_id", "sku_num", "split_total_amount"), "order-lines")
     return stats.product_facts(
         clicks=pages, displays=pages, orders=lines, favors=data.actions(spark, sf, "signup"), carts=data.actions(spark, sf, "purchase"),
         payments=wide.payment_wide(data.payment_info(spark, sf), lines, low_ms=-30 * DAY_MS), refunds=data.refunds(spark, sf), comments=data.actions(spark, sf, "error"),
@@ -315,7 +315,7 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
 @query("""select p.*, s.sku_name, s.spu_id, s.category3_id, s.tm_id, cast(s.sku_price as double) as sku_price, spu_name, category3_name, tm_name
     from product p left join skus s using (sku_id) left join spus using (spu_id) left join categories using (category3_id) left join trademarks using (tm_id)""")
 def product_stats(spark, sf):
-    return plain(stats.product_stats(_product_facts(spark, sf), data.dimensions(spark, sf), window=DAY))
+    return plain(stats.product_stats(_product_facts(spark, sf), data.dimensions(spark, sf, "sku", "spu", "category", "trademark"), window=DAY))
 
 
 @query("select * from product", 10_000)
@@ -343,7 +343,7 @@ def keyword_stats(spark, sf):
     join skus using (sku_id) join spus using (spu_id) where ct > 0""")
 def keyword_product_c2r(spark, sf):
     """Reads the three counts that it turns into rows, and the names of products and standard products."""
-    dims = data.dimensions(spark, sf)
+    dims = data.dimensions(spark, sf, "sku", "spu")
     facts = stats.product_facts(clicks=_pages(spark, sf), orders=_lines(spark, sf), carts=data.actions(spark, sf, "purchase"))
     named = wide.with_spu(wide.with_sku(stats.product_sums(facts, window=DAY), dims["sku"]), dims["spu"])
     return stats.product_keywords(named)
