@@ -109,7 +109,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, cost: float = 1.0, epochs: int
     size, share = 2 << SPACE, (y.sum() + 0.5) / (len(y) + 1)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(size), np.zeros(size), 0.0, 0.0, float(np.log(share / (1 - share))))
-    counts = [np.bincount(np.concatenate([r for r, z in zip(rows, y, strict=True) if z == k]), minlength=size) for k in (0, 1)]
+    counts = np.zeros((2, size), dtype=np.int64)
+    for r, z in zip(rows, y.astype(int).tolist(), strict=True):
+        counts[z][r] += 1  # a row has each index once
     ratio = np.log((counts[1] + 1.0) / (y.sum() + 2.0)) - np.log((counts[0] + 1.0) / ((1 - y).sum() + 2.0))
     ratio[counts[0] + counts[1] < least_count] = 0
     kept = [r[ratio[r] != 0] for r in rows]
@@ -142,10 +144,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, parts: int, held_out: int
     made = materialise(map_texts(sample, "text", "found array<int>", _found).withColumn("h", F.xxhash64("id", F.lit(1))), "quality-sample")
     sizes = made.groupBy("h").agg(F.sum(F.size("found")).alias("n")).toPandas().sort_values("h")
     within = sizes["h"][sizes["n"].cumsum() <= train_ngrams]
-    got = made.where(F.col("h") <= int(within.max())).toPandas() if len(within) else made.limit(0).toPandas()
-    got["head"] = [tuple(x[:50]) for x in got["found"]]
-    got = got.sort_values(["id", "y", "head"], ignore_index=True)
-    return fit([np.asarray(x, dtype=np.int64) for x in got["found"]], got["y"].to_numpy(dtype=float))
+    got = (made.where(F.col("h") <= int(within.max())) if len(within) else made.limit(0)).select("id", "y", "found").toArrow()
+    found = got.column("found").combine_chunks()
+    values, ends = found.values.to_numpy(), found.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    ids, y = got.column("id").to_pylist(), got.column("y").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], y[i], rows[i][:50].tolist()))
+    return fit([rows[i] for i in order], np.array([y[i] for i in order], dtype=float))
 
 
 def quality_scores(
