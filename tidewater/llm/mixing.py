@@ -10,7 +10,7 @@ below a cutoff of the source. No task orders a whole source: hashes fall into ab
 documents, sums over blocks find the block that a budget ends in, and only inside that block documents are counted
 one by one. Texts are never shuffled: what is to be known of a source is one row, and a document's copies follow from
 its hashes. The mix interleaves the sources: a copy's place in its source's permutations, as a fraction of the
-source's budget, is its place in the mix.
+source's passes, is its place in the mix.
 """
 
 from __future__ import annotations
@@ -140,9 +140,28 @@ def _passes(seed: int) -> Column:
 
 
 def _place(seed: int, number: Column) -> Column:
-    """Where the copy of pass ``number`` stands: its hash within the pass, over the passes of its source's budget."""
-    length = F.coalesce(F.col("source_budget") / F.col("tokens"), F.lit(1.0))
-    return (number + _hash(seed, number) / F.lit(float(SPAN))) / F.greatest(length, number + F.lit(1.0))
+    """Where the copy of pass ``number`` stands: number plus hash, over the whole passes and the cutoff of the last one.
+
+    So a source's copies are spread evenly over the mix, one pass behind the other. Rows without tokens have one pass.
+    """
+    span = F.lit(float(SPAN))
+    length = F.when((F.col("n_tokens") == 0) | F.col("whole").isNull(), F.lit(1.0)).otherwise(F.col("whole") + F.col("cutoff") / span)
+    return (number + _hash(seed, number) / span) / length
+
+
+def _planned(docs: DataFrame, **how) -> DataFrame:
+    """Per input row doc_id, source and n_tokens, its source's plan, passes, and number: which of its copies, null without any."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _tokens().alias("n_tokens"))
+    rows = materialise(rows, "mix-rows")
+    plan = source_plan(rows, **how)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left").withColumn("passes", _passes(how["seed"]))
+
+
+def _numbers() -> Column:
+    return F.when(F.col("passes") > 0, F.sequence(F.lit(0), F.col("passes") - 1))
+
+
+COLUMNS = ["doc_id", "source", "n_tokens", "exponent", "weight", "source_budget", "passes"]
 
 
 def mix_plan(docs: DataFrame, *, entropy: float | None = None, repetition: float | None = None, budget: int | None = None, row_tokens: int = 500, seed: int = 17) -> DataFrame:
@@ -157,19 +176,30 @@ def mix_plan(docs: DataFrame, *, entropy: float | None = None, repetition: float
     Null and blank texts have no tokens and one pass, as has everything in a source without tokens. A null source is
     a source. Rows of one id and size share their passes. An empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _tokens().alias("n_tokens"))
-    rows = materialise(rows, "mix-rows")
-    plan = source_plan(rows, entropy=entropy, repetition=repetition, budget=budget, row_tokens=row_tokens, seed=seed)
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left").withColumn("passes", _passes(seed))
-    place = F.when(F.col("passes") > 0, _place(seed, F.lit(0)))
-    return out.select("doc_id", "source", "n_tokens", "exponent", "weight", "source_budget", "passes", place.alias("place"))
+    out = _planned(docs, entropy=entropy, repetition=repetition, budget=budget, row_tokens=row_tokens, seed=seed)
+    return out.select(*COLUMNS, F.when(F.col("passes") > 0, _place(seed, F.lit(0))).alias("place"))
 
 
-def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | None = None, budget: int | None = None, row_tokens: int = 500, seed: int = 17, place: str | None = None) -> DataFrame:
+def mix_copies(docs: DataFrame, *, entropy: float | None = None, repetition: float | None = None, budget: int | None = None, row_tokens: int = 500, seed: int = 17) -> DataFrame:
+    """One row per copy that the mix holds: the columns of mix_plan, number (of the pass, from 0 on) and the copy's own place.
+
+    A row without copies stays, with neither number nor place. Everything else as in mix_plan.
+    """
+    out = _planned(docs, entropy=entropy, repetition=repetition, budget=budget, row_tokens=row_tokens, seed=seed)
+    out = out.withColumn("number", F.explode_outer(_numbers()))
+    return out.select(*COLUMNS, "number", _place(seed, F.col("number")).alias("place"))
+
+
+def mix(
+    docs: DataFrame, *, entropy: float | None = None, repetition: float | None = None, budget: int | None = None, row_tokens: int = 500, seed: int = 17,
+    place: str | None = None, arranged: bool = False,
+) -> DataFrame:
     """docs with every row as often as the mix holds it, see mix_plan; ``place`` names a column for the copies' places.
 
-    Columns of docs may have any names. Texts are read twice and not shuffled, unless the sources alone are too many
-    to broadcast.
+    ``arranged`` puts the rows in the order of their places: each partition, so each file written of it, holds a stretch
+    of the mix. It shuffles the texts, once, by ranges of the places, which are spread evenly whatever the sources
+    are. Otherwise texts stay where they are, unless the sources alone are too many to broadcast. Columns of docs may
+    have any names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _tokens().alias("n_tokens"))
     plan = source_plan(materialise(rows, "mix-rows"), entropy=entropy, repetition=repetition, budget=budget, row_tokens=row_tokens, seed=seed)
@@ -177,13 +207,15 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | No
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), _tokens().alias("n_tokens"),
     )
-    held = held.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left").withColumn("passes", _passes(seed)).where("passes > 0")
-    held = held.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    return held.select(*[F.col(f"row.`{c}`") for c in docs.columns], *([_place(seed, F.col("number")).alias(place)] if place else []))
+    held = held.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left").withColumn("passes", _passes(seed))
+    held = held.withColumn("number", F.explode(_numbers())).select("row", _place(seed, F.col("number")).alias("place"))
+    if arranged:
+        held = held.repartitionByRange("place").sortWithinPartitions("place")
+    return held.select(*[F.col(f"row.`{c}`") for c in docs.columns], *([F.col("place").alias(place)] if place else []))
 
 
-def oracle(target_bits: float | None = None, repetition: float | None = None, docs: str = "documents", row_tokens: int = 500, seed: int = 17) -> str:
-    """DuckDB SQL for the rows of mix_plan without a budget."""
+def oracle(target_bits: float | None = None, repetition: float | None = None, docs: str = "documents", row_tokens: int = 500, seed: int = 17, copies: bool = False) -> str:
+    """DuckDB SQL for the rows of mix_plan without a budget, or of mix_copies."""
     steps = STEPS_A_PASS * PASSES
     if target_bits is not None:
         holds = f"(ln(sum(exp(mid * log_share))) - sum(exp(mid * log_share) * mid * log_share) / sum(exp(mid * log_share))) / ln(2.0) >= {target_bits} - 1e-12"
@@ -195,6 +227,10 @@ def oracle(target_bits: float | None = None, repetition: float | None = None, do
         mixed = "total * scale / exp(least)"
     word = r"[^\x20\x09-\x0D]+"
     digest = lambda number: f"cast('0x' || substr(md5(concat_ws(':', '{seed}', cast({number} as varchar), cast(doc_id as varchar), cast(n_tokens as varchar))), 1, 8) as bigint)"
+    if copies:
+        each, number, shown = "passed left join (select unnest(generate_series(0, (select max(passes) - 1 from passed))) as k) on k < passes", "k", " cast(k as integer) as number,"
+    else:
+        each, number, shown = "passed", "0", ""
     return f"""
 with recursive counted as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{word}')) as bigint) as n_tokens from {docs}
@@ -220,14 +256,17 @@ with recursive counted as (
 ), parted as (
   select *, source_budget // tokens as whole, source_budget % tokens as part from weighed
 ), hashed as (
-  select c.*, p.* exclude (source), p.source as p_source, {digest("whole")} as h, {digest("0")} as h0
+  select c.*, p.* exclude (source), p.source as p_source, {digest("whole")} as h
   from counted c left join parted p on c.source is not distinct from p.source
 ), ahead as (
   select *, coalesce(sum(case when n_tokens > 0 then n_tokens end) over (partition by source order by h range between unbounded preceding and 1 preceding), 0) as before from hashed
 ), passed as (
-  select *, cast(case when n_tokens = 0 or whole is null then 1 else whole + case when before < part then 1 else 0 end end as integer) as passes from ahead
+  select *, cast(case when n_tokens = 0 or whole is null then 1 else whole + case when before < part then 1 else 0 end end as integer) as passes,
+            case when n_tokens = 0 or whole is null then 1.0::double
+                 else whole + coalesce(max(case when n_tokens > 0 and before < part then h + 1 end) over (partition by source), 0) / 4294967296.0::double end as length
+  from ahead
 )
-select doc_id, source, n_tokens, exponent, weight, source_budget, passes,
-       case when passes > 0 then (h0 / 4294967296.0::double) / greatest(coalesce(source_budget / cast(tokens as double), 1.0), 1.0) end as place
-from passed
+select doc_id, source, n_tokens, exponent, weight, source_budget, passes,{shown}
+       case when passes > 0 then ({number} + {digest(number)} / 4294967296.0::double) / length end as place
+from {each}
 """

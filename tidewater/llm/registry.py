@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.common import discard, shared_dir, table
 from tidewater.llm.hash_forest import nearest
 from tidewater.llm.html_text import main_text
-from tidewater.llm.mixing import mix_plan
+from tidewater.llm.mixing import mix_copies
 from tidewater.llm.mixing import oracle as mixing_sql
 from tidewater.llm.quality_classifier import quality_scores
 from tidewater.llm.quality_rules import quality_rules
@@ -52,7 +52,7 @@ REPETITION = 4.0
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents"), repetition=REPETITION)
+    return mix_copies(table(spark, sf_dir, "documents"), repetition=REPETITION)
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": mixing_sql(repetition=REPETITION)}
+    return {"op6_source_mix": mixing_sql(repetition=REPETITION, copies=True)}
