@@ -47,8 +47,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to REPETITION times on average."""
-    return mix(docs.select(*COLUMNS), repetition=REPETITION)
+    """Every document at least once, those of small sources up to REPETITION times on average, in the order of the mix."""
+    return mix(docs.select(*COLUMNS), repetition=REPETITION, arranged=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
