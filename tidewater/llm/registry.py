@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.llm.common import discard, shared_dir, table
+from tidewater.llm.hard_negatives import hard_negatives, whole
 from tidewater.llm.hash_forest import nearest
 from tidewater.llm.html_text import main_text
 from tidewater.llm.mixing import mix_copies
 from tidewater.llm.mixing import oracle as mixing_sql
+from tidewater.llm.packing import pack
+from tidewater.llm.periodic import planted, run_digest
 from tidewater.llm.quality_classifier import quality_scores
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import secret_digest
@@ -71,10 +75,35 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(planted(table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"), whole(F.col("embedding")).alias("v"))
+    return hard_negatives(vectors, F.expr("vec_id % 100 = 0"))
+
+
+#: Brute force over all pairs of an anchor and a row.
+HARD_NEGATIVES_SQL = """with r as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as integer) as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select * from n where rank <= 10"""
+
+
+def op13_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
 #: By the name that the driver calls.
 QUERIES = [
     op1_html_text, op2_token_counts, op3_quality_rules, op4_nearest_vectors, op5_secret_spans, op6_source_mix,
-    op7_simhash_components, op8_quality_scores, op9_toxicity_scores, op10_sentencepieces,
+    op7_simhash_components, op8_quality_scores, op9_toxicity_scores, op10_sentencepieces, op11_periodic_runs, op12_hard_negatives,
+    op13_packed_pieces,
 ]
 
 
@@ -83,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": mixing_sql(repetition=REPETITION, copies=True)}
+    return {"op6_source_mix": mixing_sql(repetition=REPETITION, copies=True), "op12_hard_negatives": HARD_NEGATIVES_SQL}
