@@ -77,6 +77,14 @@ def test_spans_match_brute_force(spark):
     assert any("entropy" in r[-1] for r in got)
 
 
+def test_megabytes_of_joints(spark):
+    """Joined words of any length neither overflow a stack nor count as secrets, and what follows them is still found."""
+    rows = [(i, ("ab" + joint) * 350_000 + "ab token=abcdefgh", "", "", 1) for i, joint in enumerate("-_/")]
+    rows.append((3, "a-" * 500_000 + "-a", "", "", 1))
+    got = {r.doc_id: r for r in secret_digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].spans for i in range(4)] == ["assign:1050003:1050017"] * 3 + [""]
+
+
 def test_redaction_leaves_the_rest(spark):
     rows = [(i, t, "clash", "clash", 1) for i, t in enumerate(texts())]
     for before, after in zip(rows, sorted(redact(spark.createDataFrame(rows, SCHEMA)).collect()), strict=True):

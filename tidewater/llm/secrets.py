@@ -44,7 +44,7 @@ ALLOW_WORDS = ("ABCDEFGHIJKLMNOP", "abcdefghijklmnop", "0123456789", "EXAMPLE",
 #: Forms of whole candidates that look random but are no secrets: identifiers, joined words.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[A-Za-z]+([_/-][A-Za-z]+)+$",
+    r"^[A-Za-z]++([_/-][A-Za-z]++)++$",  # possessive: an engine that goes back over a repeated group would recurse
 )
 #: What stands right before a candidate that is no secret, with the most characters that it can match: names of digests.
 ALLOW_BEFORE = ((r"([Mm][Dd]5|[Ss][Hh][Aa](1|256|384|512)?)[:=-]$", 7),)
