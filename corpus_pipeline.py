@@ -10,12 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise
+from tidewater.llm.common import discard, materialise
 from tidewater.llm.mixing import mix
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.secrets import redact
 from tidewater.llm.sentencepieces import encode_documents
-from tidewater.llm.simhash import simhash_components
+from tidewater.llm.simhash import representatives
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No source is passed more than half again as often as the one passed least, which is passed once.
@@ -31,13 +31,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints: the one with the smallest id; every row without id.
 
-    Ids name documents: of rows that share the id, the one with the smallest text stays.
+    Of rows that share the smallest id, the one with the smallest digest of its columns stays. Rows of one id whose texts
+    don't link are documents of their own. An id with very many rows is spread over their digests; equal rows meet in
+    the tasks that read them.
     """
-    grouped = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    grouped = materialise(grouped, "kept")
-    first = F.expr("row_number() over (partition by doc_id order by text, lang, source, n_chars)")
-    kept = docs.join(grouped, "doc_id", "left_semi").withColumn("nth", first).where("nth = 1").select(*COLUMNS)
-    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    parts = [F.sha2("text", 256), F.hex("lang"), F.hex("source"), F.col("n_chars").cast("string")]
+    rows = docs.select(*COLUMNS, F.sha2(F.concat_ws(",", *[F.coalesce(p, F.lit("-")) for p in parts]), 256).alias("digest"))
+    chosen = representatives(rows, "digest")
+    kept = rows.join(chosen, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:  # nothing reads the stage before any more
+            discard(written)
+        written = docs
     return docs

@@ -59,6 +59,20 @@ def test_run_on_files_and_on_an_empty_table(spark, docs, tmp_path):
     assert pipeline.run(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_repeated_ids(spark):
+    """A third of all rows under one id: unlike texts stay, near copies and equal rows become one."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("er tion the an ou in es".split()) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    own = [(i, prose(60), "en", "a", 1) for i in range(100, 140)]
+    unlike = [(7, prose(60), "en", "a", 1) for _ in range(20)]
+    rows = [*own, *unlike, *[unlike[0]] * 5, (7, unlike[1][1] + " more", "de", "b", 2), (9, unlike[2][1], "en", "a", 1), (None, own[0][1], "en", "a", 1), (7, None, None, None, None)]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect()
+    ids, left = Counter(r.doc_id for r in got), {r.text for r in got}
+    assert ids[7] == 21 and ids[9] == 0 and ids[None] == 1 and sum(ids.values()) == 40 + 21 + 1
+    assert {r[1] for r in unlike} - {unlike[1][1]} <= left and len({unlike[1][1], unlike[1][1] + " more"} & left) == 1
+    assert all(tuple(r) in set(rows) for r in got)
+
+
 def test_every_stage_works_on_all_rows(spark, docs):
     """Rows counted stage by stage: only rules and near duplicates take any away, and each only what it judges."""
     assert [name for name, _ in pipeline.STAGES] == [

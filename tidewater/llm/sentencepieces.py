@@ -34,6 +34,8 @@ from tidewater.llm.common import map_texts
 BLANK = "▁"
 #: What an entry of a memo takes besides its characters and ids; a pair of pieces with its answer.
 WORD_BYTES, APART_BYTES = 220, 200
+#: Runs of up to so many blanks are remembered; longer ones are merged each time.
+SHORT_RUN = 1024
 MADE = "n_ids int, ids array<int>, decoded_sha256 string, round_trip boolean"
 
 
@@ -168,9 +170,12 @@ class Pieces:
         return out + (self.viterbi("".join(known)) if known else [])
 
     def _blanks(self, n: int) -> list[int]:
-        if n not in self.runs:
-            self.runs[n] = self.merge(BLANK * n) if self.merging else self.viterbi(BLANK * n)
-        return self.runs[n]
+        known = self.runs.get(n)
+        if known is None:
+            known = self.merge(BLANK * n) if self.merging else self.viterbi(BLANK * n)
+            if n <= SHORT_RUN:
+                self.runs[n] = known
+        return known
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, as the library gives them; blanks and the mark for blanks are one."""

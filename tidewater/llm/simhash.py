@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_texts, materialise
+from tidewater.llm.common import discard, map_texts, materialise
 from tidewater.llm.components import connected_components
 
 BITS = 64
@@ -45,13 +45,14 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): the fingerprint as a signed long, for every row; null texts count as empty."""
+def fingerprints(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, fp): the fingerprint as a signed long, for every row; null texts count as empty."""
 
     def of(texts: list[str]) -> list[np.ndarray]:
         return [np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    return map_texts(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body")), "body", "fp long", of)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), *carry)
+    return map_texts(rows, "body", "fp long", of)
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -133,6 +134,33 @@ def links(codes: DataFrame, radius: int, block_rows: int, bundle_rows: int) -> D
     )
 
 
+def _rooted(made: DataFrame, first: Column, radius: int, block_rows: int, bundle_rows: int) -> DataFrame:
+    """(fp, first, root): every distinct fingerprint with an aggregate of its rows and the root of its component."""
+    codes = materialise(made.groupBy("fp").agg(first.alias("first")), "codes")
+    roots = materialise(connected_components(links(codes, radius, block_rows, bundle_rows), "a", "b"), "roots")
+    rooted = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    discard(codes)
+    discard(roots)
+    return rooted
+
+
+def representatives(
+    docs: DataFrame, tie: str, *, shingle: int = 4, radius: int = 4, block_rows: int = 4096, bundle_rows: int = 8192, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """(doc_id, tie) of one row of every component: the smallest id, of rows that share it the smallest ``tie``.
+
+    A column of docs, say a digest, is the tie; rows of one id whose texts don't link are in components of their own.
+    Rows without id represent nothing.
+    """
+    made = materialise(fingerprints(docs, shingle, text, key, (tie,)), "fingerprints")
+    rooted = _rooted(made, F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", tie))), radius, block_rows, bundle_rows)
+    chosen = materialise(rooted.groupBy("root").agg(F.min("first").alias("first")).where("first is not null").select("first.*"), "representatives")
+    discard(made)
+    discard(rooted)
+    return chosen
+
+
 def simhash_components(
     docs: DataFrame,
     *,
@@ -150,14 +178,11 @@ def simhash_components(
     Other columns of docs are not read.
     """
     made = materialise(fingerprints(docs, shingle, text, key), "fingerprints")
-    codes = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
-    roots = materialise(connected_components(links(codes, radius, block_rows, bundle_rows), "a", "b"), "roots")
-    rooted = materialise(
-        codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")),
-        "rooted",
-    )
+    rooted = _rooted(made, F.min("doc_id"), radius, block_rows, bundle_rows)
     smallest = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     known = materialise(rooted.join(smallest, "root").select("fp", "component_id"), "known")
+    discard(rooted)
+    discard(smallest)
     return made.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
