@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidewater.llm.toxicity import (
     FEATURES, PERSONS, QUOTED, REPORTS, Model, _codes, _words, allowed_edits, context_weights, evidence, find, intersect_groups, learn_lexicon, misspelled, toxicity_scores,
@@ -141,8 +142,8 @@ def test_evidence_and_misspelling():
     terms = [("idiot", False), ("oaf", False), ("\U00030001\U00030002\U00030003", False)]
     model = Model(intersect_groups(terms), np.array([5.0, 4.0, 3.0]), np.array([2.0, 0.0, 0.0]), frozenset({"idyot"}), PERSONS, REPORTS, np.zeros(FEATURES + 1))
     assert evidence("", model) == evidence(" \n", model) == (0.0,) * FEATURES
-    assert evidence("an idi0t", model) == (0.0, 0.0, 0.4, 0.0, float(np.log(3))) and evidence("an idyot", model)[:4] == (0.0,) * 4
-    assert evidence("oaf idiot", model)[:4] == (2.5, float(np.log(5)), 0.0, 0.0)
+    assert evidence("an idi0t", model) == pytest.approx((0.0, 0.0, 0.4, 0.0, np.log(3))) and evidence("an idyot", model)[:4] == (0.0,) * 4
+    assert evidence("oaf idiot", model)[:4] == pytest.approx((2.5, np.log(5), 0.0, 0.0))
     assert evidence("\U00030001\U00030002\U00030003", model)[0] == 0.9 and evidence("\U00030001\U00030002\U00030004", model)[0] == 0
     assert misspelled("Idiot, oaf idiot.", model.machines, terms) == "idxot, oaf idxot."
     assert evidence("x", Model(intersect_groups([]), np.zeros(0), np.zeros(0), frozenset(), PERSONS, REPORTS, np.zeros(6)))[0] == 0

@@ -13,16 +13,18 @@ def fold(key: Column, parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int, seed: int = 1) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents outside the held-out fold, picked by a hash of their ids.
+    """(id, text, y) of at most ``rows`` labelled documents outside the held-out fold, picked by a hash of their ids.
 
-    The ids are bounded by ``rows``, so they are broadcast and the documents are read once, without a shuffle.
-    Null ids and labels take no part; null texts count as empty.
+    The ids are bounded by ``rows``, so they are broadcast and only picked documents are shuffled. An id stands for one
+    text, however often it occurs: the one with the smallest digest, which every task takes of its own rows first.
+    Null ids and labels take no part; null texts count as empty; an id with both labels has two rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    known = known.where(fold(F.col("id"), parts) != held_out)
+    known = known.where(fold(F.col("id"), parts) != held_out).distinct()
     picked = known.withColumn("h", F.xxhash64("id", F.lit(seed))).orderBy("h", "y").limit(rows).select("id", "y")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "id").select("id", "text", "y")
+    found = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    return found.select("id", "text", "y")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

@@ -138,10 +138,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, parts: int, held_out: int
     """The model of at most train_rows labelled rows with at most train_ngrams n-grams between them.
 
     Their n-grams are made on the executors. The driver first sees how many each row has, and takes rows in order of a
-    hash of their ids up to the bound.
+    hash of their ids up to the bound. A row that alone has more is passed over.
     """
     sample = labelled_sample(docs, labels, label, parts, held_out, train_rows)
     made = materialise(map_texts(sample, "text", "found array<int>", _found).withColumn("h", F.xxhash64("id", F.lit(1))), "quality-sample")
+    made = made.where(F.size("found") <= train_ngrams)
     sizes = made.groupBy("h").agg(F.sum(F.size("found")).alias("n")).toPandas().sort_values("h")
     within = sizes["h"][sizes["n"].cumsum() <= train_ngrams]
     got = (made.where(F.col("h") <= int(within.max())) if len(within) else made.limit(0)).select("id", "y", "found").toArrow()
