@@ -128,6 +128,18 @@ def province_stats(wides: DataFrame, *, window: str = WINDOW) -> DataFrame:
     return sums.select(*bounds(), *names, F.col("order_amount").cast("decimal(26,2)").alias("order_amount"), "order_count")
 
 
+def province_sums_chained(wides: DataFrame, *, window: str = WINDOW, line: tuple[str, ...] = ("detail_id",)) -> DataFrame:
+    """stt, edt, province_id, order_amount and order_count of a stream of wide orders with event time order_at.
+
+    Lines that came twice within the watermark, as the columns in ``line`` tell, count once. Orders are summed per window first, and windows from these
+    sums, so that state holds a row per order of an open window instead of one set of all its orders.
+    """
+    once = wides.dropDuplicatesWithinWatermark(list(line))
+    each = once.groupBy(F.window("order_at", window).alias("window"), "province_id", "order_id").agg(F.sum("split_total_amount").alias("order_amount"))
+    sums = each.groupBy(F.window(F.window_time("window"), window).alias("window"), "province_id").agg(F.sum("order_amount").alias("order_amount"), F.count("order_id").alias("order_count"))
+    return sums.select(*bounds(), "province_id", F.col("order_amount").cast("decimal(26,2)").alias("order_amount"), "order_count")
+
+
 def search_words(pages: DataFrame) -> DataFrame:
     """keyword and at (whole seconds) of every token that a page of search results was asked for."""
     asked = pages.where("page.page_id = 'good_list' and page.item is not null")

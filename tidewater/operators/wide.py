@@ -24,14 +24,20 @@ LOOKED_UP = [
 ]
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: Column, left_at: str, right_at: str, low_ms: int, high_ms: int) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, key: Column, left_at: str, right_at: str, low_ms: int, high_ms: int, times: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of rows that ``key`` matches and where right_at lies in [left_at + low_ms, left_at + high_ms].
 
+    On streams, ``times`` names the event times of both sides that watermarks are set on; the join then forgets rows that
+    nothing can match any more, and says how far it is to what follows it.
+
     All columns of both sides, whose names must differ. On batches, times also fall into buckets as wide as the
     interval, which join the equality: each left row meets two buckets at most, and a hot key is spread over time.
     """
     within = F.col(right_at).between(F.col(left_at) + low_ms, F.col(left_at) + high_ms)
     if left.isStreaming or right.isStreaming:
+        if times is not None:
+            first, second = times
+            within = F.expr(f"`{second}` between `{first}` + interval '{low_ms}' milliseconds and `{first}` + interval '{high_ms}' milliseconds")
         return left.join(right, key & within)
     width = max(high_ms - low_ms, 1)
     bucket = lambda at: F.floor(at / F.lit(width))
@@ -40,11 +46,19 @@ def interval_join(left: DataFrame, right: DataFrame, key: Column, left_at: str,
     return met.join(dealt, key & (F.col("_left_bucket") == F.col("_right_bucket")) & within).drop("_left_bucket", "_right_bucket")
 
 
-def order_lines(orders: DataFrame, lines: DataFrame, *, low_ms: int = -ORDER_MS, high_ms: int = ORDER_MS) -> DataFrame:
-    """Wide orders without dimensions: every line with its order, where create_ts of both are close enough."""
+def order_lines(orders: DataFrame, lines: DataFrame, *, low_ms: int = -ORDER_MS, high_ms: int = ORDER_MS, delay: str | None = None) -> DataFrame:
+    """Wide orders without dimensions: every line with its order, where create_ts of both are close enough.
+
+    Streams with a ``delay`` get watermarks so far behind; then order_at, the order's time, is the event time of the result.
+    """
     o = orders.select(F.col("id").alias("order_id"), *ORDER_COLUMNS, F.col("create_ts").alias("order_ts"))
     d = lines.select(F.col("id").alias("detail_id"), F.col("order_id").alias("_order_id"), *LINE_COLUMNS, F.col("create_ts").alias("detail_ts"))
-    joined = interval_join(o, d, F.col("order_id") == F.col("_order_id"), "order_ts", "detail_ts", low_ms, high_ms)
+    times = None
+    if delay is not None:
+        o = o.withColumn("order_at", F.timestamp_millis("order_ts")).withWatermark("order_at", delay)
+        d = d.withColumn("_detail_at", F.timestamp_millis("detail_ts")).withWatermark("_detail_at", delay)
+        times = ("order_at", "_detail_at")
+    joined = interval_join(o, d, F.col("order_id") == F.col("_order_id"), "order_ts", "detail_ts", low_ms, high_ms, times).drop("_detail_at")
     return joined.drop("_order_id").withColumns({c: F.lit(None).cast(t) for c, t in UNSET.items()})
 
 

@@ -122,6 +122,10 @@ def dimensions(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataF
     return {n: dimension(spark, sf_dir, n) for n in names or ("user", "province", "sku", "spu", "category", "trademark")}
 
 
+#: Columns of the tables that changes are recorded of, after their ids.
+CHANGED = {"customer": ["id", "c_name", "c_mktsegment"], "orders": ["id", "o_orderstatus", "o_orderpriority"], "part": ["id", "p_name", "p_brand"]}
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change records as JSON text: customers inserted and updated, orders inserted, parts deleted; some are broken."""
     kinds = {
@@ -129,10 +133,9 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "orders": ("o_orderkey", "'insert'"),
         "part": ("p_partkey", "if(p_partkey % 2 = 0, 'delete', 'insert')"),
     }
-    columns = {"customer": ["c_name", "c_mktsegment"], "orders": ["o_orderstatus", "o_orderpriority"], "part": ["p_name", "p_brand"]}
     parts = []
     for name, (key, kind) in kinds.items():
-        data = F.when(F.col(key) % 11 != 5, F.struct(F.col(key).cast("string").alias("id"), *columns[name]))
+        data = F.when(F.col(key) % 11 != 5, F.struct(F.col(key).cast("string").alias("id"), *CHANGED[name][1:]))
         envelope = F.struct(F.when(F.col(key) % 13 != 6, F.lit(name)).alias("table"), F.expr(kind).alias("type"), data.alias("data"))
         parts.append(table(spark, sf_dir, name).select(F.to_json(envelope).alias("value")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

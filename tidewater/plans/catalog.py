@@ -17,31 +17,18 @@ from tidewater.operators import cdc, logs, stats, visits, wide
 from tidewater.plans import adapters as data
 from tidewater.plans import oracle
 from tidewater.plans.adapters import DAY_MS, SESSION_MS
-from tidewater.session import shared_folder
-from tidewater.sources.tables import read_routes, read_snapshot, snapshot_sink, split_sink, table_sink
+from tidewater.plans.registered import FOUND, plain, query
+from tidewater.session import shared_folder, written
+from tidewater.sources.snapshots import merge_sink, read_merged
+from tidewater.sources.tables import read_routes, split_sink, table_sink
 from tidewater.sources.topics import read_topic, topic_table, write_topic, write_topics
+from tidewater.streaming.patterns import bounces_of_stream
 from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
 from tidewater.streaming.runs import finish, finish_batches
 
 DAY = "1 day"
 #: The day on which ages are taken.
 NOW = "2026-01-01 00:00:00"
-FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None, window_ms: int = DAY_MS):
-    """Registers a function under its name, with SQL over the records of plans.oracle."""
-
-    def keep(f):
-        FOUND[f.__name__] = (f, None if sql is None else oracle.sql(sql, window_ms))
-        return f
-
-    return keep
-
-
-def plain(rows: DataFrame) -> DataFrame:
-    """Money as double."""
-    return rows.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes])
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,8 +116,15 @@ def _routed(spark, sf):
     return cdc.routed(_changes(spark, sf), spark.createDataFrame(data.ROUTES, schemas.ROUTES))
 
 
+def _in_columns(rows: DataFrame) -> DataFrame:
+    """Changes with data in the order of the source table's columns; a variant has no order of names."""
+    columns = F.create_map(*[x for t, names in data.CHANGED.items() for x in (F.lit(t), F.array(*map(F.lit, names)))])[F.col("table")]
+    entries = F.transform(F.filter(columns, lambda c: F.map_contains_key("data", c)), lambda c: F.struct(c.alias("key"), F.col("data")[c].alias("value")))
+    return rows.withColumn("data", F.map_from_entries(entries))
+
+
 def _as_text(rows: DataFrame) -> DataFrame:
-    return rows.select("table", "type", "sink_table", "sink_pk", F.to_json("data").alias("data"))
+    return _in_columns(rows).select("table", "type", "sink_table", "sink_pk", F.to_json("data").alias("data"))
 
 
 @query("""select "table", case when boot then 'bootstrap-insert' else type end as type, id from valid""")
@@ -298,20 +292,13 @@ def province_stats_stamped(spark, sf):
 def _product_facts(spark, sf):
     pages = _pages(spark, sf)
     # order lines are written once, with what both statistics and payments read of them
-    lines = _written(_lines(spark, sf).select("order_id", "create_time", "order_ts", "sku_id", "sku_num", "split_total_amount"), "order-lines")
+    lines = written(_lines(spark, sf).select("order_id", "create_time", "order_ts", "sku_id", "sku_num", "split_total_amount"), "order-lines")
     return stats.product_facts(
         clicks=pages, displays=pages, orders=lines, favors=data.actions(spark, sf, "signup"), carts=data.actions(spark, sf, "purchase"),
         payments=wide.payment_wide(data.payment_info(spark, sf), lines, low_ms=-30 * DAY_MS), refunds=data.refunds(spark, sf), comments=data.actions(spark, sf, "error"),
     )
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    """Rows by way of a table in the shared folder."""
-    path = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 @query("""select p.*, s.sku_name, s.spu_id, s.category3_id, s.tm_id, cast(s.sku_price as double) as sku_price, spu_name, category3_name, tm_name
     from product p left join skus s using (sku_id) left join spus using (spu_id) left join categories using (category3_id) left join trademarks using (tm_id)""")
 def product_stats(spark, sf):
@@ -418,7 +405,8 @@ def _bounce_topic(spark, sf) -> str:
 
 @query(f"select mid, ts from ({SETTLED})")
 def stream_user_jump(spark, sf):
-    return finish(bounce_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump").select("mid", "ts")
+    """The timeouts of the bounce pattern."""
+    return finish(bounces_of_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump").select("common.mid", "ts")
 
 
 @query("""select mid, ts, case when is_new = '1' and ts // 86400000 <> min(ts // 86400000) filter (is_new = '1') over (partition by mid) then '0' else is_new end as is_new from pages""")
@@ -498,22 +486,20 @@ def sink_dimensions(spark, sf):
     """A stream of changes, split by routes that every batch reads anew, into the last version of a snapshot."""
     routes, root = shared_folder(spark, "routes"), shared_folder(spark, "dimensions")
     spark.createDataFrame(data.ROUTES, schemas.ROUTES).write.parquet(routes)
-    upsert = snapshot_sink(root, ["sink_table", "id"], ["type"])
-    last = [0]
+    upsert = merge_sink(root, ["sink_table", "id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = cdc.dimensions(cdc.routed(cdc.valid_changes(cdc.parse_changes(batch)), read_routes(batch.sparkSession, routes)))
-        upsert(known.select("sink_table", F.col("data")["id"].alias("id"), "type", "table", "sink_pk", "data"), batch_id)
-        last[0] = batch_id
+        upsert(known.select("sink_table", F.col("data")["id"].alias("id"), "type", "table", "sink_pk", "data", "position"), batch_id)
 
     finish_batches(_change_stream(spark, sf), write, "dimensions")
-    return _as_text(read_snapshot(spark, root, last[0]))
+    return _as_text(read_merged(spark, root))
 
 
 def _change_stream(spark, sf) -> DataFrame:
     path = shared_folder(spark, "changes")
     data.changes(spark, sf).write.text(path)
-    return read_topic(spark, path)
+    return read_topic(spark, path, place=True)
 
 
 @query(f"""select sink_table as topic, data as value from ({oracle.routes("kafka")})""")
@@ -522,7 +508,7 @@ def sink_topics(spark, sf):
     routes, root = spark.createDataFrame(data.ROUTES, schemas.ROUTES), shared_folder(spark, "topics")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_topics(cdc.facts(cdc.routed(cdc.valid_changes(cdc.parse_changes(batch)), routes)), root)
+        write_topics(_in_columns(cdc.facts(cdc.routed(cdc.valid_changes(cdc.parse_changes(batch)), routes))), root, batch=("changes", batch_id))
 
     finish_batches(_change_stream(spark, sf), write, "topics")
     return spark.read.text(root).select(F.col("topic").cast("string").alias("topic"), "value")
@@ -543,7 +529,7 @@ def sink_split(spark, sf):
     root = shared_folder(spark, "split")
     stream = read_topic(spark, _topic(spark, data.page_log(spark, sf), "logs"), schema=f"{schemas.PAGE_LOG}, event_id bigint")
     parts = {"start": logs.starts, "page": logs.pages, "display": logs.displays}
-    finish_batches(stream, split_sink({n: (f, lambda rows, batch_id, n=n: write_topic(rows, f"{root}/part={n}")) for n, f in parts.items()}), "split")
+    finish_batches(stream, split_sink({n: (f, lambda rows, batch_id, n=n: write_topic(rows, f"{root}/part={n}", batch=("logs", batch_id))) for n, f in parts.items()}), "split")
     return spark.read.text(root).groupBy(F.col("part").cast("string").alias("part")).agg(F.count("*").alias("n"))
 
 
@@ -552,9 +538,16 @@ def upper_table_names(spark, sf):
     return spark.createDataFrame(data.ROUTES, schemas.ROUTES).select(cdc.table_name(F.col("sink_table")).alias("sink_table")).distinct()
 
 
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from tidewater.plans import flows  # registers more, with what is above
+
+    assert flows
+    return FOUND
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in FOUND.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in FOUND.items() if sql is not None}
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the jobs rely on; partition numbers and sizes are the cluster's affair and adapt at run time.
 SETTINGS = {
@@ -29,3 +29,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/tidewater/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows by way of a table in the shared folder: computed once, whatever reads them."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewater.functions.times import epoch_date
 from tidewater.operators.logs import entry_page
 from tidewater.operators.visits import BOUNCE_MS
 
@@ -17,15 +17,16 @@ ROW = "mid string, ts long, flag string, log string"
 DAY_MS = 86_400_000
 
 
-def _day(ms: int) -> str:
-    return datetime.datetime.fromtimestamp(ms // 1000, datetime.timezone.utc).strftime("%Y%m%d")
-
-
 def _in_order(batches: Iterator[pd.DataFrame]) -> list[tuple[int, str, str]]:
     """(ts, flag, log) of a visitor's new rows, in order of time and then of the log."""
     return sorted((int(ts), flag, log) for b in batches for ts, flag, log in zip(b["ts"], b["flag"], b["log"], strict=True))
 
 
+def _by_day(batches: Iterator[pd.DataFrame]) -> list[tuple[int, str, str, str]]:
+    """(ts, flag, log, day) of a visitor's new rows, in order of time and then of the log."""
+    return sorted((int(ts), flag, log, day) for b in batches for ts, flag, log, day in zip(b["ts"], b["flag"], b["log"], b["day"], strict=True))
+
+
 def _rows(mid: str, rows: list[tuple[int, str, str]]) -> pd.DataFrame:
     return pd.DataFrame([(mid, *r) for r in rows], columns=["mid", "ts", "flag", "log"])
 
@@ -33,10 +34,10 @@ def _rows(mid: str, rows: list[tuple[int, str, str]]) -> pd.DataFrame:
 def new_visitors(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """flag is is_new; the day of a visitor's first claim stays, and claims of another day become 0."""
     first, out = state.get[0] if state.exists else None, []
-    for ts, flag, log in _in_order(batches):
+    for ts, flag, log, day in _by_day(batches):
         if flag == "1":
-            first = first or _day(ts)
-            flag = "1" if _day(ts) == first else "0"
+            first = first or day
+            flag = "1" if day == first else "0"
         out.append((ts, flag, log))
     if first:
         state.update((first,))
@@ -54,10 +55,10 @@ def unique_visits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
         return
     last, out = state.get[0] if state.exists else None, []
     newest = 0
-    for ts, flag, log in _in_order(batches):
+    for ts, flag, log, day in _by_day(batches):
         newest = ts
-        if _day(ts) != last:
-            last = _day(ts)
+        if day != last:
+            last = day
             out.append((ts, flag, log))
     if last:
         state.update((last,))
@@ -89,19 +90,20 @@ def bounces(timeout_ms: int):
     return judge
 
 
-def _keyed(logs: DataFrame, flag: Column) -> DataFrame:
+def _keyed(logs: DataFrame, flag: Column, zone: str | None = None) -> DataFrame:
     return logs.where("common.mid is not null and ts is not null").select(
-        F.col("common.mid").alias("mid"), "ts", flag.alias("flag"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in logs.columns])).alias("log"), F.timestamp_millis("ts").alias("at")
+        F.col("common.mid").alias("mid"), "ts", flag.alias("flag"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in logs.columns])).alias("log"), F.timestamp_millis("ts").alias("at"),
+        epoch_date(F.col("ts"), zone).alias("day"),
     )
 
 
-def new_visitor_stream(logs: DataFrame) -> DataFrame:
-    """mid, ts, flag (the repaired is_new) and log of every log."""
-    return _keyed(logs, F.col("common.is_new")).groupBy("mid").applyInPandasWithState(new_visitors, ROW, "day string", "append", GroupStateTimeout.NoTimeout)
+def new_visitor_stream(logs: DataFrame, *, zone: str | None = None) -> DataFrame:
+    """mid, ts, flag (the repaired is_new) and log of every log. Days are those of ``zone``, or of the session's time zone."""
+    return _keyed(logs, F.col("common.is_new"), zone).groupBy("mid").applyInPandasWithState(new_visitors, ROW, "day string", "append", GroupStateTimeout.NoTimeout)
 
 
-def unique_visit_stream(pages: DataFrame, *, delay: str = "0 seconds") -> DataFrame:
-    rows = _keyed(pages.where(entry_page()), F.lit("1")).withWatermark("at", delay)
+def unique_visit_stream(pages: DataFrame, *, delay: str = "0 seconds", zone: str | None = None) -> DataFrame:
+    rows = _keyed(pages.where(entry_page()), F.lit("1"), zone).withWatermark("at", delay)
     return rows.groupBy("mid").applyInPandasWithState(unique_visits, ROW, "day string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

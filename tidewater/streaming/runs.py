@@ -7,21 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from tidewater.session import SETTINGS, shared_folder
+from tidewater.sources import files
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def finish(rows: DataFrame, name: str) -> DataFrame:
-    """Works off a stream's input into Parquet files in the shared folder, and gives them back as a batch."""
+def finish(rows: DataFrame, name: str, *, spent: tuple[str, ...] = (), clock: bool = False, state: str | None = None) -> DataFrame:
+    """Works off a stream's input into Parquet files in the shared folder, and gives them back as a batch.
+
+    Then the folders in ``spent``, say topics that nothing else reads, are deleted, and so is the stream's state, unless
+    the caller names a folder for it. With ``clock`` the stream has state that lives by the clock: it would look for
+    expired state for ever, and so gets no batches without input.
+    """
     spark = rows.sparkSession
     spark.conf.set(STORE, SETTINGS[STORE])
     out = shared_folder(spark, name)
-    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    before = spark.conf.get(EMPTY_BATCHES)
+    spark.conf.set(EMPTY_BATCHES, "false" if clock else before)
+    try:
+        query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state or f"{out}-state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(EMPTY_BATCHES, before)
     query.awaitTermination()
+    files.remove(spark, *spent, *([] if state else [f"{out}-state"]))
     return spark.read.schema(rows.schema).parquet(out)
 
 
-def finish_batches(rows: DataFrame, sink: Callable[[DataFrame, int], None], name: str) -> None:
-    """Works off a stream's input through a foreachBatch sink."""
-    state = shared_folder(rows.sparkSession, f"{name}-state")
-    rows.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def finish_batches(rows: DataFrame, sink: Callable[[DataFrame, int], None], name: str, *, state: str | None = None) -> None:
+    """Works off a stream's input through a foreachBatch sink; its state is deleted, unless the caller names a folder for it."""
+    spark = rows.sparkSession
+    spark.conf.set(STORE, SETTINGS[STORE])
+    folder = state or shared_folder(spark, f"{name}-state")
+    rows.writeStream.foreachBatch(sink).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    if state is None:
+        files.remove(spark, folder)
