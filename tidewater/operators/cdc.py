@@ -52,10 +52,12 @@ def pruned(data: Column, columns: Column) -> Column:
 def routed(changes: DataFrame, routes: DataFrame) -> DataFrame:
     """Changes with sink_type, sink_table, sink_pk and pruned data; those that no route names are dropped, unparsed.
 
+    sink_columns and sink_extend come along for tables that are made by the configuration.
+
     bootstrap-insert counts as insert. routes has source_table, operate_type, sink_type, sink_table, sink_columns
-    and sink_pk; of routes for one table and type the last in order of their columns holds. Without routes it fails.
+    sink_pk and sink_extend; of routes for one table and type the last in order of their columns holds. Without routes it fails.
     """
-    chosen = routes.groupBy("source_table", "operate_type").agg(F.max(F.struct("sink_type", "sink_table", "sink_columns", "sink_pk")).alias("to"))
+    chosen = routes.groupBy("source_table", "operate_type").agg(F.max(F.struct("sink_type", "sink_table", "sink_columns", "sink_pk", "sink_extend")).alias("to"))
     known = chosen.limit(BROADCAST_ROUTES + 1).count()
     if not known:
         raise ValueError("the routing table is empty")
@@ -66,7 +68,7 @@ def routed(changes: DataFrame, routes: DataFrame) -> DataFrame:
     )
     return with_data(joined).select(
         "table", "type", pruned(F.col("data"), F.col("to.sink_columns")).alias("data"), "to.sink_type", "to.sink_table",
-        F.coalesce("to.sink_pk", F.lit("id")).alias("sink_pk"), *[c for c in changes.columns if c not in ("table", "type", "data")],
+        F.coalesce("to.sink_pk", F.lit("id")).alias("sink_pk"), "to.sink_columns", "to.sink_extend", *[c for c in changes.columns if c not in ("table", "type", "data")],
     )
 
 

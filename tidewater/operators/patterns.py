@@ -96,10 +96,10 @@ class Automaton:
         return min((q[0][0] for q in self.waiting if q), default=None)
 
 
-def keyed_rows(rows: DataFrame, pattern: Pattern, key: str, at: str, tie: list[str]) -> DataFrame:
+def keyed_rows(rows: DataFrame, pattern: Pattern, key: str, at: str, tie: Column) -> DataFrame:
     """key, at, tie, met and row (as JSON): what the automaton reads. Rows without key or time take no part."""
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    named = rows.select(F.col(key).cast("string").alias("key"), F.col(at).cast("long").alias("at"), F.struct(F.lit(0).alias("none"), *[F.col(t) for t in tie]).alias("tie"), pattern.met().alias("met"), row.alias("row"))
+    named = rows.select(F.col(key).cast("string").alias("key"), F.col(at).cast("long").alias("at"), tie.alias("tie"), pattern.met().alias("met"), row.alias("row"))
     return named.where("key is not null and at is not null")
 
 
@@ -113,7 +113,7 @@ def find_pattern(rows: DataFrame, pattern: Pattern, *, key: str, at: str = "ts",
     task reads its buckets as a sorted stream.
     """
     window = pattern.checked().window_ms
-    named = keyed_rows(rows, pattern, key, at, list(tie))
+    named = keyed_rows(rows, pattern, key, at, F.struct(F.lit(0).alias("none"), *tie))
     bucket = F.floor(F.col("at") / F.lit(window))
     sent = named.withColumn("sent", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("begins")), F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("begins")))))
     dealt = sent.select("key", "sent.bucket", "at", "tie", "sent.begins", "met", "row").repartition("key", "bucket").sortWithinPartitions("key", "bucket", "at", "tie")

@@ -533,11 +533,6 @@ def sink_split(spark, sf):
     return spark.read.text(root).groupBy(F.col("part").cast("string").alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("""select distinct upper(sink_table) as sink_table from (values ('DIM_USER'), ('dwd_order'), ('stats'), ('dwd_part')) t(sink_table)""")
-def upper_table_names(spark, sf):
-    return spark.createDataFrame(data.ROUTES, schemas.ROUTES).select(cdc.table_name(F.col("sink_table")).alias("sink_table")).distinct()
-
-
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     from tidewater.plans import flows  # registers more, with what is above
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater import schemas
+from tidewater.functions.segments import WORDS, dictionary_of, segments
+from tidewater.functions.words import tokens
 from tidewater.operators import cdc, patterns, stats, visits, wide
 from tidewater.plans import adapters as data
 from tidewater.plans import catalog, oracle
 from tidewater.plans.adapters import DAY_MS, SESSION_MS
 from tidewater.plans.registered import plain, query
 from tidewater.session import shared_folder
+from tidewater.sources.configured import route_sink
 from tidewater.sources.snapshots import merge_sink, read_merged, vacuum
 from tidewater.sources.topics import read_topic, write_topic
 from tidewater.streaming.lookups import looked_up, put_dimension, read_dimension
@@ -60,6 +65,42 @@ def sink_dimensions_ordered(spark, sf):
     return read_merged(spark, root).select("id", "type", F.col("data")["status"].alias("status"), F.col("data")["priority"].alias("priority"))
 
 
+#: Names in the configuration may be in lower case, and its key and columns too.
+TABLES = [
+    ("customer", "insert", "hbase", "dim_user", "id,c_name", "id", "SALT_BUCKETS=4"), ("customer", "update", "hbase", "dim_user", "id,c_mktsegment", "id", "SALT_BUCKETS=4"),
+    ("part", "insert", "hbase", "Dim_Part", "id,p_name,p_brand", None, None), ("part", "delete", "hbase", "Dim_Part", "id,p_name", None, None),
+]
+
+
+@query("""select 'DIM_USER' as table_name, id, case when type = 'insert' then a end as first, case when type = 'update' then b end as second from valid where "table" = 'customer' and type <> 'delete'
+    union all select 'DIM_PART', id, a, case when type = 'insert' then b end from valid where "table" = 'part'""")
+def configured_tables(spark, sf):
+    """Changes into tables that the configuration describes, which are then asked in SQL by their upper-case names."""
+    database, path = f"tidewater_{uuid.uuid4().hex}", shared_folder(spark, "configured")
+    spark.sql(f"create database {database} location '{path}'")
+    routes = spark.createDataFrame(TABLES, schemas.ROUTES)
+    sink = route_sink(database)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(cdc.dimensions(cdc.routed(cdc.valid_changes(cdc.parse_changes(batch)), routes)), batch_id)
+
+    finish_batches(catalog._change_stream(spark, sf), write, "configured")
+    return spark.sql(f"""select 'DIM_USER' as table_name, ID as id, C_NAME as first, C_MKTSEGMENT as second from {database}.DIM_USER
+        union all select 'DIM_PART', ID, P_NAME, P_BRAND from {database}.DIM_PART""")
+
+
+# words
+
+
+@query(None)
+def keyword_segments(spark, sf):
+    """Items without their blanks, cut into words of the items' own dictionary; tests hold it against all ways to cut."""
+    items = data.table(spark, sf, "benchmark")
+    counts = dictionary_of(items.select(F.explode(tokens(F.col("text"))).alias("word")), "word")
+    cut = segments(F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""), counts, runs=WORDS.pattern)
+    return items.select("item_id", cut.alias("words")).select("item_id", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
+
+
 # patterns
 
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -18,6 +18,15 @@ from tidewater.operators.visits import BOUNCE_MS, bounce_pattern
 DAY_MS = 86_400_000
 
 
+def _tie(columns: list[str]) -> Column:
+    """The values of columns as a JSON text that _place() reads; nulls come first."""
+    return F.to_json(F.struct(F.lit(0).alias("none"), *columns), {"ignoreNullFields": "false"})
+
+
+def _place(at: int, tie: str) -> tuple:
+    return at, *((v is not None, v) for v in json.loads(tie).values())
+
+
 class PatternProcessor(StatefulProcessor):
     """Rows wait until the watermark has passed them, then go through the key's automaton in order of time."""
 
@@ -42,7 +51,7 @@ class PatternProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.rows.get()) if self.rows.exists() else []
+        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: _place(r[0], r[1])) if self.rows.exists() else []
         machine = Automaton(self.pattern, json.loads(self.matches.get()[0]) if self.matches.exists() else None)
         out = []
         ripe = [r for r in held if r[0] < now]
@@ -75,7 +84,7 @@ def pattern_stream(rows: DataFrame, pattern: Pattern, *, key: str, at: str = "ts
     A row counts once the watermark, ``delay`` behind the latest time, is past it; late rows are dropped. What is under
     way when the stream ends has neither matched nor timed out. State holds a key's rows of the delay and its matches.
     """
-    named = keyed_rows(rows, pattern.checked(), key, at, list(tie)).withColumn("tie", F.to_json("tie"))
+    named = keyed_rows(rows, pattern.checked(), key, at, _tie(list(tie)))
     timed = named.withColumn("time", F.timestamp_millis("at")).withWatermark("time", delay)
     found = timed.groupBy("key").transformWithStateInPandas(PatternProcessor(pattern), FOUND, "append", "eventTime")
     return typed(found, rows)
@@ -102,7 +111,8 @@ class DayProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.day.get()[0] if self.day.exists() else None
         known, out = last, []
-        for at, _, day, row in sorted(r for batch in rows for r in batch[["at", "tie", "day", "row"]].itertuples(index=False, name=None)):
+        new = [r for batch in rows for r in batch[["at", "tie", "day", "row"]].itertuples(index=False, name=None)]
+        for at, _, day, row in sorted(new, key=lambda r: _place(r[0], r[1])):
             if day != last:
                 last = day
                 out.append((key[0], at, row))
@@ -126,7 +136,7 @@ def unique_visits_by_clock(
     """
     entries = pages.where(entry_page()).where("common.mid is not null and ts is not null")
     named = entries.select(
-        F.col("common.mid").alias("mid"), F.col("ts").alias("at"), F.to_json(F.struct(F.lit(0).alias("none"), *tie)).alias("tie"), epoch_date(F.col("ts"), zone).alias("day"),
+        F.col("common.mid").alias("mid"), F.col("ts").alias("at"), _tie(list(tie)).alias("tie"), epoch_date(F.col("ts"), zone).alias("day"),
         F.to_json(F.struct(*[F.col(f"`{c}`") for c in pages.columns])).alias("row"),
     )
     before = None if initial is None else initial.select("mid", "day").groupBy("mid")
