@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.times import bounds, text_millis, timestamp, whole_second
+from tidewater.functions.times import bounds, epoch_date, text_millis, timestamp, whole_second
 from tidewater.functions.words import action_rows, tokens
 from tidewater.operators.logs import entry_page
-from tidewater.operators.visits import BOUNCE_MS, unique_visits, with_bounces
+from tidewater.operators.visits import BOUNCE_MS, with_bounces
 from tidewater.operators.wide import with_category, with_sku, with_spu, with_trademark
 
 WINDOW = "10 seconds"
@@ -40,10 +40,23 @@ def visitor_facts(pages: DataFrame, uniques: DataFrame, jumps: DataFrame) -> Dat
     return reduce(DataFrame.unionByName, [_visitor_fact(pages, **_page_measures()), _visitor_fact(uniques, uv_ct=F.lit(1)), _visitor_fact(jumps, uj_ct=F.lit(1))])
 
 
-def visitor_facts_of(pages: DataFrame, *, timeout_ms: int = BOUNCE_MS, tie: list[str] = ()) -> DataFrame:
-    """visitor_facts() of a batch, unique visits and bounces found here: a page's view, session start and bounce are one row."""
+def visitor_facts_of(pages: DataFrame, *, window: str = WINDOW, timeout_ms: int = BOUNCE_MS, tie: list[str] = (), zone: str | None = None) -> DataFrame:
+    """visitor_facts() of a batch, summed by visitor, day and window; unique visits and bounces are found here, in one pass.
+
+    A visitor's first entry page of a day is the least of the group's least ones: what meets in one task is a visitor's groups
+    of a day, whose number the windows bound, not the visitor's pages. ``at`` is the window's start.
+    """
     marked = with_bounces(pages, timeout_ms=timeout_ms, tie=tie)
-    return _visitor_fact(marked, uj_ct=F.col("bounced").cast("long"), **_page_measures()).unionByName(_visitor_fact(unique_visits(pages, tie=tie), uv_ct=F.lit(1)))
+    entry = F.when(entry_page(), F.struct(F.col("ts"), *tie))
+    rows = marked.select(
+        F.col("common.mid").alias("_mid"), epoch_date(F.col("ts"), zone).alias("_day"), F.window(timestamp(F.col("ts")), window)["start"].alias("at"), *[F.col(f"common.{k}").alias(k) for k in VISITOR_KEYS],
+        entry.alias("_entry"), *[m.cast("long").alias(n) for n, m in (_page_measures() | {"uj_ct": F.col("bounced")}).items()],
+    )
+    summed = [m for m in VISITOR_SUMS if m != "uv_ct"]
+    groups = rows.groupBy("_mid", "_day", "at", *VISITOR_KEYS).agg(F.min("_entry").alias("_entry"), *[F.sum(m).alias(m) for m in summed])
+    nth = F.row_number().over(Window.partitionBy("_mid", "_day").orderBy(F.col("_entry").asc_nulls_last(), "at", *VISITOR_KEYS))
+    first = ((nth == 1) & F.col("_entry").isNotNull()).cast("long")
+    return groups.select(*VISITOR_KEYS, first.alias("uv_ct"), *summed, "at")
 
 
 def visitor_stats(facts: DataFrame, *, window: str = WINDOW) -> DataFrame:
@@ -58,7 +71,8 @@ def product_facts(
 ) -> DataFrame:
     """One row per click, display, order line, favourite, cart, paid line, refund and comment of a product.
 
-    clicks and displays are pages. What is left out is not read: its measures are zero.
+    clicks and displays are pages; where both are the same, they are read once. What is left out is not read: its
+    measures are zero.
     """
 
     def fact(rows: DataFrame, at: Column, **measures: Column) -> DataFrame:
@@ -70,6 +84,13 @@ def product_facts(
 
     one, created = F.lit(1), text_millis(F.col("create_time"), zone)
     facts = []
+    if clicks is not None and clicks is displays:
+        item = lambda name, click: F.struct(name.try_cast("long").alias("sku_id"), F.lit(click).alias("click"))
+        clicked = F.when(F.col("page.page_id") == "good_detail", F.array(item(F.col("page.item"), 1))).otherwise(F.array())
+        shown = F.transform(F.filter(F.coalesce("displays", F.array()), lambda d: d["item_type"] == "sku_id"), lambda d: item(d["item"], 0))
+        seen = clicks.select(F.explode(F.concat(clicked, shown)).alias("i"), "ts").select("i.*", "ts")
+        facts.append(fact(seen, F.col("ts"), click_ct=F.col("click"), display_ct=1 - F.col("click")))
+        clicks = displays = None
     if clicks is not None:
         clicked = clicks.where("page.page_id = 'good_detail'").select(F.col("page.item").try_cast("long").alias("sku_id"), "ts")
         facts.append(fact(clicked, F.col("ts"), click_ct=one))

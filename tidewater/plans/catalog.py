@@ -91,13 +91,13 @@ def user_jump(spark, sf):
     return _flat(visits.bounces(_pages(spark, sf), timeout_ms=SESSION_MS, tie=["event_id"]))
 
 
-def _visitor_facts(spark, sf):
-    return stats.visitor_facts_of(_pages(spark, sf), timeout_ms=SESSION_MS, tie=["event_id"])
+def _visitor_facts(spark, sf, window=stats.WINDOW):
+    return stats.visitor_facts_of(_pages(spark, sf), window=window, timeout_ms=SESSION_MS, tie=["event_id"])
 
 
 @query(oracle.visitor(DAY_MS))
 def visitor_stats(spark, sf):
-    return stats.visitor_stats(_visitor_facts(spark, sf), window=DAY)
+    return stats.visitor_stats(_visitor_facts(spark, sf, DAY), window=DAY)
 
 
 @query(oracle.visitor(10_000))
