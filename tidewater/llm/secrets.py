@@ -92,26 +92,30 @@ def _n_log_n(window: int) -> str:
     return "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 2)) + ")"
 
 
-def _hot_windows(chars: str, window: int, least: float) -> str:
-    """SQL for the merged windows of at least that entropy in an array of characters, as array<struct<a, b>>."""
-    f = _n_log_n(window)
-    entering, leaving = f"{chars}[i - 1]", f"if(i > {window}, {chars}[i - {window} - 1], '')"
+def _hot_windows(codes: str, window: int, least: float) -> str:
+    """SQL for the merged windows of at least that entropy in an array of characters' numbers, as array<struct<a, b>>.
+
+    Counts lie side by side in longs, as many bits each as a window's count takes, so that a step adds one to a count and
+    takes one from another.
+    """
+    f, bits = _n_log_n(window), (window + 1).bit_length()
+    per = 63 // bits
+    count = lambda of: f"int(shiftright(t.n[{of} div {per}], int({bits} * ({of} % {per}))) & {(1 << bits) - 1})"
+    one = lambda of: f"if(k = {of} div {per}, shiftleft(1L, int({bits} * ({of} % {per}))), 0L)"
+    hot = f"i >= {window} and {math.log2(window)!r}D - u.s / {window} >= {least!r}D"
     return f"""
       aggregate(
-        sequence(1, size({chars})),
-        named_struct('n', map_from_arrays(array_distinct({chars}), array_repeat(0, size(array_distinct({chars})))),
-                     's', 0D, 'a', -1, 'b', -1, 'out', cast(array() as array<struct<a:int,b:int>>)),
-        (t, i) -> transform(array(named_struct(
-            'n', transform_values(t.n, (k, v) -> v + if(k = {entering}, 1, 0) - if(k = {leaving}, 1, 0)),
-            's', t.s + if({entering} = {leaving}, 0D,
-                 {f}[t.n[{entering}] + 1] - {f}[t.n[{entering}]]
-                 + if(i > {window}, {f}[t.n[{leaving}] - 1] - {f}[t.n[{leaving}]], 0D)))),
+        sequence(1, size({codes})),
+        named_struct('n', array_repeat(0L, int(array_max({codes}) div {per}) + 1), 's', 0D, 'a', -1, 'b', -1, 'out', cast(array() as array<struct<a:int,b:int>>)),
+        (t, i) -> transform(transform(array(named_struct('e', {codes}[i - 1], 'l', if(i > {window}, {codes}[i - {window} - 1], -1))), m -> named_struct(
+            'n', transform(t.n, (v, k) -> v + {one("m.e")} - if(m.l < 0, 0L, {one("m.l")})),
+            's', t.s + if(m.e = m.l, 0D, transform(array({count("m.e")}), c -> {f}[c + 1] - {f}[c])[0]
+                 + if(m.l < 0, 0D, transform(array({count("m.l")}), c -> {f}[c - 1] - {f}[c])[0])))),
           u -> named_struct(
             'n', u.n, 's', u.s,
-            'a', if(i >= {window} and {math.log2(window)!r}D - u.s / {window} >= {least!r}D and (t.a < 0 or i - {window} > t.b), i - {window}, t.a),
-            'b', if(i >= {window} and {math.log2(window)!r}D - u.s / {window} >= {least!r}D, i, t.b),
-            'out', if(i >= {window} and {math.log2(window)!r}D - u.s / {window} >= {least!r}D and t.a >= 0 and i - {window} > t.b,
-                      concat(t.out, array(named_struct('a', t.a, 'b', t.b))), t.out)))[0],
+            'a', if({hot} and (t.a < 0 or i - {window} > t.b), i - {window}, t.a),
+            'b', if({hot}, i, t.b),
+            'out', if({hot} and t.a >= 0 and i - {window} > t.b, concat(t.out, array(named_struct('a', t.a, 'b', t.b))), t.out)))[0],
         t -> if(t.a < 0, t.out, concat(t.out, array(named_struct('a', t.a, 'b', t.b)))))"""
 
 
@@ -119,10 +123,12 @@ def _entropy_spans(window: int, least: float, allow: tuple[str, ...], before: tu
     """Spans (a, b) of a column ``runs`` of candidates, in code points of the text."""
     listed = [f"c.hit rlike {_q(p)}" for p in allow]
     listed += [f"substring(body, greatest(c.a - {n}, 0) + 1, least(c.a, {n})) rlike {_q(p)}" for p, n in before]
+    # each character as its place among the different ones of the candidate
+    numbered = "transform(array(regexp_extract_all(c.hit, '.', 0)), cs -> transform(array(array_distinct(cs)), d -> transform(cs, x -> int(array_position(d, x)) - 1))[0])"
     return F.expr(f"""
         flatten(transform(filter(runs, c -> not ({" or ".join(listed or ["false"])})),
           c -> transform(
-            flatten(transform(array(regexp_extract_all(c.hit, '.', 0)), cs -> {_hot_windows("cs", window, least)})),
+            flatten(transform({numbered}, cs -> {_hot_windows("cs", window, least)})),
             w -> named_struct('a', c.a + w.a, 'b', c.a + w.b))))""")
 
 
