@@ -383,6 +383,8 @@ def hard_negatives(
     more = "lows array<long>, highs array<long>, r0 double, r1 double"
     second = materialise(paired.select(*asked.columns, "scores").mapInPandas(_radii(more, start_negatives), f"{base}, scores array<long>, {more}").drop("scores"), "paired")
     found = _expand(store, second, _pick_negatives(negatives), ["lows", "highs"], negatives, next_negatives, "negatives")
+    store.discard()
+    discard(asked)
     if found is None:
         return spark.createDataFrame([], RESULT)
     return found.join(best, ["anchor_id", "slot"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
