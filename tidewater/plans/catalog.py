@@ -382,8 +382,11 @@ def _topic(spark, rows: DataFrame, name: str) -> str:
     return path
 
 
-def _page_stream(spark, sf) -> DataFrame:
-    return read_topic(spark, _topic(spark, _pages(spark, sf), "page-log"), schema=f"{schemas.PAGE_LOG}, event_id bigint")
+def _finished(spark, name: str, build: Callable[..., DataFrame], **topics: DataFrame) -> DataFrame:
+    """Writes batches as topics, works off the stream that ``build`` makes of them (as streams, by name), and deletes them."""
+    paths = {n: _topic(spark, rows, n.replace("_", "-")) for n, rows in topics.items()}
+    schema = {n: ", ".join(f"{c} {t}" for c, t in rows.dtypes) for n, rows in topics.items()}
+    return finish(build(**{n: read_topic(spark, paths[n], schema=schema[n]) for n in paths}), name, spent=tuple(paths.values()))
 
 
 #: Bounces that the end of the stream leaves open are none yet.
@@ -395,28 +398,28 @@ def _unlogged(rows: DataFrame) -> DataFrame:
     return rows.select(F.from_json("log", f"{schemas.PAGE_LOG}, event_id bigint").alias("l")).select("l.*")
 
 
-def _unique_topic(spark, sf) -> str:
-    return _topic(spark, _unlogged(finish(unique_visit_stream(_page_stream(spark, sf)), "unique-visit")), "unique-visits")
+def _uniques(spark, sf) -> DataFrame:
+    return _unlogged(_finished(spark, "unique-visit", lambda pages: unique_visit_stream(pages), pages=_pages(spark, sf)))
 
 
-def _bounce_topic(spark, sf) -> str:
-    return _topic(spark, _unlogged(finish(bounce_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump")), "user-jumps")
+def _jumps(spark, sf) -> DataFrame:
+    return _unlogged(_finished(spark, "user-jump", lambda pages: bounce_stream(pages, timeout_ms=SESSION_MS), pages=_pages(spark, sf)))
 
 
 @query(f"select mid, ts from ({SETTLED})")
 def stream_user_jump(spark, sf):
     """The timeouts of the bounce pattern."""
-    return finish(bounces_of_stream(_page_stream(spark, sf), timeout_ms=SESSION_MS), "user-jump").select("common.mid", "ts")
+    return _finished(spark, "user-jump", lambda pages: bounces_of_stream(pages, timeout_ms=SESSION_MS), pages=_pages(spark, sf)).select("common.mid", "ts")
 
 
 @query("""select mid, ts, case when is_new = '1' and ts // 86400000 <> min(ts // 86400000) filter (is_new = '1') over (partition by mid) then '0' else is_new end as is_new from pages""")
 def stream_new_visitors(spark, sf):
-    return finish(new_visitor_stream(_page_stream(spark, sf)), "new-visitors").select("mid", "ts", F.col("flag").alias("is_new"))
+    return _finished(spark, "new-visitors", lambda pages: new_visitor_stream(pages), pages=_pages(spark, sf)).select("mid", "ts", F.col("flag").alias("is_new"))
 
 
 @query("select mid, ts from visits")
 def stream_unique_visit(spark, sf):
-    return finish(unique_visit_stream(_page_stream(spark, sf)), "unique-visit").select("mid", "ts")
+    return _uniques(spark, sf).select("common.mid", "ts")
 
 
 #: Windows that the watermark, 13 seconds behind the latest of ``rows``, has closed.
@@ -427,27 +430,24 @@ def _closed(query: str, at: str, rows: str) -> str:
 @query(_closed(oracle.visitor(DAY_MS).replace("from bounced", f"from ({SETTLED})"), "ts", "pages"))
 def stream_visitor_stats(spark, sf):
     """The whole job: pages, and the topics of unique visits and bounces that two other streams have written."""
-    log = f"{schemas.PAGE_LOG}, event_id bigint"
-    topics = (_topic(spark, _pages(spark, sf), "page-log"), _unique_topic(spark, sf), _bounce_topic(spark, sf))
-    facts = stats.visitor_facts(*[read_topic(spark, t, schema=log) for t in topics]).withWatermark("at", "13 seconds")
-    return finish(stats.visitor_stats(facts, window=DAY), "visitor-stats")
 
+    def build(pages, uniques, jumps):
+        return stats.visitor_stats(stats.visitor_facts(pages, uniques, jumps).withWatermark("at", "13 seconds"), window=DAY)
 
-def _stream_of(spark, rows: DataFrame, name: str) -> DataFrame:
-    """A batch as a stream of its own schema, by way of a topic."""
-    return read_topic(spark, _topic(spark, rows, name), schema=", ".join(f"{c} {t}" for c, t in rows.dtypes))
+    return _finished(spark, "visitor-stats", build, pages=_pages(spark, sf), uniques=_uniques(spark, sf), jumps=_jumps(spark, sf))
 
 
 @query(_closed("select * from product", "tms", "facts"))
 def stream_product_stats(spark, sf):
     """Facts of seven topics; distinct orders are counted as sets in the state of each window."""
-    pages = _page_stream(spark, sf)
-    facts = stats.product_facts(
-        clicks=pages, displays=pages, orders=_stream_of(spark, _lines(spark, sf), "order-wide"), favors=_stream_of(spark, data.actions(spark, sf, "signup"), "favors"),
-        carts=_stream_of(spark, data.actions(spark, sf, "purchase"), "carts"), payments=_stream_of(spark, _paid(spark, sf), "payment-wide"),
-        refunds=_stream_of(spark, data.refunds(spark, sf), "refunds"), comments=_stream_of(spark, data.actions(spark, sf, "error"), "comments"),
-    ).withWatermark("at", "13 seconds")
-    return plain(finish(stats.product_sums(facts, window=DAY), "product-stats"))
+
+    def build(pages, **others):
+        return stats.product_sums(stats.product_facts(clicks=pages, displays=pages, **others).withWatermark("at", "13 seconds"), window=DAY)
+
+    return plain(_finished(
+        spark, "product-stats", build, pages=_pages(spark, sf), orders=_lines(spark, sf), favors=data.actions(spark, sf, "signup"), carts=data.actions(spark, sf, "purchase"),
+        payments=_paid(spark, sf), refunds=data.refunds(spark, sf), comments=data.actions(spark, sf, "error"),
+    ))
 
 
 @query(_closed(oracle.province(DAY_MS), "order_ts", "oi join od using (order_id)"))
@@ -457,25 +457,26 @@ def stream_province_stats(spark, sf):
     path = _topic(spark, rows, "province-orders")
     wides = topic_table(spark, "tidewater_order_wide", path, ", ".join(f"{c} {t}" for c, t in rows.dtypes), "timestamp_millis(create_ts)", "13 seconds")
     assert wides.isStreaming
-    return plain(finish(stats.province_stats(spark.sql("select *, rowtime as at from tidewater_order_wide").drop("rowtime"), window=DAY), "province-stats"))
+    asked = stats.province_stats(spark.sql("select *, rowtime as at from tidewater_order_wide").drop("rowtime"), window=DAY)
+    return plain(finish(asked, "province-stats", spent=(path,)))
 
 
 @query(f"select {_doubles(PAID)} from paid")
 def stream_payment_join(spark, sf):
-    wides = _stream_of(spark, _lines(spark, sf), "order-wide").withColumn("wide_at", F.timestamp_millis("order_ts")).withWatermark("wide_at", "3 seconds")
-    paid = _stream_of(spark, data.payment_info(spark, sf), "payments").withColumn("paid_at", F.timestamp_millis("create_ts")).withWatermark("paid_at", "3 seconds")
-    return plain(finish(wide.payment_wide(paid, wides, low_ms=-30 * DAY_MS).select(*map(str.strip, PAID.split(","))), "payment-join"))
+    def build(wides, paid):
+        wides = wides.withColumn("wide_at", F.timestamp_millis("order_ts")).withWatermark("wide_at", "3 seconds")
+        paid = paid.withColumn("paid_at", F.timestamp_millis("create_ts")).withWatermark("paid_at", "3 seconds")
+        return wide.payment_wide(paid, wides, low_ms=-30 * DAY_MS).select(*map(str.strip, PAID.split(",")))
+
+    return plain(_finished(spark, "payment-join", build, wides=_lines(spark, sf), paid=data.payment_info(spark, sf)))
 
 
 @query(f"select {_doubles(ORDER_FIELDS)} from near")
 def stream_order_join(spark, sf):
-    def stream(rows, schema, name):
-        read = read_topic(spark, _topic(spark, rows, name), schema=schema)
-        return read.withColumn("at", F.timestamp_millis("create_ts")).withWatermark("at", "3 seconds")
+    def build(orders, lines):
+        return wide.order_lines(orders, lines, low_ms=-5 * DAY_MS, high_ms=5 * DAY_MS, delay="3 seconds").select(*map(str.strip, ORDER_FIELDS.split(",")))
 
-    orders = stream(data.order_info(spark, sf), schemas.ORDER_INFO, "orders").withColumnRenamed("at", "order_at")
-    lines = stream(data.order_detail(spark, sf), schemas.ORDER_DETAIL, "lines").withColumnRenamed("at", "detail_at")
-    return plain(finish(wide.order_lines(orders, lines, low_ms=-5 * DAY_MS, high_ms=5 * DAY_MS).select(*map(str.strip, ORDER_FIELDS.split(","))), "order-join"))
+    return plain(_finished(spark, "order-join", build, orders=data.order_info(spark, sf), lines=data.order_detail(spark, sf)))
 
 
 # sinks
