@@ -112,21 +112,23 @@ def product_facts(
     return reduce(DataFrame.unionByName, facts)
 
 
+def _same_window(sums: DataFrame, window: str) -> Column:
+    """The key by which sums of a window are summed once more; on a stream it has to be an event time again."""
+    return F.window(F.window_time("window"), window).alias("window") if sums.isStreaming else F.col("window")
+
+
 def product_sums(facts: DataFrame, *, window: str = WINDOW) -> DataFrame:
     """stt, edt, sku_id, sums and distinct order counts of every window.
 
-    A fact carries one id at most. On batches, sums are first taken per id, so that distinct ids are counted by
-    adding up ones: no row is multiplied for three distinct counts, and a hot product is spread over its orders.
+    A fact carries one id at most. Sums are first taken per id, so that distinct ids are counted by adding up ones: no
+    row is multiplied for three distinct counts, a hot product is spread over its orders, and a stream's state holds a row
+    per order of an open window.
     """
-    keys = [F.window("at", window).alias("window"), F.col("sku_id")]
-    if facts.isStreaming:
-        sums = facts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in PRODUCT_SUMS], *[F.size(F.collect_set(i)).cast("long").alias(n) for i, n in PRODUCT_IDS.items()])
-    else:
-        each = facts.groupBy(*keys, *PRODUCT_IDS).agg(*[F.sum(m).alias(m) for m in PRODUCT_SUMS])
-        sums = each.groupBy("window", "sku_id").agg(
-            *[F.sum(m).cast("decimal(26,2)" if t == MONEY else t).alias(m) for m, t in PRODUCT_SUMS.items()],
-            *[F.count(i).alias(n) for i, n in PRODUCT_IDS.items()],
-        )
+    each = facts.groupBy(F.window("at", window).alias("window"), "sku_id", *PRODUCT_IDS).agg(*[F.sum(m).alias(m) for m in PRODUCT_SUMS])
+    sums = each.groupBy(_same_window(each, window), "sku_id").agg(
+        *[F.sum(m).cast("decimal(26,2)" if t == MONEY else t).alias(m) for m, t in PRODUCT_SUMS.items()],
+        *[F.count(i).alias(n) for i, n in PRODUCT_IDS.items()],
+    )
     return sums.select(*bounds(), "sku_id", *PRODUCT_SUMS, *PRODUCT_IDS.values())
 
 
@@ -140,12 +142,8 @@ def province_stats(wides: DataFrame, *, window: str = WINDOW) -> DataFrame:
     """Orders and amounts of every window and province. wides has order_id, split_total_amount, at and the province."""
     names = {"province_id": "province_id", "province_name": "province_name", "area_code": "province_area_code", "iso_code": "province_iso_code", "iso_3166_2": "province_3166_2_code"}
     keys = [F.window("at", window).alias("window"), *[F.col(c).alias(n) for n, c in names.items()]]
-    amount = F.sum("split_total_amount")
-    if wides.isStreaming:
-        sums = wides.groupBy(*keys).agg(amount.alias("order_amount"), F.size(F.collect_set("order_id")).cast("long").alias("order_count"))
-    else:
-        each = wides.groupBy(*keys, "order_id").agg(amount.alias("order_amount"))
-        sums = each.groupBy("window", *names).agg(F.sum("order_amount").alias("order_amount"), F.count("order_id").alias("order_count"))
+    each = wides.groupBy(*keys, "order_id").agg(F.sum("split_total_amount").alias("order_amount"))
+    sums = each.groupBy(_same_window(each, window), *names).agg(F.sum("order_amount").alias("order_amount"), F.count("order_id").alias("order_count"))
     return sums.select(*bounds(), *names, F.col("order_amount").cast("decimal(26,2)").alias("order_amount"), "order_count")
 
 
@@ -157,7 +155,7 @@ def province_sums_chained(wides: DataFrame, *, window: str = WINDOW, line: tuple
     """
     once = wides.dropDuplicatesWithinWatermark(list(line))
     each = once.groupBy(F.window("order_at", window).alias("window"), "province_id", "order_id").agg(F.sum("split_total_amount").alias("order_amount"))
-    sums = each.groupBy(F.window(F.window_time("window"), window).alias("window"), "province_id").agg(F.sum("order_amount").alias("order_amount"), F.count("order_id").alias("order_count"))
+    sums = each.groupBy(_same_window(each, window), "province_id").agg(F.sum("order_amount").alias("order_amount"), F.count("order_id").alias("order_count"))
     return sums.select(*bounds(), "province_id", F.col("order_amount").cast("decimal(26,2)").alias("order_amount"), "order_count")
 
 

@@ -439,7 +439,7 @@ def stream_visitor_stats(spark, sf):
 
 @query(_closed("select * from product", "tms", "facts"))
 def stream_product_stats(spark, sf):
-    """Facts of seven topics; distinct orders are counted as sets in the state of each window."""
+    """Facts of seven topics; orders are summed per window first, and windows from these sums."""
 
     def build(pages, **others):
         return stats.product_sums(stats.product_facts(clicks=pages, displays=pages, **others).withWatermark("at", "13 seconds"), window=DAY)
