@@ -1,11 +1,15 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 
+from tidewater.llm.labelled import labelled_sample
 from tidewater.llm.toxicity import (
-    FEATURES, PERSONS, QUOTED, REPORTS, Model, _codes, _words, allowed_edits, context_weights, evidence, find, intersect_groups, learn_lexicon, misspelled, toxicity_scores,
-)
+    FEATURES, PERSON_AFTER, PERSON_BEFORE, PERSONS, QUOTED, QUOTES, REPORT_BEFORE, REPORTS, WINDOW, Model, _codes, _words, allowed_edits, context_weights, evidence, find,
+    fit_toxicity, intersect_groups, learn_lexicon, misspelled, toxicity_scores,
+)
 
 
 def found(text, machines):
@@ -172,3 +176,59 @@ def test_held_out_accuracy_and_rows(spark):
     assert sorted(map(str, toxicity_scores(docs, flipped).collect())) == sorted(map(str, got))
     assert toxicity_scores(docs.limit(0), labels).collect() == []
     assert {r.score for r in toxicity_scores(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def plain_evidence(text, terms, model):
+    """By definition: every word against every entry by dynamic programming, context by counting marks and looking around."""
+    low = text.lower()
+    spans = []
+    for m in re.finditer(r"[^\x20\x09-\x0d]+", low):
+        solid = [i for i in range(m.start(), m.end()) if low[i].isalnum()]
+        if solid:
+            spans.append((solid[0], solid[-1] + 1))
+    words, hits = [low[a:b] for a, b in spans], {}
+    for k, w in enumerate(words):
+        near = []
+        for n, (t, stem) in enumerate(terms):
+            e = min(distance(t, w[:size])[-1] for size in (range(len(w) + 1) if stem else [len(w)]))
+            if e <= allowed_edits(t):
+                near.append((e, n))
+        if near and (min(near)[0] == 0 or w not in model.clean):
+            hits[k] = min(near)
+    worth = {0: [], 1: []}
+    for k, (e, n) in hits.items():
+        a, b = spans[k]
+        first, last = low.rfind("\n", 0, a) + 1, low.find("\n", a) if "\n" in low[a:] else len(low)
+        quoted = sum(c in QUOTES for c in low[first:a]) % 2 == 1 and any(c in QUOTES for c in low[b:last])
+        abuse = any(0 < abs(k - j) <= WINDOW for j in hits) or model.persons & {words[j] for j in range(max(0, k - PERSON_BEFORE), min(len(words), k + PERSON_AFTER + 1)) if j != k}
+        report = not abuse and model.reports & set(words[max(0, k - REPORT_BEFORE) : k])
+        worth[e > 0].append((QUOTED if quoted or report else 1) * (model.near if e else model.exact)[n])
+    out = []
+    for kind in (worth[0], worth[1]):
+        most = max(kind, default=0.0)
+        out += [most**2 / 10, math.log1p(max(0.0, sum(kind) - most))]
+    return [*out, math.log1p(len(words))]
+
+
+def test_scores_against_plain_arithmetic(spark):
+    rng = random.Random(14)
+    prose = lambda n: ["".join(rng.choice("er tion the an ou in es".split()) for _ in range(rng.randint(1, 5))) for _ in range(n)]
+    rows = []
+    for i in range(500):
+        words, toxic = prose(rng.randint(10, 30)), int(rng.random() < 0.35)
+        for _ in range(3 * toxic):
+            words[rng.randrange(len(words))] = rng.choice(["oaf", "idiot", "moron.", "worthless", "Idiot!", "you idiot", '"moron"', "said worthless\n"])
+        rows.append((i, " ".join(words), toxic))
+    odd = [(900, 'the wörthless "idi0t" said\nyou moron'), (901, "wortless idiots oaf"), (902, ""), (903, "— “idiot” —")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + odd, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    how = {"least": 8, "ratio": 30.0, "longest": 12}
+    learned = learn_lexicon(labelled_sample(docs, labels, "toxic", 5, 0, 8000), **how)
+    model = fit_toxicity(docs, labels, parts=5, held_out=0, train_rows=8000, lexicon=(), persons=PERSONS, reports=REPORTS, **how)
+    terms = sorted(learned)
+    assert terms and model.exact.tolist() == [learned[t] for t in terms]
+    got = {r.doc_id: r.score for r in toxicity_scores(docs, labels).collect()}
+    for i, text in [(i, t) for i, t, _ in rows[:150]] + odd:
+        x = plain_evidence(text, terms, model)
+        assert list(evidence(text, model)) == pytest.approx(x), text
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, model.weights[:-1], strict=True)) + model.weights[-1]))))
