@@ -59,6 +59,7 @@ class Pieces:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.shown) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.shown) if not special[i] and i not in self.byte_of}
+        self.letters = {p for p in self.ids if len(p) == 1}
         self.scores = [model.get_score(i) for i in range(len(self.shown))]
         self.hidden = frozenset(i for i, s in enumerate(special) if s)
         self.halves = self._halves() if self.merging else {}
@@ -142,15 +143,25 @@ class Pieces:
     def viterbi(self, text: str) -> list[int]:
         """The best pieces of known characters, in one pass over them."""
         n = len(text)
-        best, last, size = [0.0] + [-math.inf] * n, [-1] * (n + 1), [0] * (n + 1)
-        scores, merging = self.scores, self.merging
-        for end, (piece, length) in self.automaton.iter(text):
-            at, start = end + 1, end + 1 - length
-            if merging:
-                if last[at] < 0 and (start == 0 or self._stay_apart(last[start], piece)):
-                    best[at], last[at], size[at] = 0.0, piece, length
-            elif best[start] + scores[piece] > best[at]:
-                best[at], last[at], size[at] = best[start] + scores[piece], piece, length
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        if self.merging:  # scores are zero or minus infinity: a position's first finite score is its best
+            apart = self.apart
+            for end, (piece, length) in self.automaton.iter(text):
+                end += 1
+                if last[end] >= 0:
+                    continue
+                if length < end:
+                    before = last[end - length]
+                    known = apart.get((before, piece))
+                    if not (self._stay_apart(before, piece) if known is None else known):
+                        continue
+                last[end], size[end] = piece, length
+        else:
+            best, scores = [0.0] + [-math.inf] * n, self.scores
+            for end, (piece, length) in self.automaton.iter(text):
+                at, start = end + 1, end + 1 - length
+                if best[start] + scores[piece] > best[at]:
+                    best[at], last[at], size[at] = best[start] + scores[piece], piece, length
         out = []
         while n:
             out.append(last[n])
@@ -158,6 +169,8 @@ class Pieces:
         return out[::-1]
 
     def _word(self, word: str) -> list[int]:
+        if self.letters.issuperset(word):
+            return self.viterbi(word) if word else []
         out, known = [], []
         for c in word:
             if c in self.ids:
