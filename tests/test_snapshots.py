@@ -13,6 +13,7 @@ from tidewater.operators import cdc, stats, visits, wide
 from tidewater.plans import catalog
 from tidewater.sources import configured, files, snapshots, topics
 from tidewater.sources.topics import read_topic, write_topic, write_topics
+from tidewater.streaming.joins import join_batches
 from tidewater.streaming.lookups import looked_up, put_dimension, read_dimension
 from tidewater.streaming.patterns import known_days, last_days, unique_visits_by_clock
 from tidewater.streaming.runs import STORE, finish, finish_batches
@@ -236,3 +237,34 @@ def test_first_known_and_console(spark):
     query = console(spark.readStream.format("rate").load()).start()
     assert query.isActive
     query.stop()
+
+
+def test_interval_join_of_two_streams_by_batches(spark, tmp_path):
+    """Rows wait for later batches, late rows are dropped, a repeated batch ends the same, and no row is kept that nothing can match."""
+    left, right, state, out = (f"{tmp_path}/{n}" for n in ("left", "right", "state", "out"))
+    pairs = lambda a, b: a.join(b, (a.id == b.of) & (b.at - a.at).between(0, 10)).select("id", "n")
+    seen = []
+
+    def sink(rows, batch_id, reached):
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        seen.append(reached)
+
+    def run():
+        sides = (read_topic(spark, left), "id long, at long"), (read_topic(spark, right), "of long, n long, at long")
+        join_batches(*sides, pairs, sink, "pairs", low_ms=0, high_ms=10, delay_ms=5, at=("at", "at"), state=state)
+
+    def put(n, lefts, rights):
+        write_topic(spark.createDataFrame(lefts, "id long, at long"), left, batch=("s", n))
+        write_topic(spark.createDataFrame(rights, "of long, n long, at long"), right, batch=("s", n))
+        run()
+
+    put(0, [(1, 100), (2, 100), (3, 80), (None, 90)], [(1, 10, 105), (9, 11, 100), (3, 12, None), (3, 13, 91)])  # reached 100, watermark 95
+    put(1, [(4, 111)], [(2, 20, 110), (2, 21, 111), (1, 22, 95), (9, 23, 108)])  # the third is late; reached 111, watermark 106
+    waiting = spark.read.parquet(f"{state}-waiting/1").collect()
+    assert sorted(json.loads(r.value)["at"] for r in waiting) == [100, 100, 108, 110, 111, 111]
+    for commit in ("1", ".1.crc"):
+        os.remove(f"{state}/commits/{commit}")
+    run()  # batch 1 once more
+    put(2, [(9, 107)], [(4, 30, 121), (4, 31, 122)])
+    got = sorted((r.id, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 10), (2, 20), (4, 30), (9, 23)] and seen == [100, 111, 111, 111]

@@ -21,7 +21,8 @@ from tidewater.plans.registered import FOUND, plain, query
 from tidewater.session import shared_folder, written
 from tidewater.sources.snapshots import merge_sink, read_merged
 from tidewater.sources.tables import read_routes, split_sink, table_sink
-from tidewater.sources.topics import read_topic, topic_table, write_topic, write_topics
+from tidewater.sources.topics import PACKED, read_topic, topic_table, write_topic, write_topics
+from tidewater.streaming.joins import finish_join
 from tidewater.streaming.patterns import bounces_of_stream
 from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
 from tidewater.streaming.runs import finish, finish_batches
@@ -389,6 +390,13 @@ def _finished(spark, name: str, build: Callable[..., DataFrame], **topics: DataF
     return finish(build(**{n: read_topic(spark, paths[n], schema=schema[n]) for n in paths}), name, spent=tuple(paths.values()))
 
 
+def _joined(spark, name: str, join: Callable[[DataFrame, DataFrame], DataFrame], how: dict, **topics: DataFrame) -> DataFrame:
+    """Writes two batches as topics, joins them as streams, and deletes them."""
+    paths = {n: _topic(spark, rows, n) for n, rows in topics.items()}
+    sides = [(read_topic(spark, paths[n]), ", ".join(f"{c} {t}" for c, t in rows.dtypes)) for n, rows in topics.items()]
+    return finish_join(*sides, join, name, spent=tuple(paths.values()), **how)
+
+
 #: Bounces that the end of the stream leaves open are none yet.
 SETTLED = f"select * from bounced where ts + {SESSION_MS} < (select max(ts) from pages)"
 
@@ -463,20 +471,17 @@ def stream_province_stats(spark, sf):
 
 @query(f"select {_doubles(PAID)} from paid")
 def stream_payment_join(spark, sf):
-    def build(wides, paid):
-        wides = wides.withColumn("wide_at", F.timestamp_millis("order_ts")).withWatermark("wide_at", "3 seconds")
-        paid = paid.withColumn("paid_at", F.timestamp_millis("create_ts")).withWatermark("paid_at", "3 seconds")
-        return wide.payment_wide(paid, wides, low_ms=-30 * DAY_MS).select(*map(str.strip, PAID.split(",")))
-
-    return plain(_finished(spark, "payment-join", build, wides=_lines(spark, sf), paid=data.payment_info(spark, sf)))
+    low = -30 * DAY_MS
+    join = lambda paid, wides: wide.payment_wide(paid, wides, low_ms=low).select(*map(str.strip, PAID.split(",")))
+    how = {"low_ms": low, "high_ms": 0, "delay_ms": 3000, "at": ("create_ts", "order_ts")}
+    return plain(_joined(spark, "payment-join", join, how, paid=data.payment_info(spark, sf), wides=_lines(spark, sf)))
 
 
 @query(f"select {_doubles(ORDER_FIELDS)} from near")
 def stream_order_join(spark, sf):
-    def build(orders, lines):
-        return wide.order_lines(orders, lines, low_ms=-5 * DAY_MS, high_ms=5 * DAY_MS, delay="3 seconds").select(*map(str.strip, ORDER_FIELDS.split(",")))
-
-    return plain(_finished(spark, "order-join", build, orders=data.order_info(spark, sf), lines=data.order_detail(spark, sf)))
+    reach = {"low_ms": -5 * DAY_MS, "high_ms": 5 * DAY_MS}
+    join = lambda orders, lines: wide.order_lines(orders, lines, **reach).select(*map(str.strip, ORDER_FIELDS.split(",")))
+    return plain(_joined(spark, "order-join", join, reach | {"delay_ms": 3000}, orders=data.order_info(spark, sf), lines=data.order_detail(spark, sf)))
 
 
 # sinks
@@ -499,7 +504,7 @@ def sink_dimensions(spark, sf):
 
 def _change_stream(spark, sf) -> DataFrame:
     path = shared_folder(spark, "changes")
-    data.changes(spark, sf).write.text(path)
+    data.changes(spark, sf).write.options(**PACKED).text(path)
     return read_topic(spark, path, place=True)
 
 

@@ -18,6 +18,8 @@ from tidewater.sources import files
 
 #: Where a record stands in its topic; the records of one place follow each other in one partition.
 PLACE = "struct<at:timestamp,source:string,start:bigint>"
+#: Records are packed; a packed file is read by one task, so files are kept small.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": "1000000"}
 
 
 def read_topic(
@@ -76,7 +78,7 @@ def write_topic(rows: DataFrame, topic: str, *, servers: str | None = None, chec
     """
     values = records(rows)
     if rows.isStreaming:
-        form, options = ("kafka", {"kafka.bootstrap.servers": servers, "topic": topic}) if servers else ("text", {"path": topic})
+        form, options = ("kafka", {"kafka.bootstrap.servers": servers, "topic": topic}) if servers else ("text", {"path": topic} | PACKED)
         return values.writeStream.format(form).options(**options).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if servers:
         keyed = values if batch is None else values.withColumn("key", F.lit(batch_folder(*batch)))
@@ -85,7 +87,7 @@ def write_topic(rows: DataFrame, topic: str, *, servers: str | None = None, chec
     spark, name = rows.sparkSession, batch_folder(*batch) if batch else f"rows-{uuid.uuid4().hex}"
     if not files.exists(spark, f"{topic}/{name}"):
         aside = f"{topic}/_open/{name}-{uuid.uuid4().hex}"
-        values.write.text(aside)
+        values.write.options(**PACKED).text(aside)
         _publish(spark, aside, f"{topic}/{name}")
     return None
 
@@ -107,7 +109,7 @@ def write_topics(rows: DataFrame, root: str, *, topic: str = "sink_table", paylo
         return
     spark, name = rows.sparkSession, batch_folder(*batch) if batch else f"rows-{uuid.uuid4().hex}"
     aside = f"{root}/_open/{name}-{uuid.uuid4().hex}"
-    values.write.partitionBy("topic").text(aside)
+    values.write.options(**PACKED).partitionBy("topic").text(aside)
     for part in files.names(spark, aside):
         if part.startswith("topic="):
             _publish(spark, f"{aside}/{part}", f"{root}/{part}/{name}")
