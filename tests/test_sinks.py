@@ -14,6 +14,7 @@ from tidewater.sources import tables
 from tidewater.sources.topics import read_topic
 from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
 from tidewater.streaming.runs import finish_batches
+from tidewater.streaming.windows import finish_windows
 
 ROWS = "id string, n int, type string, name string"
 DAY = 86_400_000
@@ -115,3 +116,29 @@ def test_topic_without_schema_and_dictionary_words(spark, tmp_path):
     assert [r.value for r in read_topic(spark, f"{tmp_path}/t", stream=False).collect()] == ['{"a": 1}']
     rows = spark.createDataFrame([("小米手机 Red",), (None,), ("",)], "t string")
     assert [r[0] for r in rows.select(words.dictionary_tokens(F.col("t"), ["小米", "手机"])).collect()] == [["小米", "手机", "red"], [], []]
+
+
+def test_keyed_streams_deal_visitors_into_buckets(spark, tmp_path):
+    """One call a bucket and batch: visitors that share a bucket keep their own days and waiting pages."""
+    folder, many = tmp_path / "many", 3000
+    lines(folder, "1", [page(f"m{i}", 10_000 + i) for i in range(many)])
+    lines(folder, "2", [page(f"m{i}", DAY + i) for i in range(0, many, 2)] + [page("end", 9 * DAY)])
+    keys = unique_visit_stream(files(spark, folder, LOG))._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in keys
+    visits = [r[0] for rows in worked(spark, unique_visit_stream(files(spark, folder, LOG)), "unique") for r in rows]
+    assert len(visits) == many + many // 2 + 1 and len(set(visits)) == many + 1
+    jumps = [r[0] for rows in worked(spark, bounce_stream(files(spark, folder, LOG)), "jumps") for r in rows]
+    assert len(jumps) == many + many // 2  # the last page is open
+
+
+def test_windows_of_batches(spark, tmp_path):
+    """Rows of open windows wait, late ones are dropped, windows come once; no state store is written."""
+    folder, state, out = tmp_path / "rows", f"{tmp_path}/state", f"{tmp_path}/out"
+    sums = lambda rows: rows.groupBy(F.window("at", "10 seconds")["start"].alias("start")).agg(F.sum("n").alias("n"))
+    for name, rows in {"1": [(1_000, 1), (12_000, 2), (None, 9)], "2": [(2_000, 4), (13_000, 8), (25_000, 16)], "3": [(9_000, 32), (21_000, 64), (50_000, 128)]}.items():
+        lines(folder, name, [{"ts": ts, "n": n} for ts, n in rows])
+        stream = files(spark, folder, "ts long, n long").select(F.timestamp_millis("ts").alias("at"), "n")
+        got = finish_windows(stream, sums, "windows", window="10 seconds", delay_ms=3_000, state=state, out=out)
+    # the watermark is 9, 22 and 47 seconds: the first late row still finds its window open, the second does not
+    assert sorted((r[0].timestamp(), r[1]) for r in got.collect()) == [(0.0, 5), (10.0, 10), (20.0, 80)]
+    assert not os.path.exists(f"{state}/state")

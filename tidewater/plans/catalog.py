@@ -26,6 +26,7 @@ from tidewater.streaming.joins import finish_join
 from tidewater.streaming.patterns import bounces_of_stream
 from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
 from tidewater.streaming.runs import finish, finish_batches
+from tidewater.streaming.windows import finish_windows
 
 DAY = "1 day"
 #: The day on which ages are taken.
@@ -383,11 +384,11 @@ def _topic(spark, rows: DataFrame, name: str) -> str:
     return path
 
 
-def _finished(spark, name: str, build: Callable[..., DataFrame], **topics: DataFrame) -> DataFrame:
-    """Writes batches as topics, works off the stream that ``build`` makes of them (as streams, by name), and deletes them."""
+def _finished(spark, name: str, build: Callable[..., DataFrame], run: Callable[..., DataFrame] = finish, **topics: DataFrame) -> DataFrame:
+    """Writes batches as topics, works off the stream that ``build`` makes of them (as streams, by name) with ``run``, and deletes them."""
     paths = {n: _topic(spark, rows, n.replace("_", "-")) for n, rows in topics.items()}
     schema = {n: ", ".join(f"{c} {t}" for c, t in rows.dtypes) for n, rows in topics.items()}
-    return finish(build(**{n: read_topic(spark, paths[n], schema=schema[n]) for n in paths}), name, spent=tuple(paths.values()))
+    return run(build(**{n: read_topic(spark, paths[n], schema=schema[n]) for n in paths}), name, spent=tuple(paths.values()))
 
 
 def _joined(spark, name: str, join: Callable[[DataFrame, DataFrame], DataFrame], how: dict, **topics: DataFrame) -> DataFrame:
@@ -397,6 +398,10 @@ def _joined(spark, name: str, join: Callable[[DataFrame, DataFrame], DataFrame],
     return finish_join(*sides, join, name, spent=tuple(paths.values()), **how)
 
 
+def _by_day(sums: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    return lambda facts, name, spent: finish_windows(facts, lambda rows: sums(rows, window=DAY), name, window=DAY, delay_ms=13_000, spent=spent)
+
+
 #: Bounces that the end of the stream leaves open are none yet.
 SETTLED = f"select * from bounced where ts + {SESSION_MS} < (select max(ts) from pages)"
 
@@ -440,20 +445,20 @@ def stream_visitor_stats(spark, sf):
     """The whole job: pages, and the topics of unique visits and bounces that two other streams have written."""
 
     def build(pages, uniques, jumps):
-        return stats.visitor_stats(stats.visitor_facts(pages, uniques, jumps).withWatermark("at", "13 seconds"), window=DAY)
+        return stats.visitor_facts(pages, uniques, jumps)
 
-    return _finished(spark, "visitor-stats", build, pages=_pages(spark, sf), uniques=_uniques(spark, sf), jumps=_jumps(spark, sf))
+    return _finished(spark, "visitor-stats", build, _by_day(stats.visitor_stats), pages=_pages(spark, sf), uniques=_uniques(spark, sf), jumps=_jumps(spark, sf))
 
 
 @query(_closed("select * from product", "tms", "facts"))
 def stream_product_stats(spark, sf):
-    """Facts of seven topics; orders are summed per window first, and windows from these sums."""
+    """Facts of seven topics; orders of closed windows are summed first, and windows from these sums."""
 
     def build(pages, **others):
-        return stats.product_sums(stats.product_facts(clicks=pages, displays=pages, **others).withWatermark("at", "13 seconds"), window=DAY)
+        return stats.product_facts(clicks=pages, displays=pages, **others)
 
     return plain(_finished(
-        spark, "product-stats", build, pages=_pages(spark, sf), orders=_lines(spark, sf), favors=data.actions(spark, sf, "signup"), carts=data.actions(spark, sf, "purchase"),
+        spark, "product-stats", build, _by_day(stats.product_sums), pages=_pages(spark, sf), orders=_lines(spark, sf), favors=data.actions(spark, sf, "signup"), carts=data.actions(spark, sf, "purchase"),
         payments=_paid(spark, sf), refunds=data.refunds(spark, sf), comments=data.actions(spark, sf, "error"),
     ))
 

@@ -10,6 +10,8 @@ from tidewater.session import SETTINGS, shared_folder
 from tidewater.sources import files
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB would look every key up before it is put, only to count keys.
+COUNT_KEYS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
@@ -22,6 +24,7 @@ def finish(rows: DataFrame, name: str, *, spent: tuple[str, ...] = (), clock: bo
     """
     spark = rows.sparkSession
     spark.conf.set(STORE, SETTINGS[STORE])
+    spark.conf.set(COUNT_KEYS, "false")
     out = shared_folder(spark, name)
     before = spark.conf.get(EMPTY_BATCHES)
     spark.conf.set(EMPTY_BATCHES, "false" if clock else before)
@@ -38,6 +41,7 @@ def finish_batches(rows: DataFrame, sink: Callable[[DataFrame, int], None], name
     """Works off a stream's input through a foreachBatch sink; its state is deleted, unless the caller names a folder for it."""
     spark = rows.sparkSession
     spark.conf.set(STORE, SETTINGS[STORE])
+    spark.conf.set(COUNT_KEYS, "false")
     folder = state or shared_folder(spark, f"{name}-state")
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
     if state is None:
