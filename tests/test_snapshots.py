@@ -16,7 +16,7 @@ from tidewater.sources.topics import read_topic, write_topic, write_topics
 from tidewater.streaming.joins import join_batches
 from tidewater.streaming.lookups import looked_up, put_dimension, read_dimension
 from tidewater.streaming.patterns import known_days, last_days, unique_visits_by_clock
-from tidewater.streaming.runs import STORE, finish, finish_batches
+from tidewater.streaming.runs import READ_BYTES, STORE, finish, finish_batches
 
 CHANGES = "id string, type string, data map<string,string>, position int"
 DAY = 86_400_000
@@ -72,6 +72,20 @@ def test_a_hot_key_is_spread(spark):
     assert net["hot"] == {"n": "19998", "c0": "19998"} and net["19999"] == {"n": "19999", "c1": "19999"} and len(net) == 20_000 - 6667 + 1
 
 
+def test_a_task_of_a_stream_reads_a_bounded_part_of_a_topic(spark, tmp_path):
+    write_topic(spark.range(0, 1_100_000, 1, 1), f"{tmp_path}/topic")
+    before, most = spark.conf.get(READ_BYTES), []
+    finish_batches(read_topic(spark, f"{tmp_path}/topic"), lambda batch, _: most.extend(batch.groupBy(F.spark_partition_id()).count().collect()), "bounded")
+    assert sum(r["count"] for r in most) == 1_100_000 and max(r["count"] for r in most) <= 500_000 and spark.conf.get(READ_BYTES) == before
+
+
+def test_a_change_carries_its_other_columns_once(spark):
+    rows = spark.createDataFrame([("1", "insert", {"a": "x", "b": "y"}, 1), ("1", "update", {"b": "z"}, 2), ("1", "delete", None, 2)], CHANGES).withColumn("place", F.lit("p"))
+    net = cdc.net_changes(rows, ["id"])
+    assert [tuple(r) for r in net.select("id", "data", "type", "place", "position", "anew").collect()] == [("1", {"a": "x", "b": "z"}, "update", "p", 2, False)]
+    assert "max_by" not in net._jdf.queryExecution().executedPlan().toString()  # the columns and their order were held twice more by each cell
+
+
 def test_positions_follow_files_lines_and_transactions(spark, tmp_path):
     change = lambda name, **more: json.dumps({"table": "t", "type": "update", "data": {"id": "1", "n": name}} | more)
     for i, lines in enumerate([[change("a"), change("z")], [change("m"), change("b")]]):

@@ -111,24 +111,26 @@ def net_changes(changes: DataFrame, keys: list[str], *, order: str = "position",
     """
     rest = [c for c in changes.columns if c not in (*keys, order, data)]
     gone = F.col("type").eqNullSafe("delete") if apply_deletes else F.lit(False)
-    # one entry without column for each change, which carries the rest
+    # one entry without column for each change, which alone carries the rest
     entries = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))),
-        F.when(gone, F.array()).otherwise(F.transform(F.map_entries(F.coalesce(data, F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))),
-    )
-    cells = changes.select(*keys, F.col(order).alias("_order"), gone.alias("_gone"), F.struct(*rest).alias("_rest"), F.explode(entries).alias("_cell"))
-    last = cells.groupBy(*keys, F.col("_cell.key").alias("_column")).agg(
-        F.max(F.struct("_order", "_cell.value")).alias("_last"), F.max(F.when(F.col("_gone"), F.col("_order"))).alias("_delete"),
-        F.max_by("_rest", F.struct("_order", "_rest")).alias("_rest"),
-    )
+        F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.struct(*rest).alias("rest"))),
+        F.when(gone, F.array()).otherwise(F.transform(
+            F.map_entries(F.coalesce(data, F.create_map().cast("map<string,string>"))),
+            lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.when(F.lit(False), F.struct(*rest)).alias("rest")),
+        )),
+    )
+    cells = changes.select(*keys, F.col(order).alias("_order"), gone.alias("_gone"), F.explode(entries).alias("_cell"))
+    delete = F.max(F.when(F.col("_gone"), F.col("_order"))) if apply_deletes else F.max(F.lit(None).cast("boolean"))
+    last = cells.groupBy(*keys, F.col("_cell.key").alias("_column")).agg(F.max(F.struct("_order", "_cell.value", "_cell.rest")).alias("_last"), delete.alias("_delete"))
     row = lambda value: F.when(F.col("_column").isNull(), value)
+    at = [F.col("_last._order").alias("at")] if apply_deletes else []
     by_key = last.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("_column").isNotNull(), F.struct(F.col("_column").alias("key"), F.col("_last.value").alias("value"), F.col("_last._order").alias("at")))).alias("_cells"),
-        F.max(row(F.col("_delete"))).alias("_delete"), F.max(row(F.col("_last._order"))).alias(order), F.first(row(F.col("_rest")), ignorenulls=True).alias("_rest"),
+        F.collect_list(F.when(F.col("_column").isNotNull(), F.struct(F.col("_column").alias("key"), F.col("_last.value").alias("value"), *at))).alias("_cells"),
+        F.max(row(F.col("_delete"))).alias("_delete"), F.first(row(F.struct(F.col("_last._order").alias("order"), F.col("_last.rest").alias("rest"))), ignorenulls=True).alias("_row"),
     )
-    kept = F.filter("_cells", lambda c: F.col("_delete").isNull() | (c["at"] > F.col("_delete")))
+    kept = F.filter("_cells", lambda c: F.col("_delete").isNull() | (c["at"] > F.col("_delete"))) if apply_deletes else F.col("_cells")
     made = F.map_from_entries(F.array_sort(F.transform(kept, lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value")))))
-    return by_key.select(*keys, made.alias(data), *[F.col(f"_rest.`{c}`").alias(c) for c in rest], order, F.col("_delete").isNotNull().alias("anew"))
+    return by_key.select(*keys, made.alias(data), *[F.col(f"_row.rest.`{c}`").alias(c) for c in rest], F.col("_row.order").alias(order), F.col("_delete").isNotNull().alias("anew"))
 
 
 def merged(snapshot: DataFrame | None, changes: DataFrame, keys: list[str], *, data: str = "data", apply_deletes: bool = False) -> DataFrame:

@@ -18,8 +18,8 @@ from tidewater.sources import files
 
 #: Where a record stands in its topic; the records of one place follow each other in one partition.
 PLACE = "struct<at:timestamp,source:string,start:bigint>"
-#: Records are packed; a packed file is read by one task, so files are kept small.
-PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": "1000000"}
+#: Records are packed; a packed file is read, and perhaps sorted, by one task, so files are kept small.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": "250000"}
 
 
 def read_topic(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter
 
 from tidewater.session import SETTINGS, shared_folder
 from tidewater.sources import files
@@ -13,6 +14,22 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 #: RocksDB would look every key up before it is put, only to count keys.
 COUNT_KEYS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+#: Topics are packed: what a task reads takes many times its bytes where it is sorted.
+READ_BYTES, MOST_BYTES = "spark.sql.files.maxPartitionBytes", 8 << 20
+
+
+def _run(spark: SparkSession, writer: DataStreamWriter, **settings: str) -> None:
+    """Works a stream off under settings of its own, no task reading more than MOST_BYTES of files or one packed file."""
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(READ_BYTES))
+    settings |= {READ_BYTES: str(min(MOST_BYTES, given))}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        writer.start().awaitTermination()  # sources plan their files in the session itself, at every batch
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def finish(rows: DataFrame, name: str, *, spent: tuple[str, ...] = (), clock: bool = False, state: str | None = None) -> DataFrame:
@@ -26,13 +43,8 @@ def finish(rows: DataFrame, name: str, *, spent: tuple[str, ...] = (), clock: bo
     spark.conf.set(STORE, SETTINGS[STORE])
     spark.conf.set(COUNT_KEYS, "false")
     out = shared_folder(spark, name)
-    before = spark.conf.get(EMPTY_BATCHES)
-    spark.conf.set(EMPTY_BATCHES, "false" if clock else before)
-    try:
-        query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state or f"{out}-state").trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(EMPTY_BATCHES, before)
-    query.awaitTermination()
+    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state or f"{out}-state").trigger(availableNow=True)
+    _run(spark, writer, **({EMPTY_BATCHES: "false"} if clock else {}))
     files.remove(spark, *spent, *([] if state else [f"{out}-state"]))
     return spark.read.schema(rows.schema).parquet(out)
 
@@ -43,6 +55,6 @@ def finish_batches(rows: DataFrame, sink: Callable[[DataFrame, int], None], name
     spark.conf.set(STORE, SETTINGS[STORE])
     spark.conf.set(COUNT_KEYS, "false")
     folder = state or shared_folder(spark, f"{name}-state")
-    rows.writeStream.foreachBatch(sink).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    _run(spark, rows.writeStream.foreachBatch(sink).option("checkpointLocation", folder).trigger(availableNow=True))
     if state is None:
         files.remove(spark, folder)
