@@ -22,6 +22,12 @@ def test_ids_are_the_librarys():
         assert own.decode(own.encode(text)) == library.decode(library.encode(text)) == text.replace(BLANK, " ")
 
 
+def test_words_that_come_once_drive_no_others_out():
+    own, library = Pieces(PATH, 10_000), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    text = "stay stay " + " ".join(f"q{i}x{i * 7919}z" for i in range(1000))
+    assert own.encode(text) == library.encode(text) and BLANK + "stay" in own.memo and len(own.memo) < 30
+
+
 def test_viterbi_finds_the_best_sum_of_scores():
     own, rng = Pieces(PATH, 50), random.Random(2)
     own.merging = False

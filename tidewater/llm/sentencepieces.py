@@ -8,7 +8,7 @@ characters of ab leaves a and b apart, and minus infinity if not. Exactly one pa
 finite score, and it is the result of merging, so the pieces are those of the library.
 
 No piece holds a blank behind another character, nor a character that is no piece itself, so blanks and unknown
-characters bound the words; words are remembered, and runs of blanks, which share one score, are merged by rule.
+characters bound the words; words that return are remembered, and runs of blanks, which share one score, are merged by rule.
 Unknown characters become the pieces of their UTF-8 bytes.
 """
 
@@ -36,6 +36,8 @@ BLANK = "▁"
 WORD_BYTES, APART_BYTES = 220, 200
 #: Runs of up to so many blanks are remembered; longer ones are merged each time.
 SHORT_RUN = 1024
+#: Marks (a byte each) of words that were met; what can't follow the one blank of a word.
+MARKS, NO_WORD = 1 << 21, ("", BLANK)
 MADE = "n_ids int, ids array<int>, decoded_sha256 string, round_trip boolean"
 
 
@@ -54,6 +56,7 @@ class Pieces:
             raise ValueError(f"{path}: only models with identity normalisation, a dummy prefix and byte pieces are supported")
         self.merging = proto.trainer_spec.model_type == 2
         self.memo_bytes, self.memo, self.held = memo_bytes, {}, 0
+        self.marks, self.marked = bytearray(MARKS), 0
         self.shown = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(len(self.shown))]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.shown) if model.is_byte(i)}
@@ -62,17 +65,19 @@ class Pieces:
         self.letters = {p for p in self.ids if len(p) == 1}
         self.scores = [model.get_score(i) for i in range(len(self.shown))]
         self.hidden = frozenset(i for i, s in enumerate(special) if s)
+        self.odd = self.hidden.union(self.byte_of)
         self.halves = self._halves() if self.merging else {}
+        self.apart: list[dict[int, bool]] = [{} for _ in self.shown]  # by a piece and the one before it
+        self.paired, self.pairs = set(), 0
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if not self.merging or len(piece) == 1 or i in self.halves:
-                self.automaton.add_word(piece, (i, len(piece)))
+                self.automaton.add_word(piece, (i, len(piece), self.apart[i]))
         self.automaton.make_automaton()
         inner = [p.lstrip(BLANK) for p in self.ids]
         if any(BLANK in p for p in inner) or any(c not in self.ids for p in self.ids for c in p) or any(p.startswith(BLANK * 2) and p.strip(BLANK) for p in self.ids):
             raise ValueError(f"{path}: pieces cross the bounds of words")
         self.word = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+" + ("|\n" if "\n" not in self.ids else ""))
-        self.apart: dict[tuple[int, int], bool] = {}
         self.runs: dict[int, list[int]] = {}
 
     def _halves(self) -> dict[int, tuple[int, int]]:
@@ -117,7 +122,7 @@ class Pieces:
         Merges are undone from the last on, at the bound between a and b. A joint piece that would have been merged
         before the one just undone came first; at the same score the one further left came first.
         """
-        known = self.apart.get((a, b))
+        known = self.apart[b].get(a)
         if known is not None:
             return known
         scores, shown, ids, halves = self.scores, self.shown, self.ids, self.halves
@@ -135,38 +140,40 @@ class Pieces:
                 after, tie, right = scores[right], True, r_halves[0]
             else:
                 apart = True
-        if len(self.apart) * APART_BYTES > self.memo_bytes:
-            self.apart.clear()
-        self.apart[a, b] = apart
+        if self.pairs * APART_BYTES > self.memo_bytes:
+            for i in self.paired:
+                self.apart[i].clear()
+            self.paired, self.pairs = set(), 0
+        self.apart[b][a] = apart
+        self.paired.add(b)
+        self.pairs += 1
         return apart
 
     def viterbi(self, text: str) -> list[int]:
         """The best pieces of known characters, in one pass over them."""
         n = len(text)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
+        last, size = [-1] * n, [0] * n  # of the path to a character's end
         if self.merging:  # scores are zero or minus infinity: a position's first finite score is its best
-            apart = self.apart
-            for end, (piece, length) in self.automaton.iter(text):
-                end += 1
-                if last[end] >= 0:
-                    continue
-                if length < end:
-                    before = last[end - length]
-                    known = apart.get((before, piece))
-                    if not (self._stay_apart(before, piece) if known is None else known):
-                        continue
-                last[end], size[end] = piece, length
+            for end, (piece, length, apart) in self.automaton.iter(text):
+                if last[end] < 0:
+                    if length <= end:
+                        before = last[end - length]
+                        known = apart.get(before)
+                        if not (self._stay_apart(before, piece) if known is None else known):
+                            continue
+                    last[end], size[end] = piece, length
         else:
-            best, scores = [0.0] + [-math.inf] * n, self.scores
-            for end, (piece, length) in self.automaton.iter(text):
-                at, start = end + 1, end + 1 - length
-                if best[start] + scores[piece] > best[at]:
-                    best[at], last[at], size[at] = best[start] + scores[piece], piece, length
-        out = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+            best, scores = [-math.inf] * n + [0.0], self.scores  # the start is at -1
+            for end, (piece, length, _) in self.automaton.iter(text):
+                start = end - length
+                if best[start] + scores[piece] > best[end]:
+                    best[end], last[end], size[end] = best[start] + scores[piece], piece, length
+        out, at = [], n - 1
+        while at >= 0:
+            out.append(last[at])
+            at -= size[at]
+        out.reverse()
+        return out
 
     def _word(self, word: str) -> list[int]:
         if self.letters.issuperset(word):
@@ -190,6 +197,27 @@ class Pieces:
                 self.runs[n] = known
         return known
 
+    def _met(self, chunk: str) -> bool:
+        """Whether a word was met before, by a table of marks; most words come once, and would drive out those that return."""
+        at = hash(chunk) % MARKS
+        if self.marks[at]:
+            return True
+        if 2 * self.marked > MARKS:
+            self.marks, self.marked = bytearray(MARKS), 0
+        self.marks[at] = 1
+        self.marked += 1
+        return False
+
+    def _chunk(self, chunk: str) -> list[int]:
+        if chunk[0] == BLANK and chunk[1:2] not in NO_WORD:
+            return self._word(chunk)
+        word = chunk.lstrip(BLANK)
+        lead = len(chunk) - len(word)
+        known = self._word(BLANK + word if lead and word else word)
+        if lead and word and known[0] == self.ids.get(BLANK):
+            return self._blanks(lead) + known[1:]
+        return self._blanks(lead - bool(word)) + known if lead > 1 or not word else known
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, as the library gives them; blanks and the mark for blanks are one."""
         if not text:
@@ -198,19 +226,13 @@ class Pieces:
         for chunk in self.word.findall(BLANK + text.replace(" ", BLANK)):
             known = memo.get(chunk)
             if known is None:
-                word = chunk.lstrip(BLANK)
-                lead = len(chunk) - len(word)
-                known = self._word(BLANK + word if lead and word else word)
-                if lead and word and known[0] == self.ids.get(BLANK):
-                    known = self._blanks(lead) + known[1:]
-                elif lead > 1 or not word:
-                    known = self._blanks(lead - bool(word)) + known
+                known = self._chunk(chunk)
                 # a number of 8 bytes a piece, and what strings, lists and the table take
                 size = 4 * len(chunk) + 8 * len(known) + WORD_BYTES
-                if self.held + size > self.memo_bytes:
-                    memo.clear()
-                    self.held = 0
-                if size <= self.memo_bytes:
+                if size <= self.memo_bytes and self._met(chunk):
+                    if self.held + size > self.memo_bytes:
+                        memo.clear()
+                        self.held = 0
                     memo[chunk] = known
                     self.held += size
             out += known
@@ -219,8 +241,8 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Byte pieces that form no UTF-8 become replacement characters; control pieces are nothing."""
         shown, byte_of, hidden = self.shown, self.byte_of, self.hidden
-        if byte_of.keys().isdisjoint(ids) and hidden.isdisjoint(ids):
-            text = "".join([shown[i] for i in ids])
+        if self.odd.isdisjoint(ids):
+            text = "".join(map(shown.__getitem__, ids))
         else:
             raw = b"".join(bytes([byte_of[i]]) if i in byte_of else b"" if i in hidden else shown[i].encode() for i in ids)
             text = raw.decode("utf-8", "replace")
