@@ -23,7 +23,7 @@ from tidewater.sources.snapshots import merge_sink, read_merged
 from tidewater.sources.tables import read_routes, split_sink, table_sink
 from tidewater.sources.topics import PACKED, read_topic, topic_table, write_topic, write_topics
 from tidewater.streaming.joins import finish_join
-from tidewater.streaming.patterns import bounces_of_stream
+from tidewater.streaming.patterns import finish_bounces
 from tidewater.streaming.processors import bounce_stream, new_visitor_stream, unique_visit_stream
 from tidewater.streaming.runs import finish, finish_batches
 from tidewater.streaming.windows import finish_windows
@@ -422,7 +422,8 @@ def _jumps(spark, sf) -> DataFrame:
 @query(f"select mid, ts from ({SETTLED})")
 def stream_user_jump(spark, sf):
     """The timeouts of the bounce pattern."""
-    return _finished(spark, "user-jump", lambda pages: bounces_of_stream(pages, timeout_ms=SESSION_MS), pages=_pages(spark, sf)).select("common.mid", "ts")
+    run = lambda pages, name, spent: finish_bounces(pages, name, timeout_ms=SESSION_MS, spent=spent)
+    return _finished(spark, "user-jump", lambda pages: pages, run, pages=_pages(spark, sf)).select("common.mid", "ts")
 
 
 @query("""select mid, ts, case when is_new = '1' and ts // 86400000 <> min(ts // 86400000) filter (is_new = '1') over (partition by mid) then '0' else is_new end as is_new from pages""")

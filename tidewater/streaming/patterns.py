@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,11 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidewater.functions.times import epoch_date
 from tidewater.operators.logs import entry_page
-from tidewater.operators.patterns import FOUND, Automaton, Pattern, keyed_rows, typed
+from tidewater.operators.patterns import FOUND, Automaton, Pattern, find_pattern, keyed_rows, typed
 from tidewater.operators.visits import BOUNCE_MS, bounce_pattern
+from tidewater.session import shared_folder
+from tidewater.sources import files
+from tidewater.streaming.runs import finish_batches
 
 DAY_MS = 86_400_000
 
@@ -96,6 +100,55 @@ def bounces_of_stream(pages: DataFrame, *, timeout_ms: int = BOUNCE_MS, delay: s
     return found.where("kind = 'timeout'").select(F.col("rows")[0].alias("row")).select("row.*")
 
 
+def finish_pattern(
+    rows: DataFrame, pattern: Pattern, name: str, *, key: str, at: str = "ts", tie: list[str] = (), delay_ms: int = 0, pick: Callable[[DataFrame], DataFrame] = lambda found: found,
+    spent: tuple[str, ...] = (), state: str | None = None, out: str | None = None,
+) -> DataFrame:
+    """Works off a stream through pattern_stream(), but by batches of tables: gives ``pick`` of its rows, from files in ``out``.
+
+    A call of a function for every key of a batch is most of the work where keys have few rows. Here a batch's rows go through
+    find_pattern() with those that an open window needs, which wait in Parquet files; what the watermark passes in this batch
+    is given, what it had passed before is known. ``at`` holds whole milliseconds. The folders in ``spent`` are deleted then,
+    and so is the state, unless the caller names a folder for it (and for the results, which add up).
+    """
+    spark, window = rows.sparkSession, pattern.checked().window_ms
+    kept, target = state or shared_folder(spark, f"{name}-state"), out or shared_folder(spark, name)
+    root, time = f"{kept}-open", F.col(at).cast("long")
+    ended = lambda: reduce(lambda c, part: c[part], at.split("."), F.element_at("rows", -1)).cast("long")
+    find = lambda known: find_pattern(known, pattern, key=key, at=at, tie=list(tie))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        mark = json.loads(files.read_text(session, f"{root}/{batch_id - 1:012d}.json"))["watermark"] if batch_id else None
+        fresh = batch.where(F.col(key).isNotNull() & (time.isNotNull() if mark is None else time > mark))
+        folder = f"{root}/{batch_id}"
+        fresh.write.mode("overwrite").parquet(f"{folder}/new")
+        read = lambda path: session.read.schema(rows.schema).parquet(path)
+        known = read(f"{folder}/new")
+        latest = known.agg(F.max(time)).first()[0]
+        after = max((t for t in (mark, None if latest is None else latest - delay_ms) if t is not None), default=None)
+        known = known.unionByName(read(f"{root}/{batch_id - 1}/open")) if batch_id else known
+        # a match is known when the watermark is past its last row, a timeout when it is past the window's end
+        known_at = F.when(F.col("kind") == "match", ended()).otherwise(F.col("started") + window)
+        found = find(known.where(F.lit(False) if after is None else time < after))
+        found = found.where((known_at < (0 if after is None else after)) & (F.lit(True) if mark is None else known_at >= mark))
+        pick(found).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        known.where(F.lit(True) if after is None else time >= after - window).write.mode("overwrite").parquet(f"{folder}/open")
+        files.remove(session, f"{folder}/new", f"{root}/{batch_id - 2}")
+        files.write_text(session, f"{root}/{batch_id:012d}.json", json.dumps({"watermark": after}))
+
+    finish_batches(rows, write, name, state=kept)
+    files.remove(spark, *spent, *([] if state else [kept, root]))
+    shown = pick(find(spark.createDataFrame([], rows.schema))).schema
+    return spark.read.schema(shown).option("recursiveFileLookup", "true").parquet(target) if files.exists(spark, target) else spark.createDataFrame([], shown)
+
+
+def finish_bounces(pages: DataFrame, name: str, *, timeout_ms: int = BOUNCE_MS, delay_ms: int = 0, **how) -> DataFrame:
+    """Works off a stream of pages; gives bounces_of_stream() by way of finish_pattern()."""
+    first = lambda found: found.where("kind = 'timeout'").select(F.col("rows")[0].alias("row")).select("row.*")
+    return finish_pattern(pages, bounce_pattern(timeout_ms), name, key="common.mid", delay_ms=delay_ms, pick=first, **how)
+
+
 class DayProcessor(StatefulProcessor):
     """The first page of each visitor and day; the visitor's last day lives for ``ttl_ms`` of the clock."""
 
