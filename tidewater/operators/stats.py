@@ -117,14 +117,26 @@ def _same_window(sums: DataFrame, window: str) -> Column:
     return F.window(F.window_time("window"), window).alias("window") if sums.isStreaming else F.col("window")
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """A batch's rows dealt by keys into the cluster's number of shuffle partitions, which then aren't put together.
+
+    Where nearly every row is a group of its own, sums taken before a shuffle hold a whole split in memory for nothing, and those
+    after it as much as fits the advisory size of a partition, which packed rows exceed by far once they are groups.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def product_sums(facts: DataFrame, *, window: str = WINDOW) -> DataFrame:
     """stt, edt, sku_id, sums and distinct order counts of every window.
 
     A fact carries one id at most. Sums are first taken per id, so that distinct ids are counted by adding up ones: no
     row is multiplied for three distinct counts, a hot product is spread over its orders, and a stream's state holds a row
-    per order of an open window.
+    per order of an open window. A batch's facts are dealt before they are summed.
     """
-    each = facts.groupBy(F.window("at", window).alias("window"), "sku_id", *PRODUCT_IDS).agg(*[F.sum(m).alias(m) for m in PRODUCT_SUMS])
+    at, ids = F.window("at", window).alias("window"), ["sku_id", *PRODUCT_IDS]
+    rows = facts if facts.isStreaming else _dealt(facts.select(at, *ids, *PRODUCT_SUMS), "window", *ids)
+    each = rows.groupBy(at if facts.isStreaming else "window", *ids).agg(*[F.sum(m).alias(m) for m in PRODUCT_SUMS])
+    each = each if facts.isStreaming else _dealt(each, "window", "sku_id")
     sums = each.groupBy(_same_window(each, window), "sku_id").agg(
         *[F.sum(m).cast("decimal(26,2)" if t == MONEY else t).alias(m) for m, t in PRODUCT_SUMS.items()],
         *[F.count(i).alias(n) for i, n in PRODUCT_IDS.items()],
